@@ -64,10 +64,7 @@ def top_topics(messages: DataFrame, count: int = 10, lexicon: Lexicon = TOPICS,
 def topic_examples(
     messages: DataFrame, lexicon: Lexicon = TOPICS, count: int = 5, limit: int | None = None
 ) -> DataFrame:
-    """The most recent messages of every topic, newest first, one row each.
-
-    Only keys travel through the ranking; the few texts kept are looked up at the end.
-    """
+    """The most recent messages of every topic, newest first, one row each."""
     opened = message_topics(messages, lexicon, limit).select("topic", "id", "timestamp", "message")
     order = [F.col("timestamp").desc(), F.col("id").desc()]
     return first_rows(opened, ["topic"], order, count)
