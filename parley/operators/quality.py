@@ -15,38 +15,37 @@ from parley.schema import (
 )
 
 
-def _rules() -> dict[str, Column]:
-    """Rule name -> condition that breaks it."""
-
-    def outside(column: str, domain: tuple[str, ...]) -> Column:
-        return F.col(column).isNotNull() & ~F.col(column).isin(*domain)
-
-    def longer(column: str, limit: int) -> Column:
-        return F.length(F.col(column).cast("string")) > limit
-
-    return {
-        "conversation_id_missing": F.col("conversation_id").isNull(),
-        "conversation_id_too_long": longer("conversation_id", MAX_CONVERSATION_ID),
-        "user_id_missing": F.col("user_id").isNull(),
-        "user_id_too_long": longer("user_id", MAX_USER_ID),
-        "message_missing": F.col("message").isNull(),
-        "message_too_long": longer("message", MAX_MESSAGE),
-        "message_type_unknown": outside("message_type", MESSAGE_TYPES),
-        "sender_type_missing": F.col("sender_type").isNull(),
-        "sender_type_unknown": outside("sender_type", SENDER_TYPES),
-        "sentiment_unknown": outside("sentiment", SENTIMENTS),
-        "sentiment_score_out_of_range": ~F.col("sentiment_score").between(-1, 1),
-    }
+def _rules() -> list[tuple[str, str, Column]]:
+    """(rule name, column it looks at, condition that breaks it)."""
+
+    def missing(column: str):
+        return f"{column}_missing", column, F.col(column).isNull()
+
+    def too_long(column: str, limit: int):
+        return f"{column}_too_long", column, F.length(F.col(column).cast("string")) > limit
+
+    def unknown(column: str, domain: tuple[str, ...]):
+        broken = F.col(column).isNotNull() & ~F.col(column).isin(*domain)
+        return f"{column}_unknown", column, broken
+
+    return [
+        missing("conversation_id"),
+        too_long("conversation_id", MAX_CONVERSATION_ID),
+        missing("user_id"),
+        too_long("user_id", MAX_USER_ID),
+        missing("message"),
+        too_long("message", MAX_MESSAGE),
+        unknown("message_type", MESSAGE_TYPES),
+        missing("sender_type"),
+        unknown("sender_type", SENDER_TYPES),
+        unknown("sentiment", SENTIMENTS),
+        ("sentiment_score_out_of_range", "sentiment_score", ~F.col("sentiment_score").between(-1, 1)),
+    ]
 
 
 def validate_messages(messages: DataFrame) -> DataFrame:
-    """Add ``violations``: the names of the rules a row breaks, in rule order."""
-    present = set(messages.columns)
-    named = [
-        F.when(broken, F.lit(name))
-        for name, broken in _rules().items()
-        if any(name.startswith(c) for c in present)
-    ]
+    """Add ``violations``: the rules a row breaks, in rule order; absent columns are not checked."""
+    named = [F.when(broken, F.lit(name)) for name, column, broken in _rules() if column in messages.columns]
     return messages.withColumn("violations", F.array_compact(F.array(*named)))
 
 

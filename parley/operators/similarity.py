@@ -118,19 +118,33 @@ def similar_ids(
     ``corpus``: id, timestamp, embedding_vector. ``queries``: query_id (unique), vector.
     """
     asked = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
+    block = _small_block(asked, max_block)
     id_type = queries.schema["query_id"].dataType
-    rows = asked.limit(max_block + 1).collect()
-    if len(rows) <= max_block:
-        block = [(r["query_id"], list(r["vector"])) for r in rows]
+    if block is not None:
         return _search_block(corpus, block, limit, min_similarity, id_type)
-    spark = corpus.sparkSession
-    folder = fresh_folder(spark, "search")
-    blocks = asked.count() // (max_block // 2) + 1
-    for number in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        # a block that happens to exceed the size is cut again by the recursion
-        similar_ids(corpus, part, limit, min_similarity, max_block).write.parquet(f"{folder}/block={number}")
-    return spark.read.parquet(folder).drop("block")
+    folder = fresh_folder(corpus.sparkSession, "search")
+    waiting = [(asked, 0)]
+    written = 0
+    while waiting:
+        part, depth = waiting.pop()
+        block = _small_block(part, max_block)
+        if block is None:
+            if depth > 8:
+                raise ValueError("query_id must be unique")
+            pieces = part.count() // (max_block // 2) + 1
+            piece = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(pieces))
+            waiting += [(part.filter(piece == n), depth + 1) for n in range(pieces)]
+        elif block:
+            found = _search_block(corpus, block, limit, min_similarity, id_type)
+            found.write.parquet(f"{folder}/block={written}")
+            written += 1
+    return corpus.sparkSession.read.parquet(folder).drop("block")
+
+
+def _small_block(queries: DataFrame, max_block: int) -> list | None:
+    """The queries themselves if they fit one block."""
+    rows = queries.limit(max_block + 1).collect()
+    return None if len(rows) > max_block else [(r["query_id"], list(r["vector"])) for r in rows]
 
 
 def similar_messages(
