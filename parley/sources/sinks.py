@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from parley.operators.mutations import after_cleanup, live_rows
 from parley.schema import RESULT_MANIFEST
-from parley.session import fresh_folder
 from parley.streaming.sinks import table_exists
 
 # Time to live and export caps.
 RESULT_HOURS = 1
 EXPORT_CAPS = {"conversations": 10_000, "messages": 50_000, "analytics": 1_000}
 
+# Text formats that keep microseconds.
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def _manifest_path(base: str) -> str:
     return f"{base}/manifest"
@@ -29,7 +34,7 @@ def store_result(
     ``now`` is taken in the session zone.
     """
     spark = result.sparkSession
-    path = fresh_folder(spark, "result") if base is None else f"{base}/{_name(key, now)}"
+    path = f"{base}/{_name(key, now)}"
     result.write.mode("overwrite").parquet(path)
     if spark.read.schema(result.schema).parquet(path).isEmpty():
         return False
@@ -71,10 +76,12 @@ def cleaned_manifest(spark: SparkSession, base: str, now: datetime | Column) ->
     return after_cleanup(manifest(spark, base), now)
 
 
-def write_by_date(frame: DataFrame, path: str, date: str, mode: str = "overwrite") -> None:
-    """Write partitioned by a date column; rows of a date are spread over a few files by a salt,
-    so one busy day is not one task."""
-    salt = F.pmod(F.xxhash64(*frame.columns[:1]), F.lit(32))
+def write_by_date(
+    frame: DataFrame, path: str, date: str, spread: str, files_per_date: int = 4, mode: str = "overwrite"
+) -> None:
+    """Write partitioned by a date column. The rows of a date go to a few tasks by the hash of
+    ``spread``, a near-unique column, so a busy date is not one task."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(files_per_date))
     frame.repartition(F.col(date), salt).write.mode(mode).partitionBy(date).parquet(path)
 
 
@@ -82,8 +89,8 @@ def export_rows(frame: DataFrame, path: str, kind: str, fmt: str, *order: Column
     """CSV or JSON export of at most the rows its kind allows, in the given order."""
     capped = frame.orderBy(*order).limit(EXPORT_CAPS[kind])
     if fmt == "csv":
-        capped.write.option("header", True).option("escape", '"').csv(path)
+        capped.write.options(**TIME_FORMATS).option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
-        capped.write.option("ignoreNullFields", False).json(path)
+        capped.write.options(**TIME_FORMATS).option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(f"unknown export format {fmt!r}")
