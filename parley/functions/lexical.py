@@ -138,9 +138,9 @@ def rank_labels(
         add,
         (((hits > 0) & (confidence >= min_confidence)).cast("int") for hits, confidence, _, _ in entries),
     )
-    best = F.slice(
-        F.sort_array(F.array(*found), asc=False), F.lit(1), F.least(how_many, F.lit(top))
-    )
+    # least() passes over NULL, so a NULL text needs its own branch
+    kept_labels = F.when(how_many > top, F.lit(top)).when(how_many >= 0, how_many)
+    best = F.slice(F.sort_array(F.array(*found), asc=False), F.lit(1), kept_labels)
     kept = [c for c in frame.columns if c != out]
     return counted.select(*kept, best.alias(out))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, time, timedelta
+from decimal import Decimal
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +73,13 @@ def epoch_micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def moment(ts: Column, id: Column) -> Column:
+    """(time, id) as one number with the same order, a fixed-width one: minima and maxima of it
+    are kept in place by hash aggregation, those of a struct make Spark sort the input."""
+    high = epoch_micros(ts).cast("decimal(19,0)") * F.lit(Decimal(2**64))
+    return (high + id.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def response_band(seconds: Column) -> Column:
     return (
         F.when(seconds <= GOOD_RESPONSE, "good")

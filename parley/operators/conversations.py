@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.lexical import satisfaction_score
-from parley.functions.timing import epoch_micros
+from parley.functions.timing import epoch_micros, moment
 from parley.lexicons import TOPICS, Lexicon
 from parley.operators.filters import newest
 from parley.operators.slices import first_rows, previous_row
@@ -44,12 +44,12 @@ def derive_response_time(messages: DataFrame) -> DataFrame:
     looked = previous_row(
         messages.select(*kept),
         ["conversation_id"],
-        ["timestamp", "id"],
+        moment(F.col("timestamp"), F.col("id")),
         F.date_trunc("hour", F.col("timestamp").cast("timestamp")),
-        {"_prev_sender": F.col("sender_type"), "_prev_ts": F.col("timestamp")},
+        {"_asked": F.col("sender_type") == "customer", "_asked_ts": F.col("timestamp")},
     )
-    gap = epoch_micros(F.col("timestamp")) - epoch_micros(F.col("_prev_ts"))
-    answered = (F.col("sender_type") == "admin") & (F.col("_prev_sender") == "customer")
+    gap = epoch_micros(F.col("timestamp")) - epoch_micros(F.col("_asked_ts"))
+    answered = (F.col("sender_type") == "admin") & F.col("_asked")
     seconds = F.when(answered, F.floor(gap / 1_000_000).cast("int"))
     return looked.select(*kept, seconds.alias("response_time"))
 
@@ -58,9 +58,13 @@ def _sentiment_counts() -> list[Column]:
     return [F.count_if(F.col("sentiment") == s).alias(s) for s in SENTIMENTS]
 
 
-def conversation_summary(messages: DataFrame, *extra: Column) -> DataFrame:
+def _duration_minutes() -> Column:
+    micros = epoch_micros(F.col("end_time")) - epoch_micros(F.col("start_time"))
+    return F.round(micros / 60e6, DIGITS)
+
+
+def conversation_summary(messages: DataFrame) -> DataFrame:
     """Message counts, start, end, duration and response time of every conversation."""
-    minutes = (epoch_micros(F.col("end_time")) - epoch_micros(F.col("start_time"))) / 60e6
     grouped = messages.groupBy("conversation_id").agg(
         F.count("*").alias("total_messages"),
         F.count_if(F.col("sender_type") == "customer").alias("customer_messages"),
@@ -68,9 +72,8 @@ def conversation_summary(messages: DataFrame, *extra: Column) -> DataFrame:
         F.min("timestamp").alias("start_time"),
         F.max("timestamp").alias("end_time"),
         F.round(F.avg("response_time"), 2).alias("avg_response_time"),
-        *extra,
     )
-    return grouped.withColumn("duration_minutes", F.round(minutes, DIGITS))
+    return grouped.withColumn("duration_minutes", _duration_minutes())
 
 
 def conversation_sentiments(messages: DataFrame) -> DataFrame:
@@ -89,20 +92,37 @@ def sentiment_map(counts: DataFrame) -> DataFrame:
 def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) -> DataFrame:
     """The rows of the summary table.
 
-    All plain measures come from one grouping; the topics need rows per topic and are joined
-    on, both sides already hashed by conversation. A conversation without an end event stays
-    ``active``; ``summary`` text is produced elsewhere and left NULL.
+    Measures are taken per conversation and user first, where all of them are fixed-width and
+    hash-aggregated in one pass over the messages; the few rows left are folded into
+    conversations, whose user is that of the first message. ``summary`` text is produced
+    elsewhere and left NULL; a conversation nobody closed is ``active``.
     """
-    measures = conversation_summary(
-        messages,
-        F.min_by("user_id", F.struct("timestamp", "id")).alias("user_id"),
-        F.round(F.avg(F.when(F.col("sentiment").isNotNull(), satisfaction_score(F.col("sentiment")))), 2).alias(
-            "satisfaction_score"
-        ),
+    satisfied = F.when(F.col("sentiment").isNotNull(), satisfaction_score(F.col("sentiment")))
+    pairs = messages.groupBy("conversation_id", "user_id").agg(
+        F.min(moment(F.col("timestamp"), F.col("id"))).alias("_opened"),
+        F.min("timestamp").alias("_start"),
+        F.max("timestamp").alias("_end"),
+        F.count("*").alias("_messages"),
+        F.count_if(F.col("sender_type") == "customer").alias("_customer"),
+        F.count_if(F.col("sender_type") == "admin").alias("_admin"),
+        F.sum(F.col("response_time").cast("long")).alias("_seconds"),
+        F.count("response_time").alias("_answers"),
+        F.sum(satisfied).alias("_satisfied"),
+        F.count(satisfied).alias("_scored"),
         *_sentiment_counts(),
     )
-    topics = conversation_top_topics(messages, lexicon)
-    tags = topics.groupBy("conversation_id").agg(
+    measures = pairs.groupBy("conversation_id").agg(
+        F.min_by("user_id", "_opened").alias("user_id"),
+        F.min("_start").alias("start_time"),
+        F.max("_end").alias("end_time"),
+        F.sum("_messages").cast("int").alias("total_messages"),
+        F.sum("_customer").cast("int").alias("customer_messages"),
+        F.sum("_admin").cast("int").alias("admin_messages"),
+        F.round(F.try_divide(F.sum("_seconds"), F.sum("_answers")), 2).alias("avg_response_time"),
+        F.round(F.try_divide(F.sum("_satisfied"), F.sum("_scored")), 2).alias("satisfaction_score"),
+        *(F.sum(s).alias(s) for s in SENTIMENTS),
+    )
+    tags = conversation_top_topics(messages, lexicon).groupBy("conversation_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "topic"))).alias("_tags")
     )
     return measures.join(tags, "conversation_id", "left").select(
@@ -111,10 +131,10 @@ def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) ->
         "start_time",
         "end_time",
         F.to_date("start_time").alias("start_date"),
-        F.col("total_messages").cast("int").alias("total_messages"),
-        F.col("customer_messages").cast("int").alias("customer_messages"),
-        F.col("admin_messages").cast("int").alias("admin_messages"),
-        "duration_minutes",
+        "total_messages",
+        "customer_messages",
+        "admin_messages",
+        _duration_minutes().alias("duration_minutes"),
         F.col("avg_response_time").cast("decimal(10,2)").alias("avg_response_time"),
         F.col("satisfaction_score").cast("decimal(3,2)").alias("satisfaction_score"),
         *SENTIMENTS,
@@ -130,15 +150,28 @@ def resolution_rate(summaries: DataFrame) -> DataFrame:
     return summaries.agg(F.round(F.avg(F.col("resolved").cast("double")), DIGITS).alias("resolution_rate"))
 
 
-def _digest_line(rank: Column) -> Column:
+def _shortened(messages: DataFrame, chars: int) -> DataFrame:
+    """What a line needs, the message cut to its shown length before anything is shuffled."""
+    return messages.select(
+        "conversation_id",
+        "id",
+        "timestamp",
+        "sender_type",
+        "user_id",
+        F.left(F.col("message"), F.lit(chars)).alias("message"),
+        F.coalesce(F.col("sentiment"), F.lit(MISSING)).alias("sentiment"),
+    )
+
+
+def _digest_line() -> Column:
     return F.format_string(
         DIGEST_FORMAT,
-        rank,
+        F.col("rank"),
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"),
         F.col("sender_type"),
         F.col("user_id").cast("string"),
-        F.left(F.col("message"), F.lit(DIGEST_CHARS)),
-        F.coalesce(F.col("sentiment"), F.lit(MISSING)),
+        F.col("message"),
+        F.col("sentiment"),
     )
 
 
@@ -151,10 +184,10 @@ def _joined_lines(lines: DataFrame, out: str, *keys: str) -> DataFrame:
 
 def context_lines(messages: DataFrame, lines: int = DIGEST_LINES) -> DataFrame:
     """Numbered lines of the newest messages of the whole table."""
-    latest = newest(messages, lines)
+    latest = newest(_shortened(messages, DIGEST_CHARS), lines)
     order = Window.partitionBy().orderBy(F.col("timestamp").desc(), F.col("id").desc())
     ranked = latest.withColumn("rank", F.row_number().over(order))
-    return ranked.select("rank", _digest_line(F.col("rank")).alias("line"))
+    return ranked.select("rank", _digest_line().alias("line"))
 
 
 def context_digest(messages: DataFrame, lines: int = DIGEST_LINES) -> DataFrame:
@@ -163,29 +196,21 @@ def context_digest(messages: DataFrame, lines: int = DIGEST_LINES) -> DataFrame:
 
 def conversation_digests(messages: DataFrame, lines: int = DIGEST_LINES) -> DataFrame:
     """The same per conversation: its newest messages, newest first."""
-    needed = messages.select("conversation_id", "id", "timestamp", "sender_type", "user_id", "message", "sentiment")
-    ranked = first_rows(needed, ["conversation_id"], [F.col("timestamp").desc(), F.col("id").desc()], lines)
-    return _joined_lines(
-        ranked.select("conversation_id", "rank", _digest_line(F.col("rank")).alias("line")),
-        "digest",
-        "conversation_id",
-    )
+    order = [F.col("timestamp").desc(), F.col("id").desc()]
+    ranked = first_rows(_shortened(messages, DIGEST_CHARS), ["conversation_id"], order, lines)
+    numbered = ranked.select("conversation_id", "rank", _digest_line().alias("line"))
+    return _joined_lines(numbered, "digest", "conversation_id")
 
 
 def conversation_transcripts(messages: DataFrame, lines: int = TRANSCRIPT_LINES) -> DataFrame:
     """The opening lines of every conversation."""
-    needed = messages.select("conversation_id", "id", "timestamp", "sender_type", "message", "sentiment")
-    ranked = first_rows(needed, ["conversation_id"], [F.col("timestamp").asc(), F.col("id").asc()], lines)
+    order = [F.col("timestamp").asc(), F.col("id").asc()]
+    ranked = first_rows(_shortened(messages, TRANSCRIPT_CHARS), ["conversation_id"], order, lines)
     line = F.format_string(
-        TRANSCRIPT_FORMAT,
-        F.col("rank"),
-        F.col("sender_type"),
-        F.left(F.col("message"), F.lit(TRANSCRIPT_CHARS)),
-        F.coalesce(F.col("sentiment"), F.lit(MISSING)),
-    )
-    return _joined_lines(
-        ranked.select("conversation_id", "rank", line.alias("line")), "transcript", "conversation_id"
+        TRANSCRIPT_FORMAT, F.col("rank"), F.col("sender_type"), F.col("message"), F.col("sentiment")
     )
+    numbered = ranked.select("conversation_id", "rank", line.alias("line"))
+    return _joined_lines(numbered, "transcript", "conversation_id")
 
 
 def review_prompts(messages: DataFrame, instruction: str = REVIEW_INSTRUCTION) -> DataFrame:

@@ -30,13 +30,26 @@ def latest_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) ->
     return rows.groupBy(*key).agg(last).select(*key, "_last.*")
 
 
-def absent_rows(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The new rows whose key the table does not hold, one per key."""
-    return rows.dropDuplicates(list(key)).join(table.select(*key), list(key), "left_anti")
+def first_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first write per key; see :func:`latest_per_key`."""
+    values = [c for c in rows.columns if c not in key]
+    first = F.min_by(F.struct(*values), F.struct(*order)).alias("_first")
+    return rows.groupBy(*key).agg(first).select(*key, "_first.*")
+
 
+def absent_rows(
+    table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
+    """The new rows whose key the table does not hold, one per key: the first by ``order``,
+    which may be left out when new rows with the same key are alike."""
+    single = first_per_key(rows, key, order) if order else rows.dropDuplicates(list(key))
+    return single.join(table.select(*key), list(key), "left_anti")
 
-def insert_ignore(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    return table.unionByName(absent_rows(table, rows, key).select(*table.columns))
+
+def insert_ignore(
+    table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
+    return table.unionByName(absent_rows(table, rows, key, order).select(*table.columns))
 
 
 def upsert(

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions.vectors import cosine_similarity
 from parley.operators.filters import newest, sender
 from parley.operators.slices import first_rows
 from parley.session import fresh_folder
@@ -165,24 +164,40 @@ def similar_messages(
     return messages.select("id", "conversation_id", "message", "timestamp").join(hits, "id")
 
 
-def nearest_labels(messages: DataFrame, labelled: DataFrame, max_labels: int = 256) -> DataFrame:
+def nearest_labels(messages: DataFrame, labelled: DataFrame, max_labels: int = MAX_BLOCK) -> DataFrame:
     """For every message with a vector the most similar entry of a small labelled vector table.
 
-    ``labelled``: label, vector; its size is checked. Emits one row per message.
+    ``labelled``: label, vector; its size is checked. Emits one row per message; of equally
+    similar labels the highest.
     """
-    rows = labelled.select("label", "vector").limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
+    block = _small_block(labelled.select(F.col("label").alias("query_id"), "vector"), max_labels)
+    if block is None:
         raise ValueError(f"at most {max_labels} labelled vectors; search the table with similar_ids instead")
-    own = F.col("embedding_vector")
-    scored = F.array(*(
-        F.struct(
-            cosine_similarity(own, F.array(*(F.lit(float(x)) for x in r["vector"]))).alias("similarity"),
-            F.lit(r["label"]).alias("label"),
-        )
-        for r in rows
-    ))
-    best = messages.filter(own.isNotNull()).select("id", F.array_max(scored).alias("_best"))
-    return best.select("id", "_best.label", F.round("_best.similarity", DIGITS).alias("similarity"))
+    schema = T.StructType([
+        messages.schema["id"],
+        T.StructField("label", labelled.schema["label"].dataType),
+        T.StructField("similarity", T.DoubleType()),
+    ])
+    widths = sorted({len(vector) for _, vector in block})
+    ordered = sorted(block, key=lambda entry: entry[0], reverse=True)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array([name for name, _ in ordered])
+        for rows in batches:
+            vectors = list(rows["vector"])
+            similar = np.zeros((len(rows), len(ordered)))
+            for width in widths:
+                member = [i for i, (_, vector) in enumerate(ordered) if len(vector) == width]
+                matrix = np.array([ordered[i][1] for i in member], dtype=float)
+                similar[:, member] = _cosine_matrix(vectors, matrix, np.linalg.norm(matrix, axis=1))
+            best = similar.argmax(axis=1)
+            yield pd.DataFrame({
+                "id": rows["id"], "label": names[best], "similarity": similar[np.arange(len(rows)), best]
+            })
+
+    stored = messages.filter(F.col("embedding_vector").isNotNull())
+    found = stored.select("id", F.col("embedding_vector").alias("vector")).mapInPandas(assign, schema)
+    return found.withColumn("similarity", F.round("similarity", DIGITS))
 
 
 def hashed_encoder(dimensions: int = 64) -> Callable[[DataFrame, str], DataFrame]:

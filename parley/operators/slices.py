@@ -18,30 +18,34 @@ from pyspark.sql import functions as F
 def previous_row(
     frame: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Column,
     slice_of: Column,
     carry: Mapping[str, Column],
 ) -> DataFrame:
     """Add for every name in ``carry`` its expression's value on the previous row of the key.
 
-    ``slice_of`` must never decrease along ``order`` and must not be NULL.
+    ``order`` is one fixed-width value, unique within a key (see :func:`parley.functions.timing.moment`),
+    and the carried values should be fixed-width too: the summary is then a hash aggregation
+    instead of one that sorts its input. ``slice_of`` must never decrease along ``order`` and
+    must not be NULL.
     """
-    sliced = frame.withColumn("_slice", slice_of).withColumn(
-        "_carry", F.struct(*(value.alias(name) for name, value in carry.items()))
-    )
     group = [*keys, "_slice"]
-    inside = Window.partitionBy(*group).orderBy(*order)
-    looked = sliced.withColumn("_before", F.lag("_carry").over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    last = sliced.groupBy(*group).agg(
-        F.max_by("_carry", F.struct(*(F.col(c) for c in order))).alias("_last")
+    sliced = frame.withColumns(
+        {"_slice": slice_of, "_order": order, **{f"_own_{n}": value for n, value in carry.items()}}
     )
+    inside = Window.partitionBy(*group).orderBy("_order")
+    looked = sliced.withColumns({
+        **{f"_near_{n}": F.lag(f"_own_{n}").over(inside) for n in carry},
+        "_first": F.row_number().over(inside) == 1,
+    })
+    last = sliced.groupBy(*group).agg(*(F.max_by(f"_own_{n}", "_order").alias(f"_last_{n}") for n in carry))
     along = Window.partitionBy(*keys).orderBy("_slice")
-    carried = last.select(*group, F.lag("_last").over(along).alias("_earlier"))
+    carried = last.select(*group, *(F.lag(f"_last_{n}").over(along).alias(f"_far_{n}") for n in carry))
     joined = looked.join(carried, group, "left")
-    before = F.when(F.col("_first"), F.col("_earlier")).otherwise(F.col("_before"))
-    return joined.select(*(F.col(c) for c in frame.columns), *(before[n].alias(n) for n in carry))
+    return joined.select(
+        *frame.columns,
+        *(F.when(F.col("_first"), F.col(f"_far_{n}")).otherwise(F.col(f"_near_{n}")).alias(n) for n in carry),
+    )
 
 
 def first_rows(

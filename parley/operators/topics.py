@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from parley.functions.lexical import (
     TOPIC_FACTOR,
     classify_topics,
-    count_hits,
     explode_labels,
-    match_lexicon,
+    has_keyword,
 )
+from parley.functions.timing import moment
 from parley.lexicons import TOPICS, Lexicon
 from parley.operators.filters import latest_customer_messages, sender
 from parley.operators.slices import first_rows
@@ -27,6 +27,10 @@ def message_topics(messages: DataFrame, lexicon: Lexicon = TOPICS, limit: int |
     return explode_labels(classify_topics(chosen, "message", lexicon), "topics")
 
 
+def _seen() -> Column:
+    return moment(F.col("timestamp"), F.col("id")).alias("_seen")
+
+
 def _size_of(lexicon: Lexicon, topic: Column) -> Column:
     chain = None
     for label, keywords in lexicon.items():
@@ -43,16 +47,16 @@ def topic_frequency(messages: DataFrame, lexicon: Lexicon = TOPICS, limit: int |
     """
     opened = message_topics(messages, lexicon, limit)
     weight = F.least(F.col("hits") * TOPIC_FACTOR, _size_of(lexicon, F.col("topic")).cast("int"))
-    seen = F.struct("timestamp", "id", (-F.col("rank")).alias("rank"))
-    totals = opened.groupBy("topic").agg(
-        F.sum(weight.cast("long")).alias("_weight"),
+    totals = opened.select("topic", "rank", weight.cast("long").alias("_weight"), _seen()).groupBy("topic").agg(
+        F.sum("_weight").alias("_weight"),
         F.count("*").alias("messages"),
-        F.max(seen).alias("_seen"),
+        F.max("_seen").alias("_newest"),
+        F.max_by("rank", "_seen").alias("_rank"),
     )
     frequency = F.round(F.col("_weight") / _size_of(lexicon, F.col("topic")), DIGITS)
     return (
         totals.withColumn("frequency", frequency)
-        .orderBy(F.col("frequency").desc(), F.col("_seen").desc())
+        .orderBy(F.col("frequency").desc(), F.col("_newest").desc(), F.col("_rank").asc())
         .select("topic", "frequency", "messages")
     )
 
@@ -81,11 +85,13 @@ def topic_example_lists(
 
 def conversation_top_topics(messages: DataFrame, lexicon: Lexicon = TOPICS, count: int = 3) -> DataFrame:
     """Most frequent topics per conversation; ties by first appearance, oldest message first."""
-    opened = message_topics(messages, lexicon)
+    opened = message_topics(messages, lexicon).select("conversation_id", "topic", "rank", _seen())
     counted = opened.groupBy("conversation_id", "topic").agg(
-        F.count("*").alias("count"), F.min(F.struct("timestamp", "id", "rank")).alias("_seen")
+        F.count("*").alias("count"),
+        F.min("_seen").alias("_oldest"),
+        F.min_by("rank", "_seen").alias("_rank"),
     )
-    order = [F.col("count").desc(), F.col("_seen").asc()]
+    order = [F.col("count").desc(), F.col("_oldest").asc(), F.col("_rank").asc()]
     return first_rows(counted, ["conversation_id"], order, count).select(
         "conversation_id", "rank", "topic", "count"
     )
@@ -98,19 +104,27 @@ def topics_table(messages: DataFrame, dimensions: int | None = None, lexicon: Le
     vector aggregate with one buffer per topic and task instead of one row per component;
     vectors of another length are left out of it.
     """
-    customers = sender(messages, "customer")
-    met = match_lexicon(
-        customers.select("id", "message"), "message", "topics", lexicon
-    ).groupBy("label").agg(F.sort_array(F.collect_set("keyword")).alias("topic_keywords"))
-
-    lowered = customers.withColumn("_lowered", F.lower("message"))
-    member = F.array(*(
-        F.when(count_hits(F.col("_lowered"), keywords) > 0, F.lit(label))
+    customers = sender(messages, "customer").withColumn("_lowered", F.lower("message"))
+    met = F.array(*(
+        F.struct(
+            F.lit(label).alias("label"),
+            F.array_compact(F.array(*(
+                F.when(has_keyword(F.col("_lowered"), k), F.lit(k)) for k in keywords
+            ))).alias("met"),
+        )
         for label, keywords in lexicon.items()
     ))
     kept = ["embedding_vector"] if dimensions else []
-    opened = lowered.select(F.explode(member).alias("label"), *kept).filter(F.col("label").isNotNull())
-    dictionary = opened.groupBy("label").agg(F.count("*").alias("frequency")).join(met, "label")
+    opened = customers.select(F.inline(met), *kept).filter(F.size("met") > 0)
+    words = list(dict.fromkeys(k for keywords in lexicon.values() for k in keywords))
+    flags = [F.max(F.array_contains("met", k)).alias(f"_word_{i}") for i, k in enumerate(words)]
+    dictionary = opened.groupBy("label").agg(F.count("*").alias("frequency"), *flags).select(
+        "label",
+        "frequency",
+        F.sort_array(F.array_compact(F.array(*(
+            F.when(F.col(f"_word_{i}"), F.lit(k)) for i, k in enumerate(words)
+        )))).alias("topic_keywords"),
+    )
     if dimensions:
         usable = opened.filter(F.size("embedding_vector") == dimensions)
         centres = usable.groupBy("label").agg(

@@ -15,7 +15,7 @@ from parley.session import fresh_folder
 from parley.sources.fixtures import CONVERSATIONS, EVENTS, add_event, add_user, messages, shape, table
 from parley.sources.readers import scan_message_stream
 from parley.streaming.enrich import enrich, incremental_enrich
-from parley.streaming.kpis import dedup_messages, stream_daily_conversations, stream_kpis
+from parley.streaming.kpis import daily_from_sightings, dedup_messages, first_sightings, stream_kpis
 from parley.streaming.lockout import stream_lockout
 from parley.streaming.sinks import drain_batches, drain_to_files, drain_updates, insert_ignore_sink
 
@@ -100,9 +100,15 @@ def _(spark, sf):
     return _ntz(drain_updates(kpis, fresh_folder(spark, "kpis"), ["window_start", "window_end"]))
 
 
-@query("stream_daily_conversations")
+@query(
+    "stream_daily_conversations",
+    with_messages(
+        'SELECT CAST("timestamp" AS DATE) AS date, count(DISTINCT conversation_id) AS conversations FROM v GROUP BY 1'
+    ),
+)
 def _(spark, sf):
-    return drain_to_files(stream_daily_conversations(message_stream(spark, sf)), fresh_folder(spark, "daily"))
+    seen = drain_to_files(first_sightings(message_stream(spark, sf)), fresh_folder(spark, "sightings"))
+    return daily_from_sightings(seen)
 
 
 @query(

@@ -98,12 +98,12 @@ def messages(
         rows = previous_row(
             rows,
             ["conv_id"],
-            ["turn"],
+            F.col("turn"),
             F.floor(F.col("turn") / TURNS_PER_SLICE),
-            {"_prev_role": F.col("role"), "_prev_ts": F.col("ts")},
+            {"_asked": F.col("role") == "user", "_asked_ts": F.col("ts")},
         )
-        gap = F.floor((epoch_micros(F.col("ts")) - epoch_micros(F.col("_prev_ts"))) / 1_000_000)
-        answered = (F.col("role") == "assistant") & (F.col("_prev_role") == "user")
+        gap = F.floor((epoch_micros(F.col("ts")) - epoch_micros(F.col("_asked_ts"))) / 1_000_000)
+        answered = (F.col("role") == "assistant") & F.col("_asked")
         extra.append(F.when(answered, gap.cast("int")).alias("response_time"))
     frame = shape(rows, *extra)
     if sentiment:

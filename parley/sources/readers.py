@@ -78,10 +78,13 @@ def scan_message_stream(
     spark: SparkSession,
     path: str,
     schema: T.StructType = MESSAGES,
-    files_per_batch: int = 1000,
+    files_per_batch: int = 64,
     pattern: str | None = None,
 ) -> DataFrame:
-    """The same table as a stream of arriving parquet files."""
+    """The same table as a stream of arriving parquet files.
+
+    ``files_per_batch`` bounds a micro-batch, and with it what one key can bring into one.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

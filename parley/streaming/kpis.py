@@ -29,10 +29,10 @@ def stream_kpis(
     )
 
 
-def stream_daily_conversations(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Conversations per day: the first message of each conversation and day is kept, then counted.
+def first_sightings(messages: DataFrame, delay: str = "1 day") -> DataFrame:
+    """The first message of each conversation and day, emitted at once.
 
-    Days are emitted once the watermark has passed them.
+    Counting the emitted rows per day gives exact conversations per day, the open day included.
     """
     timed = messages.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     firsts = (
@@ -40,8 +40,11 @@ def stream_daily_conversations(messages: DataFrame, delay: str = "1 day") -> Dat
         .withWatermark("timestamp", delay)
         .dropDuplicatesWithinWatermark(["conversation_id", "day"])
     )
-    counted = firsts.groupBy(F.window("timestamp", "1 day")).agg(F.count("*").alias("conversations"))
-    return counted.select(F.to_date("window.start").alias("date"), "conversations")
+    return firsts.select("day", "conversation_id")
+
+
+def daily_from_sightings(sightings: DataFrame) -> DataFrame:
+    return sightings.groupBy(F.col("day").alias("date")).agg(F.count("*").alias("conversations")).orderBy("date")
 
 
 def dedup_messages(messages: DataFrame, delay: str = "1 day", key: str = "id") -> DataFrame:
