@@ -11,7 +11,7 @@ from parley.functions.lexical import (
     TOPIC_FACTOR,
     classify_topics,
     explode_labels,
-    has_keyword,
+    keywords_met,
 )
 from parley.functions.timing import moment
 from parley.lexicons import TOPICS, Lexicon
@@ -104,26 +104,22 @@ def topics_table(messages: DataFrame, dimensions: int | None = None, lexicon: Le
     vector aggregate with one buffer per topic and task instead of one row per component;
     vectors of another length are left out of it.
     """
-    customers = sender(messages, "customer").withColumn("_lowered", F.lower("message"))
-    met = F.array(*(
-        F.struct(
-            F.lit(label).alias("label"),
-            F.array_compact(F.array(*(
-                F.when(has_keyword(F.col("_lowered"), k), F.lit(k)) for k in keywords
-            ))).alias("met"),
-        )
+    customers = sender(messages, "customer")
+    words = list(dict.fromkeys(k for keywords in lexicon.values() for k in keywords))
+    kept = ["embedding_vector"] if dimensions else []
+    met = customers.select(keywords_met(F.col("message"), words).alias("met"), *kept)
+    member = F.array(*(
+        F.when(F.arrays_overlap("met", F.array(*(F.lit(words.index(k)) for k in keywords))), F.lit(label))
         for label, keywords in lexicon.items()
     ))
-    kept = ["embedding_vector"] if dimensions else []
-    opened = customers.select(F.inline(met), *kept).filter(F.size("met") > 0)
-    words = list(dict.fromkeys(k for keywords in lexicon.values() for k in keywords))
-    flags = [F.max(F.array_contains("met", k)).alias(f"_word_{i}") for i, k in enumerate(words)]
+    opened = met.select("met", F.explode(member).alias("label"), *kept).filter(F.col("label").isNotNull())
+    flags = [F.max(F.array_contains("met", i)).alias(f"_word_{i}") for i in range(len(words))]
+    own = F.array(*(
+        F.when(F.col(f"_word_{i}") & F.col("label").isin(*(l for l, ks in lexicon.items() if k in ks)), F.lit(k))
+        for i, k in enumerate(words)
+    ))
     dictionary = opened.groupBy("label").agg(F.count("*").alias("frequency"), *flags).select(
-        "label",
-        "frequency",
-        F.sort_array(F.array_compact(F.array(*(
-            F.when(F.col(f"_word_{i}"), F.lit(k)) for i, k in enumerate(words)
-        )))).alias("topic_keywords"),
+        "label", "frequency", F.sort_array(F.array_compact(own)).alias("topic_keywords")
     )
     if dimensions:
         usable = opened.filter(F.size("embedding_vector") == dimensions)

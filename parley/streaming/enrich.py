@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.lexical import classify_topics, score_sentiment
+from parley.functions.lexical import (
+    TOPIC_FACTOR,
+    best_labels,
+    score_sentiment,
+    sentiment_of,
+    sentiment_sides,
+    with_hits,
+)
 from parley.lexicons import SENTIMENT, TOPICS, Lexicon
 from parley.operators.filters import null_state, sender
 from parley.operators.mutations import patch_columns
@@ -22,8 +29,16 @@ def enrich(
     encoder=None,
 ) -> DataFrame:
     """Add sentiment, topics, optionally a vector, and the time of processing."""
-    scored = score_sentiment(messages, "message", sentiment)
-    labelled = classify_topics(scored, "message", topics)
+    counted, [(p, n), topic_hits] = with_hits(messages, "message", [sentiment_sides(sentiment), topics])
+    label, score = sentiment_of(F.col(p), F.col(n))
+    added = ("sentiment", "sentiment_score", "sentiment_confidence", "topics")
+    labelled = counted.select(
+        *(c for c in messages.columns if c not in added),
+        label.alias("sentiment"),
+        score.alias("sentiment_score"),
+        F.abs(score).alias("sentiment_confidence"),
+        best_labels(topic_hits, topics, TOPIC_FACTOR).alias("topics"),
+    )
     if vectors:
         labelled = embed_messages(labelled, encoder=encoder)
     return labelled.withColumn("processed_at", processed_at)
