@@ -1,7 +1,8 @@
 """Text cleaning as chained regular expressions.
 
-Flags: ``U`` makes ``\\s`` and ``\\d`` cover Unicode, ``d`` makes ``\\n`` the only line break,
-``m`` lets ``^`` match at line starts.
+Flags: ``d`` makes ``\\n`` the only line break, ``m`` lets ``^`` match at line starts, ``U`` makes
+``\\d`` cover all decimal digits. Each step is a projection of its own, so a chain that several
+later expressions refer to is evaluated once.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labels to strip, words that need no opening, wording and lengths.
@@ -29,37 +30,40 @@ MARKS = (
     ("ข้อเสนอแนะ", "💡 ข้อเสนอแนะ"),
 )
 
-# White space in the wide sense: Unicode spaces and the four separator controls.
-SPACE = r"[\s\x1c-\x1f]"
+# White space: the Unicode spaces and the four separator controls, as a character class and as
+# the characters themselves.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_CHARS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_space(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, rf"(?U)\A{SPACE}+", "")
-    return F.regexp_replace(trimmed, rf"(?U){SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def clean_reply(
-    text: Column,
+    frame: DataFrame,
+    text: str = "reply",
     labels: Sequence[str] = REPLY_LABELS,
     openers: Sequence[str] = REPLY_OPENERS,
     prefix: str = REPLY_PREFIX,
     longest: int = REPLY_MAX,
     keep: int = REPLY_KEEP,
     notice: str = REPLY_NOTICE,
-) -> Column:
-    """Strip labels at line starts, open politely, shorten, trim."""
-    body = text
+) -> DataFrame:
+    """Clean the column in place: strip labels at line starts, open politely, shorten, trim."""
+    body = F.col(text)
     for label in labels:
-        body = F.regexp_replace(body, rf"(?Udm)^{SPACE}*{re.escape(label)}{SPACE}*", "")
-    opened = None
+        body = F.regexp_replace(body, rf"(?dm)^{SPACE}*{re.escape(label)}{SPACE}*", "")
+    opened = F.lit(False)
     for opener in openers:
-        starts = body.startswith(opener)
-        opened = starts if opened is None else opened | starts
-    polite = F.when(opened, body).otherwise(F.concat(F.lit(prefix), body))
+        opened = opened | F.col(text).startswith(opener)
+    polite = F.when(opened, F.col(text)).otherwise(F.concat(F.lit(prefix), F.col(text)))
     short = F.when(
-        F.length(polite) > longest, F.concat(F.left(polite, F.lit(keep)), F.lit(notice))
-    ).otherwise(polite)
-    return strip_space(short)
+        F.length(text) > longest, F.concat(F.left(F.col(text), F.lit(keep)), F.lit(notice))
+    ).otherwise(F.col(text))
+    return frame.withColumn(text, body).withColumn(text, polite).withColumn(text, strip_space(short))
 
 
 def display_markup(text: Column, marks: Sequence[tuple[str, str]] = MARKS) -> Column:

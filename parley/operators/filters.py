@@ -62,6 +62,11 @@ def optional(messages: DataFrame, user_id=None, day: Day | None = None) -> DataF
     return messages.filter(reduce(and_, rules)) if rules else messages
 
 
+def caseless(messages: DataFrame, *columns: str) -> DataFrame:
+    """Compare, group and count these columns without regard to case and accents."""
+    return messages.withColumns({c: F.collate(F.col(c), "UNICODE_CI_AI") for c in columns})
+
+
 def response_cap(messages: DataFrame, cap: int = RESPONSE_CAP) -> DataFrame:
     return messages.filter(F.col("response_time") <= cap)
 

@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,34 +117,42 @@ def similar_ids(
 
     ``corpus``: id, timestamp, embedding_vector. ``queries``: query_id (unique), vector.
     """
-    asked = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
-    block = _small_block(asked, max_block)
     id_type = queries.schema["query_id"].dataType
-    if block is not None:
-        return _search_block(corpus, block, limit, min_similarity, id_type)
-    folder = fresh_folder(corpus.sparkSession, "search")
-    waiting = [(asked, 0)]
-    written = 0
+    blocks = _blocks(queries.select("query_id", "vector").filter(F.col("vector").isNotNull()), max_block)
+    found = (_search_block(corpus, block, limit, min_similarity, id_type) for block in blocks)
+    return _gather(corpus.sparkSession, found)[0]
+
+
+def _blocks(queries: DataFrame, max_block: int) -> Iterator[list]:
+    """The (query_id, vector) pairs in lists of at most ``max_block``, cut by hash if there are more."""
+    waiting = [(queries, 0)]
     while waiting:
         part, depth = waiting.pop()
-        block = _small_block(part, max_block)
-        if block is None:
-            if depth > 8:
-                raise ValueError("query_id must be unique")
-            pieces = part.count() // (max_block // 2) + 1
-            piece = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(pieces))
-            waiting += [(part.filter(piece == n), depth + 1) for n in range(pieces)]
-        elif block:
-            found = _search_block(corpus, block, limit, min_similarity, id_type)
-            found.write.parquet(f"{folder}/block={written}")
-            written += 1
-    return corpus.sparkSession.read.parquet(folder).drop("block")
-
-
-def _small_block(queries: DataFrame, max_block: int) -> list | None:
-    """The queries themselves if they fit one block."""
-    rows = queries.limit(max_block + 1).collect()
-    return None if len(rows) > max_block else [(r["query_id"], list(r["vector"])) for r in rows]
+        rows = part.limit(max_block + 1).collect()
+        if len(rows) <= max_block:
+            if rows or depth == 0:
+                yield [(r["query_id"], list(r["vector"])) for r in rows]
+            continue
+        if depth > 8:
+            raise ValueError("the ids of the queries must be unique")
+        pieces = 2 * part.count() // max_block + 1
+        piece = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(pieces))
+        waiting += [(part.filter(piece == n), depth + 1) for n in range(pieces)]
+
+
+def _gather(spark: SparkSession, results: Iterator[DataFrame]) -> tuple[DataFrame, int]:
+    """A single result as it is; several are computed one after another into the shared folder.
+
+    Also says how many there were.
+    """
+    first = next(results)
+    folder, number = None, 0
+    for number, result in enumerate(results, 1):
+        if folder is None:
+            folder = fresh_folder(spark, "search")
+            first.write.parquet(f"{folder}/block=0")
+        result.write.parquet(f"{folder}/block={number}")
+    return (first, 1) if folder is None else (spark.read.schema(first.schema).parquet(folder), number + 1)
 
 
 def similar_messages(
@@ -164,26 +173,37 @@ def similar_messages(
     return messages.select("id", "conversation_id", "message", "timestamp").join(hits, "id")
 
 
-def nearest_labels(messages: DataFrame, labelled: DataFrame, max_labels: int = MAX_BLOCK) -> DataFrame:
-    """For every message with a vector the most similar entry of a small labelled vector table.
+def nearest_labels(messages: DataFrame, labelled: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """For every message with a vector the most similar entry of a labelled vector table.
 
-    ``labelled``: label, vector; its size is checked. Emits one row per message; of equally
-    similar labels the highest.
+    ``labelled``: label (unique), vector. Emits one row per message; of equally similar labels
+    the highest.
     """
-    block = _small_block(labelled.select(F.col("label").alias("query_id"), "vector"), max_labels)
-    if block is None:
-        raise ValueError(f"at most {max_labels} labelled vectors; search the table with similar_ids instead")
-    schema = T.StructType([
-        messages.schema["id"],
-        T.StructField("label", labelled.schema["label"].dataType),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-    widths = sorted({len(vector) for _, vector in block})
+    id_field, label_type = messages.schema["id"], labelled.schema["label"].dataType
+    stored = messages.filter(F.col("embedding_vector").isNotNull()).select(
+        "id", F.col("embedding_vector").alias("vector")
+    )
+    schema = T.StructType([id_field, T.StructField("label", label_type), T.StructField("similarity", T.DoubleType())])
+    blocks = _blocks(labelled.select(F.col("label").alias("query_id"), "vector"), max_block)
+    found, blocks_used = _gather(
+        messages.sparkSession, (stored.mapInPandas(_block_assigner(block), schema) for block in blocks)
+    )
+    if blocks_used > 1:
+        best = found.groupBy("id").agg(F.max(F.struct("similarity", "label")).alias("_best"))
+        found = best.select("id", "_best.label", "_best.similarity")
+    return found.withColumn("similarity", F.round("similarity", DIGITS))
+
+
+def _block_assigner(block: list) -> Callable:
+    """Task function: the best label of the block for every row."""
     ordered = sorted(block, key=lambda entry: entry[0], reverse=True)
+    widths = sorted({len(vector) for _, vector in ordered})
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = np.array([name for name, _ in ordered])
         for rows in batches:
+            if not ordered:
+                continue
             vectors = list(rows["vector"])
             similar = np.zeros((len(rows), len(ordered)))
             for width in widths:
@@ -195,9 +215,16 @@ def nearest_labels(messages: DataFrame, labelled: DataFrame, max_labels: int = M
                 "id": rows["id"], "label": names[best], "similarity": similar[np.arange(len(rows)), best]
             })
 
-    stored = messages.filter(F.col("embedding_vector").isNotNull())
-    found = stored.select("id", F.col("embedding_vector").alias("vector")).mapInPandas(assign, schema)
-    return found.withColumn("similarity", F.round("similarity", DIGITS))
+    return assign
+
+
+def vector_groups(messages: DataFrame, groups: int, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """Group messages by their vectors: ``id``, ``group`` (spherical k-means on unit vectors)."""
+    stored = messages.filter(F.col("embedding_vector").isNotNull()).select(
+        "id", array_to_vector(F.col("embedding_vector").cast("array<double>")).alias("features")
+    )
+    model = KMeans(k=groups, seed=seed, maxIter=rounds, distanceMeasure="cosine", predictionCol="group").fit(stored)
+    return model.transform(stored).select("id", "group")
 
 
 def hashed_encoder(dimensions: int = 64) -> Callable[[DataFrame, str], DataFrame]:

@@ -291,9 +291,8 @@ def _cleaned_sql(text: str, labels, openers) -> str:
 
 @query("clean_reply", _cleaned_sql("text", PROBE_LABELS, PROBE_OPENERS))
 def _(spark, sf):
-    rows = table(spark, sf, "documents")
-    cleaned = cleaning.clean_reply(F.col("text"), labels=PROBE_LABELS, openers=PROBE_OPENERS)
-    return rows.select("doc_id", cleaned.alias("reply"))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("reply"))
+    return cleaning.clean_reply(rows, labels=PROBE_LABELS, openers=PROBE_OPENERS)
 
 
 PROBE_MARKS = (("The", "📊 The"), ("Die", "😊 Die"), ("<p>", "• <p>"))

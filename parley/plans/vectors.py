@@ -107,3 +107,9 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = similarity.embed_messages(messages(spark, sf).select("id", "message"))
     return vectors.select("id", F.size("embedding_vector").alias("dims"))
+
+
+@query("vector_groups")
+def _(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("embedding_vector"))
+    return similarity.vector_groups(rows, 10)

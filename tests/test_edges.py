@@ -86,7 +86,7 @@ def test_clean_reply_texts(spark):
         "คำตอบ: สวัสดีครับ", "  ตอบ: ยอดขาย\nคำตอบ: สอง\n", "x" * 3000, "ขอบคุณ  ", " ตาม ", "a\n\n ตอบ:\n b", "สวัสดี" + "y" * 1995,
     ]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
-    got = [r[0] for r in frame.orderBy("i").select(cleaning.clean_reply(F.col("t"))).collect()]
+    got = [r.t for r in cleaning.clean_reply(frame, "t").orderBy("i").collect()]
     assert got[0] == "สวัสดีครับ"
     assert got[1] == "ตามข้อมูลที่มี ยอดขาย\nสอง"
     assert got[2] == ("ตามข้อมูลที่มี " + "x" * 3000)[:1950] + cleaning.REPLY_NOTICE
@@ -102,6 +102,18 @@ def test_display_markup_texts(spark):
     assert got == "<strong>🏷️ หัวข้อ</strong> <em>a</em> b\n• one\n• two\n*x\ny*"
 
 
+def test_ids_compared_without_case_and_accents(spark):
+    rows = spark.createDataFrame([("Zoé",), ("zoe",), ("ZOÉ",), ("max",)], "conversation_id string")
+    assert metrics.total_conversations(rows).first().total == 4
+    assert metrics.total_conversations(filters.caseless(rows, "conversation_id")).first().total == 2
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+
+
 def test_lexicon_round_trip(spark):
     frame = lexicon_frame(spark, "topics", TOPICS)
     again = lexicon_from_frame(frame)

@@ -120,5 +120,6 @@ def test_search_candidates_and_text(spark):
 def test_nearest_label_ties_take_the_highest(spark):
     _, corpus = _vectors(spark, 5)
     labelled = spark.createDataFrame([("a", [1.0] * 8), ("b", [2.0] * 8)], "label string, vector array<double>")
-    got = nearest_labels(corpus, labelled).collect()
-    assert len(got) == 7 and {r.label for r in got} == {"b"}
+    for block in (1024, 1):
+        got = nearest_labels(corpus, labelled, block).collect()
+        assert len(got) == 7 and {r.label for r in got} == {"b"}
