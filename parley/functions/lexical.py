@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,24 +97,22 @@ def keywords_met(text: Column, keywords: Sequence[str], match: str = "substring"
 
 def with_hits(
     frame: DataFrame, text: str, lexicons: Sequence[Lexicon], match: str = "substring"
-) -> tuple[DataFrame, list[list[str]]]:
-    """Add one hit-count column per label of every lexicon, all from one pass over the text.
+) -> tuple[DataFrame, list[Column]]:
+    """Add the hit counts of several lexicons from one pass over the text, as ``_hits``.
 
-    Returns the frame and, per lexicon, the names of its columns in label order.
+    Returns the frame and, per lexicon, the array<int> of its counts in label order.
     """
     groups = [keywords for lexicon in lexicons for keywords in lexicon.values()]
     counted = frame.withColumn("_hits", keyword_hits(F.col(text), groups, match))
-    names, columns = [], []
-    for number, lexicon in enumerate(lexicons):
-        own = [f"_hits_{number}_{i}" for i in range(len(lexicon))]
-        columns += [F.get("_hits", F.lit(len(columns) + i)).alias(name) for i, name in enumerate(own)]
-        names.append(own)
-    return counted.select(*frame.columns, *columns), names
+    if len(lexicons) == 1:
+        return counted, [F.col("_hits")]
+    starts = [sum(len(lexicon) for lexicon in lexicons[:n]) for n in range(len(lexicons))]
+    return counted, [F.slice("_hits", at + 1, len(lexicon)) for at, lexicon in zip(starts, lexicons)]
 
 
-def sentiment_of(positive: Column, negative: Column) -> tuple[Column, Column]:
-    """Label and score from the two hit counts."""
-    lead = positive - negative
+def sentiment_of(hits: Column) -> tuple[Column, Column]:
+    """Label and score from the positive and negative hit counts."""
+    lead = F.get(hits, F.lit(0)) - F.get(hits, F.lit(1))
     label = F.when(lead > 0, "positive").when(lead < 0, "negative").when(lead == 0, "neutral")
     score = (
         F.when(lead > 0, F.least(F.lit(SCORE_LIMIT), BASE_SCORE + lead * SCORE_STEP))
@@ -138,11 +134,12 @@ def score_sentiment(
     with_counts: bool = False,
 ) -> DataFrame:
     """Add ``sentiment``, ``sentiment_score`` and ``sentiment_confidence``."""
-    counted, [(p, n)] = with_hits(frame, text, [sentiment_sides(lexicon)], match)
-    label, score = sentiment_of(F.col(p), F.col(n))
+    counted, [hits] = with_hits(frame, text, [sentiment_sides(lexicon)], match)
+    label, score = sentiment_of(hits)
     added = ("sentiment", "sentiment_score", "sentiment_confidence")
     kept = [c for c in frame.columns if c not in added]
-    counts = [F.col(p).alias("positive_hits"), F.col(n).alias("negative_hits")] if with_counts else []
+    sides = ("positive_hits", "negative_hits") if with_counts else ()
+    counts = [F.get(hits, F.lit(i)).alias(name) for i, name in enumerate(sides)]
     return counted.select(
         *kept,
         *counts,
@@ -153,7 +150,7 @@ def score_sentiment(
 
 
 def best_labels(
-    names: Sequence[str],
+    hits: Column,
     lexicon: Lexicon,
     factor: int = 1,
     top: int = TOP_LABELS,
@@ -162,26 +159,27 @@ def best_labels(
     """array<struct<confidence, priority, label, hits>> of the best labels, from hit counts.
 
     The confidence is ``min(1, factor * hits / entries)``. Descending struct order is by
-    confidence, then by lexicon order (``priority`` is its negative); labels without a hit
-    are NULL, sort last and are cut off by the slice, so no lambda is needed.
+    confidence, then by lexicon order (``priority`` is its negative). Array functions over a
+    constant table of labels keep the expression small, whatever the size of the lexicon.
     """
-    found, kept = [], []
-    for order, (name, (label, keywords)) in enumerate(zip(names, lexicon.items()), 1):
-        hits = F.col(name)
-        confidence = F.least(hits * factor, F.lit(len(keywords))) / F.lit(float(len(keywords)))
-        counts = (hits > 0) & (confidence >= min_confidence)
-        entry = F.struct(
-            confidence.alias("confidence"),
-            F.lit(-order).alias("priority"),
-            F.lit(label).alias("label"),
-            hits.alias("hits"),
+    labels = F.array(*(
+        F.struct(F.lit(i).alias("at"), F.lit(label).alias("label"), F.lit(len(keywords)).alias("size"))
+        for i, (label, keywords) in enumerate(lexicon.items())
+    ))
+
+    def entry(label):
+        met = F.get(hits, label["at"])
+        return F.struct(
+            (F.least(met * factor, label["size"]) / label["size"]).alias("confidence"),
+            (-1 - label["at"]).alias("priority"),
+            label["label"].alias("label"),
+            met.alias("hits"),
         )
-        found.append(F.when(counts, entry))
-        kept.append(counts.cast("int"))
-    how_many = reduce(add, kept)
-    # least() passes over NULL, so a NULL text needs its own branch
-    length = F.when(how_many > top, F.lit(top)).when(how_many >= 0, how_many)
-    return F.slice(F.sort_array(F.array(*found), asc=False), F.lit(1), length)
+
+    found = F.filter(
+        F.transform(labels, entry), lambda e: (e["hits"] > 0) & (e["confidence"] >= min_confidence)
+    )
+    return F.when(hits.isNotNull(), F.slice(F.sort_array(found, asc=False), 1, top))
 
 
 def rank_labels(
@@ -195,9 +193,9 @@ def rank_labels(
     match: str = "substring",
 ) -> DataFrame:
     """Add ``out``: the best labels of the text, see :func:`best_labels`."""
-    counted, [names] = with_hits(frame, text, [lexicon], match)
+    counted, [hits] = with_hits(frame, text, [lexicon], match)
     kept = [c for c in frame.columns if c != out]
-    return counted.select(*kept, best_labels(names, lexicon, factor, top, min_confidence).alias(out))
+    return counted.select(*kept, best_labels(hits, lexicon, factor, top, min_confidence).alias(out))
 
 
 def classify_topics(
@@ -223,10 +221,21 @@ def classify_intent(
     )
 
 
+def open_array(frame: DataFrame, array: str, item: str) -> DataFrame:
+    """One row per element of an array column, with its position ``_pos`` from 0.
+
+    A plain explode makes Spark infer ``size(array) > 0`` and push it below the projection that
+    makes the array, which would compute the keyword hits twice. The outer form does not.
+    """
+    kept = [c for c in frame.columns if c != array]
+    opened = frame.select(*kept, F.posexplode_outer(array).alias("_pos", item))
+    return opened.filter(F.col("_pos").isNotNull())
+
+
 def explode_labels(frame: DataFrame, labels: str, name: str = "topic") -> DataFrame:
     """One row per label of an array made by :func:`rank_labels`; ``rank`` starts at 1."""
     kept = [c for c in frame.columns if c != labels]
-    opened = frame.select(*kept, F.posexplode(labels).alias("_pos", "_label"))
+    opened = open_array(frame.select(*kept, labels), labels, "_label")
     return opened.select(
         *kept,
         (F.col("_pos") + 1).alias("rank"),
@@ -261,8 +270,8 @@ def match_lexicon(
     ))
     kept = [c for c in frame.columns if c != text]
     met = keywords_met(F.col(text), [keyword for _, _, keyword, _ in entries], match)
-    opened = frame.select(*kept, met.alias("_met")).select(*kept, F.explode("_met").alias("_met"))
-    return opened.select(*kept, F.get(listed, F.col("_met")).alias("_entry")).select(*kept, "_entry.*")
+    opened = open_array(frame.select(*kept, met.alias("_met")), "_met", "_at")
+    return opened.select(*kept, F.get(listed, F.col("_at")).alias("_entry")).select(*kept, "_entry.*")
 
 
 def reply_category(
@@ -272,12 +281,12 @@ def reply_category(
     match: str = "substring",
 ) -> DataFrame:
     """Add ``category``: the first category with a keyword in the text."""
-    counted, [names] = with_hits(frame, text, [categories], match)
+    counted, [hits] = with_hits(frame, text, [categories], match)
     chain = None
-    for name, label in zip(names, categories):
-        hit = F.col(name) > 0
+    for at, label in enumerate(categories):
+        hit = F.get(hits, F.lit(at)) > 0
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    category = chain.when(F.col(names[0]).isNotNull(), OTHER_REPLY)
+    category = chain.when(hits.isNotNull(), OTHER_REPLY)
     return counted.select(*frame.columns, category.alias("category"))
 
 
@@ -306,7 +315,8 @@ def suggest_replies(
         ))
         condition = F.col("category") == category
         options = F.when(condition, value) if options is None else options.when(condition, value)
-    opened = labelled.select(*frame.columns, "category", F.posexplode(options).alias("_pos", "_option"))
+    listed = labelled.select(*frame.columns, "category", options.alias("_options"))
+    opened = open_array(listed, "_options", "_option")
     return opened.select(
         *frame.columns, "category", (F.col("_pos") + 1).alias("rank"), "_option.*"
     )

@@ -18,27 +18,28 @@ from pyspark.sql import functions as F
 def previous_row(
     frame: DataFrame,
     keys: Sequence[str],
-    order: Column,
+    order: Sequence[str],
+    order_value: Column,
     slice_of: Column,
     carry: Mapping[str, Column],
 ) -> DataFrame:
     """Add for every name in ``carry`` its expression's value on the previous row of the key.
 
-    ``order`` is one fixed-width value, unique within a key (see :func:`parley.functions.timing.moment`),
-    and the carried values should be fixed-width too: the summary is then a hash aggregation
-    instead of one that sorts its input. ``slice_of`` must never decrease along ``order`` and
-    must not be NULL.
+    ``order`` must be unique within a key; ``order_value`` is the same order as one fixed-width
+    value (see :func:`parley.functions.timing.moment`), and the carried values should be
+    fixed-width too: the summary is then a hash aggregation instead of one that sorts its input.
+    ``slice_of`` must never decrease along ``order`` and must not be NULL.
     """
     group = [*keys, "_slice"]
     sliced = frame.withColumns(
-        {"_slice": slice_of, "_order": order, **{f"_own_{n}": value for n, value in carry.items()}}
+        {"_slice": slice_of, **{f"_own_{n}": value for n, value in carry.items()}}
     )
-    inside = Window.partitionBy(*group).orderBy("_order")
+    inside = Window.partitionBy(*group).orderBy(*order)
     looked = sliced.withColumns({
         **{f"_near_{n}": F.lag(f"_own_{n}").over(inside) for n in carry},
         "_first": F.row_number().over(inside) == 1,
     })
-    last = sliced.groupBy(*group).agg(*(F.max_by(f"_own_{n}", "_order").alias(f"_last_{n}") for n in carry))
+    last = sliced.groupBy(*group).agg(*(F.max_by(f"_own_{n}", order_value).alias(f"_last_{n}") for n in carry))
     along = Window.partitionBy(*keys).orderBy("_slice")
     carried = last.select(*group, *(F.lag(f"_last_{n}").over(along).alias(f"_far_{n}") for n in carry))
     joined = looked.join(carried, group, "left")

@@ -12,6 +12,7 @@ from parley.functions.lexical import (
     classify_topics,
     explode_labels,
     keywords_met,
+    open_array,
 )
 from parley.functions.timing import moment
 from parley.lexicons import TOPICS, Lexicon
@@ -112,7 +113,8 @@ def topics_table(messages: DataFrame, dimensions: int | None = None, lexicon: Le
         F.when(F.arrays_overlap("met", F.array(*(F.lit(words.index(k)) for k in keywords))), F.lit(label))
         for label, keywords in lexicon.items()
     ))
-    opened = met.select("met", F.explode(member).alias("label"), *kept).filter(F.col("label").isNotNull())
+    listed = met.select("met", *kept, F.array_compact(member).alias("labels"))
+    opened = open_array(listed, "labels", "label")
     flags = [F.max(F.array_contains("met", i)).alias(f"_word_{i}") for i in range(len(words))]
     own = F.array(*(
         F.when(F.col(f"_word_{i}") & F.col("label").isin(*(l for l, ks in lexicon.items() if k in ks)), F.lit(k))

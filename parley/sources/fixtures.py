@@ -92,12 +92,13 @@ def messages(
     """``response_time``, ``sentiment`` (+ score, ``processed_at``) and ``embedding_vector``
     are present only when requested. Every third row counts as not processed yet."""
     events = table(spark, sf_dir, "events")
-    rows = add_user(add_event(table(spark, sf_dir, "conversations"), events), events)
+    rows = add_event(table(spark, sf_dir, "conversations"), events)
     extra: list[Column | str] = []
     if response_time:
         rows = previous_row(
             rows,
             ["conv_id"],
+            ["turn"],
             F.col("turn"),
             F.floor(F.col("turn") / TURNS_PER_SLICE),
             {"_asked": F.col("role") == "user", "_asked_ts": F.col("ts")},
@@ -105,7 +106,7 @@ def messages(
         gap = F.floor((epoch_micros(F.col("ts")) - epoch_micros(F.col("_asked_ts"))) / 1_000_000)
         answered = (F.col("role") == "assistant") & F.col("_asked")
         extra.append(F.when(answered, gap.cast("int")).alias("response_time"))
-    frame = shape(rows, *extra)
+    frame = shape(add_user(rows, events), *extra)
     if sentiment:
         scored = score_sentiment(frame, "message", lexicon).drop("sentiment_confidence")
         seen = F.col("id") % 3 != 0

@@ -29,8 +29,8 @@ def enrich(
     encoder=None,
 ) -> DataFrame:
     """Add sentiment, topics, optionally a vector, and the time of processing."""
-    counted, [(p, n), topic_hits] = with_hits(messages, "message", [sentiment_sides(sentiment), topics])
-    label, score = sentiment_of(F.col(p), F.col(n))
+    counted, [mood_hits, topic_hits] = with_hits(messages, "message", [sentiment_sides(sentiment), topics])
+    label, score = sentiment_of(mood_hits)
     added = ("sentiment", "sentiment_score", "sentiment_confidence", "topics")
     labelled = counted.select(
         *(c for c in messages.columns if c not in added),
