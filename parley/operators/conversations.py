@@ -35,10 +35,11 @@ REVIEW_INSTRUCTION = (
 )
 
 
-def derive_response_time(messages: DataFrame) -> DataFrame:
+def derive_response_time(messages: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """Seconds from a customer message to the admin message right after it, else NULL.
 
-    Conversations are cut into hours, so one very long conversation is spread over many tasks.
+    Conversations are cut into slices of time (``hour``, ``minute``, ...), so one very long
+    conversation is spread over many tasks; the busier it is, the finer the slice should be.
     """
     kept = [c for c in messages.columns if c != "response_time"]
     looked = previous_row(
@@ -46,7 +47,7 @@ def derive_response_time(messages: DataFrame) -> DataFrame:
         ["conversation_id"],
         ["timestamp", "id"],
         moment(F.col("timestamp"), F.col("id")),
-        F.date_trunc("hour", F.col("timestamp").cast("timestamp")),
+        F.date_trunc(slice_unit, F.col("timestamp").cast("timestamp")),
         {"_asked": F.col("sender_type") == "customer", "_asked_ts": F.col("timestamp")},
     )
     gap = epoch_micros(F.col("timestamp")) - epoch_micros(F.col("_asked_ts"))

@@ -54,6 +54,7 @@ def test_response_time_of_a_hot_conversation_matches_a_loop(spark):
         rows.append((i, conv, at, rng.choice(["customer", "admin", "system"])))
     frame = spark.createDataFrame(rows, "id long, conversation_id long, timestamp timestamp, sender_type string")
     got = {r.id: r.response_time for r in derive_response_time(frame).collect()}
+    assert got == {r.id: r.response_time for r in derive_response_time(frame, "minute").collect()}
     want = {}
     for conv in range(50):
         before = None
