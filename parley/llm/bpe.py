@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of byte-level BPE: its split pattern, with white space spelled out (Unicode White_Space).
-_WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(
+    map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WHITE + r"\p{L}\p{N}]+|["
     + _WHITE + r"]+(?![^" + _WHITE + r"])|[" + _WHITE + r"]+"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding
+from . import bpe, quality_rules, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+@query("op7_robust_quality")
+def op7_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_verdicts(documents(spark, folder))
+
+
 @query("op10_byte_shards")
 def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder), shards=8)
