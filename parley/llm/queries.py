@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, sharding
+from . import bpe, packing, quality_rules, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op7_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, folder))
 
 
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 @query("op10_byte_shards")
 def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder), shards=8)
