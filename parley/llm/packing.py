@@ -27,9 +27,6 @@ from .common import written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: Runs without white space from this length on go to the tokenizer library itself.
-LONG_RUN = 20_000
-
 
 class Encoder:
     """Token ids as the tokenizers library gives them for a byte-level BPE file, about five times as fast."""
@@ -47,8 +44,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
 
     def ids(self, text: str) -> np.ndarray:
-        odd = any(s in text for s in self.special)
-        if odd or (len(text) >= LONG_RUN and max(map(len, text.split()), default=0) >= LONG_RUN):
+        if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.core.encode_to_numpy(text).astype("<u4") if text else np.empty(0, dtype="<u4")
 
