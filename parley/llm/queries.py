@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, sharding
+from . import bpe, ngram_join, packing, quality_rules, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    classes = ngram_join.similar_classes(documents(spark, folder), n=5, threshold=0.8, recall=0.9995)
+    return classes.select("doc_id", "class_id", "n_links")
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
