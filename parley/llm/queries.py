@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, quality_rules, sharding
+from . import bpe, line_dedup, ngram_join, packing, quality_rules, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op7_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, folder))
 
 
+@query("op8_fuzzy_lines")
+def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    source = documents(spark, folder).select("doc_id", "text")
+    return line_dedup.dedup_lines(source, width=12, threshold=0.8, hashes=10, counts=True)
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
