@@ -275,7 +275,7 @@ def similar_classes(
             own_batches, "place int, band long, low int, high int, n1 long, n2 long, block int"
         ), "join-owned",
     )
-    wanted = owned.select(*NODE).distinct()
+    wanted = owned.select(*NODE).distinct().hint("merge")  # one plan at every size: it grows with the input
     texts = source.join(wanted, NODE, "left_semi").groupBy(*NODE).agg(F.any_value("text").alias("text"))
     compared = owned.join(texts, NODE).join(nodes.select(*NODE, "copies", "bands"), NODE)
     found = written(
