@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, ngram_join, packing, quality_rules, sharding
+from . import bpe, line_dedup, mixing, ngram_join, ordinal, packing, pii, quality_rules, sharding
 from .common import documents
+from .mixing_sql import mixture_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,12 +26,51 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op1_feistel_pseudonyms")
+def op1_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    # a real run takes its key from a secret store; a fixed one keeps this query's result comparable
+    return pii.pseudonymise_documents(documents(spark, folder), key=b"key of the registered query")
+
+
 @query("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     classes = ngram_join.similar_classes(documents(spark, folder), n=5, threshold=0.8, recall=0.9995)
     return classes.select("doc_id", "class_id", "n_links")
 
 
+#: The mixture of the registered query: domains by source, then languages, then sources.
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = ({"crawl": 4, "library": 4, "forum": 2}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {})
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 4, 7
+
+
+def with_domain(frame: DataFrame) -> DataFrame:
+    """``frame`` plus ``domain``: the large crawl, sources of one digit, the others."""
+    domain = F.when(F.col("source") == "src0", "crawl").when(F.length("source") == 4, "library").otherwise("forum")
+    return frame.withColumn("domain", domain)
+
+
+_DOMAIN_SQL = (
+    "SELECT doc_id, text, CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'library' "
+    "ELSE 'forum' END AS domain, lang, source FROM documents"
+)
+
+
+@query("op3_mix_sources", mixture_sql(_DOMAIN_SQL, MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED))
+def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    source = with_domain(documents(spark, folder))
+    return mixing.mix_documents(source, MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+@query("op4_ordinal_quality")
+def op4_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    source = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    ratings = labels.select("doc_id", ordinal.label_grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = ordinal.fit_documents(source, ratings, max_rows=20_000)
+    return ordinal.grade_documents(source, model, good=2, least=0.5)
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
