@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, ngram_join, ordinal, packing, pii, quality_rules, sharding
+from . import bpe, line_dedup, mixing, ngram_join, ordinal, packing, pii, quality_rules, sharding, topk
 from .common import documents
 from .mixing_sql import mixture_sql
 
@@ -44,10 +44,10 @@ MIX_WEIGHTS = ({"crawl": 4, "library": 4, "forum": 2}, {"en": 5, "de": 2, "fr":
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 4, 7
 
 
-def with_domain(frame: DataFrame) -> DataFrame:
-    """``frame`` plus ``domain``: the large crawl, sources of one digit, the others."""
+def with_domain(frame: DataFrame, name: str = "domain") -> DataFrame:
+    """``frame`` plus a domain: the large crawl, sources of one digit, the others."""
     domain = F.when(F.col("source") == "src0", "crawl").when(F.length("source") == 4, "library").otherwise("forum")
-    return frame.withColumn("domain", domain)
+    return frame.withColumn(name, domain)
 
 
 _DOMAIN_SQL = (
@@ -71,6 +71,25 @@ def op4_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return ordinal.grade_documents(source, model, good=2, least=0.5)
 
 
+@query(
+    "op5_exact_top_k",
+    """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM whole),
+scores AS (
+    SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::BIGINT AS score
+    FROM parts a JOIN parts b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+)
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return topk.top_k(vectors, queries=F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
