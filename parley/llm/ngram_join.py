@@ -31,7 +31,9 @@ def band_plan(threshold: float, recall: float, hashes: int = 128) -> tuple[int,
     best = None
     for rows in range(1, hashes + 1):
         chance = threshold**rows
-        bands = 1 if chance >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - chance))
+        if chance * hashes < 1e-6:
+            break
+        bands = 1 if chance >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-chance))
         if bands * rows <= hashes:
             best = (bands, rows)
     if best is None:
