@@ -21,6 +21,9 @@ BUSINESS_ZONE = "Asia/Bangkok"
 
 Day = date | str
 
+#: The date column a stored table is partitioned by: the day of its time column in the session zone.
+PARTITION = "day"
+
 
 def as_day(day: Day) -> date:
     """Accept a date, a datetime (its time part is dropped) or an ISO string."""
@@ -48,16 +51,28 @@ def _midnight(frame: DataFrame, column: str, day: date, tz: str | None) -> Colum
 
 def in_days(frame: DataFrame, column: str, start: Day, end: Day, tz: str | None = None) -> Column:
     """Both days included. Written as a half-open range on the bare column: it is pushed
-    to the parquet scan and prunes row groups, which ``to_date(ts)`` relies on a rewrite for."""
+    to the parquet scan and prunes row groups, which ``to_date(ts)`` relies on a rewrite for.
+    On a table partitioned by day the partitions are bounded too, one day wider where a zone is given."""
     first, last = as_day(start), as_day(end)
     ts = F.col(column)
     after_last = _midnight(frame, column, last + timedelta(days=1), tz)
-    return (ts >= _midnight(frame, column, first, tz)) & (ts < after_last)
+    exact = (ts >= _midnight(frame, column, first, tz)) & (ts < after_last)
+    if not _partitioned(frame, column):
+        return exact
+    wider = timedelta(days=0 if tz is None else 1)
+    return exact & F.col(PARTITION).between(F.lit(first - wider), F.lit(last + wider))
+
+
+def _partitioned(frame: DataFrame, column: str) -> bool:
+    """Whether the frame still has the partition column that belongs to its time column."""
+    return column == "timestamp" and PARTITION in frame.columns and isinstance(frame.schema[PARTITION].dataType, T.DateType)
 
 
 def trailing_days(frame: DataFrame, column: str, as_of: Day, days: int) -> Column:
     """From midnight ``days`` before ``as_of``, without an upper bound."""
-    return F.col(column) >= F.lit(as_day(as_of) - timedelta(days=days))
+    first = as_day(as_of) - timedelta(days=days)
+    exact = F.col(column) >= F.lit(first)
+    return exact & (F.col(PARTITION) >= F.lit(first)) if _partitioned(frame, column) else exact
 
 
 def local_time(frame: DataFrame, column: str, tz: str | None) -> Column:

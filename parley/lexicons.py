@@ -112,12 +112,10 @@ def lexicon_frame(spark: SparkSession, name: str, lexicon: Lexicon) -> DataFrame
     return spark.createDataFrame(rows, schema)
 
 
-def lexicon_from_frame(frame: DataFrame, max_entries: int = 2000) -> Lexicon:
-    """Read a lexicon kept as a table; refuses one too large to be part of an expression."""
-    rows = frame.select("label", "label_order", "keyword").limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"a lexicon holds at most {max_entries} entries")
+def lexicon_from_frame(frame: DataFrame) -> Lexicon:
+    """Read a lexicon kept as a table. It becomes part of the expression, so it is meant for keyword
+    lists a person maintains."""
     lexicon: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: r["label_order"]):
+    for row in frame.select("label", "label_order", "keyword").orderBy("label_order").collect():
         lexicon.setdefault(row["label"], []).append(row["keyword"])
     return lexicon

@@ -11,7 +11,7 @@ from parley.lexicons import TOPICS, Lexicon
 from parley.operators.filters import newest
 from parley.operators.slices import first_rows, previous_row
 from parley.operators.topics import conversation_top_topics
-from parley.schema import SENTIMENTS
+from parley.schema import CONVERSATION_STATES, SENTIMENTS
 
 DIGITS = 6
 
@@ -97,7 +97,7 @@ def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) ->
     Measures are taken per conversation and user first, where all of them are fixed-width and
     hash-aggregated in one pass over the messages; the few rows left are folded into
     conversations, whose user is that of the first message. ``summary`` text is produced
-    elsewhere and left NULL; a conversation nobody closed is ``active``.
+    elsewhere and left NULL; a conversation nobody closed is ``active`` and not ``resolved``.
     """
     satisfied = F.when(F.col("sentiment").isNotNull(), satisfaction_score(F.col("sentiment")))
     pairs = messages.groupBy("conversation_id", "user_id").agg(
@@ -142,8 +142,10 @@ def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) ->
         *SENTIMENTS,
         F.lit(None).cast("string").alias("summary"),
         F.coalesce(F.col("_tags.topic"), F.array().cast("array<string>")).alias("tags"),
-        F.lit("active").alias("status"),
+        F.lit(CONVERSATION_STATES[0]).alias("status"),
+        F.lit(False).alias("resolved"),
         F.lit(as_of).cast("timestamp").alias("created_at"),
+        F.lit(as_of).cast("timestamp").alias("updated_at"),
     )
 
 

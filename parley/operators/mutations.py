@@ -24,7 +24,10 @@ def append_messages(table: DataFrame, rows: DataFrame, now: datetime | Column) -
 
 
 def latest_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last write per key, combined before the shuffle, so a hot key costs one row per task."""
+    """The last write per key, combined before the shuffle, so a hot key costs one row per task.
+
+    The combining sorts each task's rows by key, as whole rows cannot be kept in place.
+    """
     values = [c for c in rows.columns if c not in key]
     last = F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
     return rows.groupBy(*key).agg(last).select(*key, "_last.*")
@@ -71,15 +74,20 @@ def patch_columns(
     columns: Sequence[str],
     processed_at: datetime | Column,
     key: str = "id",
+    order: Sequence[str] | None = None,
+    only_new: bool = False,
 ) -> DataFrame:
     """Set ``columns`` and ``processed_at`` on the rows a patch exists for.
 
-    ``patches`` holds at most one row per key. A patch may set a column to NULL.
+    Of several patches of a key the last by ``order`` counts; without an order the one with the greatest
+    values, so a row is never doubled. A patch may set a column to NULL. With ``only_new`` rows that were
+    processed before stay as they are.
     """
     stamp = processed_at if isinstance(processed_at, Column) else F.lit(processed_at)
+    patches = latest_per_key(patches.select(key, *columns, *(c for c in order or () if c not in (key, *columns))), [key], order or columns)
     renamed = patches.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_patched"))
     joined = table.join(renamed, key, "left")
-    hit = F.col("_patched").isNotNull()
+    hit = F.col("_patched").isNotNull() & (F.col("processed_at").isNull() if only_new else F.lit(True))
     out = []
     for c in table.columns:
         if c in columns:
@@ -103,3 +111,8 @@ def after_cleanup(table: DataFrame, as_of: datetime | Column, expires: str = "ex
     A row expiring exactly then is neither readable nor removed.
     """
     return table.filter(F.col(expires) >= as_of)
+
+
+def expired_rows(table: DataFrame, as_of: datetime | Column, expires: str = "expires_at") -> DataFrame:
+    """Rows a cleanup removes."""
+    return table.filter(F.col(expires) < as_of)

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that a key is cut into where its first rows are too many for Spark's own cut.
+SPLITS = 64
+
+
 def previous_row(
     frame: DataFrame,
     keys: Sequence[str],
@@ -55,7 +59,14 @@ def first_rows(
     """The first ``count`` rows of every key, numbered from 1.
 
     The bare ``row_number() <= count`` form lets Spark cut each key down to ``count`` rows in
-    every task before the shuffle, so the size of a key does not matter.
+    every task before the shuffle, so the size of a key does not matter. Spark does so up to its
+    ``windowGroupLimitThreshold``; for more rows a key is first cut in ``SPLITS`` parts, each of
+    which keeps its first ``count``.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
+    if count > int(frame.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in frame.columns]), F.lit(SPLITS))
+        cut = frame.withColumn("_part", part)
+        inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+        frame = cut.withColumn("_nth", F.row_number().over(inside)).filter(F.col("_nth") <= count).drop("_part", "_nth")
     return frame.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= count)

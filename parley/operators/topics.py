@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from parley.functions.timing import moment
 from parley.lexicons import TOPICS, Lexicon
 from parley.operators.filters import latest_customer_messages, sender
 from parley.operators.slices import first_rows
+from parley.schema import MAX_TOPIC_NAME
 
 DIGITS = 6
 
@@ -98,12 +99,14 @@ def conversation_top_topics(messages: DataFrame, lexicon: Lexicon = TOPICS, coun
     )
 
 
-def topics_table(messages: DataFrame, dimensions: int | None = None, lexicon: Lexicon = TOPICS) -> DataFrame:
-    """The topic dictionary: name, keywords met, message count and mean vector.
+def topics_table(
+    messages: DataFrame, dimensions: int | None = None, lexicon: Lexicon = TOPICS, as_of: datetime | None = None
+) -> DataFrame:
+    """The topic dictionary: name, keywords met, message count, mean vector and times of writing.
 
-    Membership is "at least one keyword of the topic occurs". The mean vector is taken by a
-    vector aggregate with one buffer per topic and task instead of one row per component;
-    vectors of another length are left out of it.
+    Membership is "at least one keyword of the topic occurs". Counts, keywords and mean vector come
+    from one aggregate over one pass; vectors of another length are left out of the mean, which is NULL
+    where none is left.
     """
     customers = sender(messages, "customer")
     words = list(dict.fromkeys(k for keywords in lexicon.values() for k in keywords))
@@ -120,13 +123,16 @@ def topics_table(messages: DataFrame, dimensions: int | None = None, lexicon: Le
         F.when(F.col(f"_word_{i}") & F.col("label").isin(*(l for l, ks in lexicon.items() if k in ks)), F.lit(k))
         for i, k in enumerate(words)
     ))
-    dictionary = opened.groupBy("label").agg(F.count("*").alias("frequency"), *flags).select(
-        "label", "frequency", F.sort_array(F.array_compact(own)).alias("topic_keywords")
-    )
+    usable = F.size("embedding_vector") == dimensions
+    means = [
+        F.avg(F.when(usable, F.get("embedding_vector", F.lit(i)))).alias(f"_mean_{i}") for i in range(dimensions or 0)
+    ]
+    counted = opened.groupBy("label").agg(F.count("*").alias("frequency"), *flags, *means)
+    columns = [F.col("label").alias("topic_name"), "frequency", F.sort_array(F.array_compact(own)).alias("topic_keywords")]
     if dimensions:
-        usable = opened.filter(F.size("embedding_vector") == dimensions)
-        centres = usable.groupBy("label").agg(
-            vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding_vector")))).alias("embedding_vector")
-        )
-        dictionary = dictionary.join(centres, "label", "left")
-    return dictionary.withColumnRenamed("label", "topic_name")
+        centre = F.array(*[f"_mean_{i}" for i in range(dimensions)])
+        columns.append(F.when(F.col("_mean_0").isNotNull(), centre).alias("embedding_vector"))
+    stamp = F.lit(as_of).cast("timestamp")
+    return counted.select(*columns, stamp.alias("created_at"), stamp.alias("updated_at")).where(
+        F.length("topic_name") <= MAX_TOPIC_NAME
+    )

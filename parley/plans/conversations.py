@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from parley.lexicons import PROBE_TOPICS
@@ -13,7 +15,9 @@ from parley.plans.registry import query
 from parley.plans.texts import NOW, TOP_TOPICS
 from parley.session import fresh_folder
 from parley.sources.fixtures import messages, table
-from parley.sources.sinks import write_by_date
+from parley.sources.sinks import upsert_days, write_by_date
+
+EARLIER = datetime(2024, 1, 10)
 
 SUMMARY = """SELECT conversation_id, count(*) AS total_messages,
     count(*) FILTER (WHERE sender_type = 'customer') AS customer_messages,
@@ -63,16 +67,22 @@ def _(spark, sf):
         SELECT b.conversation_id, user_id, start_time, end_time, CAST(start_time AS DATE) AS start_date,
                CAST(total_messages AS INT) AS total_messages, CAST(customer_messages AS INT) AS customer_messages,
                CAST(admin_messages AS INT) AS admin_messages, duration_minutes, avg_response_time, satisfaction_score,
-               positive, negative, neutral, coalesce(tags, '') AS tags, 'active' AS status
+               positive, negative, neutral, coalesce(tags, '') AS tags, 'active' AS status, false AS resolved,
+               TIMESTAMP '2024-01-15 00:00:00' AS updated_at
         FROM b LEFT JOIN (SELECT conversation_id, string_agg(topic, ',' ORDER BY rank) AS tags FROM g GROUP BY 1) USING (conversation_id)"""
     ),
 )
 def _(spark, sf):
     rows = messages(spark, sf, response_time=True, sentiment=True)
     path = fresh_folder(spark, "summaries")
-    write_by_date(conversations.full_summary(rows, PROBE_TOPICS, NOW), path, "start_date", "conversation_id")
-    stored = spark.read.parquet(path)
+    # the table as of an earlier day, then brought up to date on its key
+    before = conversations.full_summary(rows.where(F.col("id") % 5 != 0), PROBE_TOPICS, EARLIER)
+    write_by_date(before, path, "start_date")
+    stored = spark.read.schema(before.schema).parquet(path)
+    upsert_days(path, stored, conversations.full_summary(rows, PROBE_TOPICS, NOW), ["conversation_id"], day="start_date")
+    stored = spark.read.schema(before.schema).parquet(path)
     return stored.drop("summary", "created_at").withColumns({
+        "updated_at": F.col("updated_at").cast("timestamp_ntz"),
         "tags": F.array_join("tags", ","),
         "avg_response_time": F.col("avg_response_time").cast("double"),
         "satisfaction_score": F.col("satisfaction_score").cast("double"),

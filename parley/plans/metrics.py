@@ -220,13 +220,13 @@ def _(spark, sf):
     return metrics.satisfaction_overall(messages(spark, sf, sentiment=True))
 
 
-@query(
-    "satisfaction_trend",
-    with_messages(
-        f"SELECT {DAY} AS date, round(avg({SCORE}), 6) AS satisfaction_score FROM m"
-        " WHERE sentiment IS NOT NULL AND \"timestamp\" >= DATE '2024-01-15' - 30 GROUP BY 1"
-    ),
+SATISFACTION_TREND = with_messages(
+    f"SELECT {DAY} AS date, round(avg({SCORE}), 6) AS satisfaction_score FROM m"
+    " WHERE sentiment IS NOT NULL AND \"timestamp\" >= DATE '2024-01-15' - 30 GROUP BY 1"
 )
+
+
+@query("satisfaction_trend", SATISFACTION_TREND)
 def _(spark, sf):
     return metrics.satisfaction_trend(messages(spark, sf, sentiment=True), AS_OF)
 

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from parley.plans import conversations, metrics, rows, streams, tables, texts, vectors  # noqa: F401
+    from parley.plans import conversations, metrics, rows, stored, streams, tables, texts, vectors  # noqa: F401

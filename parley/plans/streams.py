@@ -30,6 +30,10 @@ def _stamp():
     return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
 
 
+def _later():
+    return F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+
+
 _STREAM_ENRICH = f"""WITH {MESSAGE_VIEW}, s AS ({scored('v', 'message', PROBE_SENTIMENT)})
     SELECT s.id, label AS sentiment, score AS sentiment_score, coalesce(t.topics, '') AS topics,
            TIMESTAMP '2024-01-15 00:00:00' AS processed_at
@@ -59,16 +63,25 @@ def _(spark, sf):
     with_messages(
         """SELECT s.id, CASE WHEN w THEN s.label ELSE m.sentiment END AS sentiment,
                   CASE WHEN w THEN s.score ELSE m.sentiment_score END AS sentiment_score,
-                  CASE WHEN w THEN TIMESTAMP '2024-01-15 00:00:00' ELSE m.processed_at END AS processed_at
+                  CASE WHEN w AND m.id % 2 = 0 THEN TIMESTAMP '2024-01-15 00:00:00'
+                       WHEN w THEN TIMESTAMP '2024-01-16 00:00:00' ELSE m.processed_at END AS processed_at
            FROM (SELECT *, processed_at IS NULL AND sender_type = 'customer' AS w FROM m) m JOIN s ON s.id = m.id"""
     ),
 )
 def _(spark, sf):
     stored = messages(spark, sf, sentiment=True)
-    done = F.when(F.col("id") % 3 != 0, F.col("timestamp")).alias("processed_at")
-    arriving = message_stream(spark, sf).select("*", done)
-    patched = incremental_enrich(stored, arriving, fresh_folder(spark, "queue"), _stamp(), PROBE_SENTIMENT)
-    return patched.select("id", "sentiment", "sentiment_score", "processed_at")
+    # two arrivals: the second delivers some messages again, which must not touch what the first call stored
+    inbox, folder = fresh_folder(spark, "inbox"), fresh_folder(spark, "queue")
+    rows = messages(spark, sf).withColumn("processed_at", F.when(F.col("id") % 3 != 0, F.col("timestamp")))
+    result = stored
+    for number, (chosen, stamp) in enumerate(((F.col("id") % 2 == 0, _stamp()), (F.col("id") % 4 != 2, _later()))):
+        rows.where(chosen).write.mode("append").parquet(inbox)
+        arriving = scan_message_stream(spark, inbox, rows.schema)
+        worked = incremental_enrich(result, arriving, folder, stamp, PROBE_SENTIMENT, PROBE_TOPICS)
+        path = fresh_folder(spark, f"worked-{number}")
+        worked.table.write.parquet(path)
+        result = spark.read.schema(worked.table.schema).parquet(path)
+    return result.select("id", "sentiment", "sentiment_score", "processed_at")
 
 
 def _windows_sql(width: str) -> str:
@@ -94,10 +107,21 @@ def _(spark, sf):
     return _ntz(stream_kpis(messages(spark, sf), "1 day"))
 
 
-@query("stream_kpis_approx")
+@query(
+    "stream_kpis_approx",
+    with_messages(
+        """SELECT date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 day AS window_end,
+                  count(*) AS messages, count(*) FILTER (WHERE sender_type = 'customer') AS customer_messages,
+                  count(DISTINCT conversation_id) AS exact, true AS close FROM v GROUP BY 1, 2"""
+    ),
+)
 def _(spark, sf):
     kpis = stream_kpis(message_stream(spark, sf), "1 day", approx_conversations=True)
-    return _ntz(drain_updates(kpis, fresh_folder(spark, "kpis"), ["window_start", "window_end"]))
+    found = _ntz(drain_updates(kpis, fresh_folder(spark, "kpis"), ["window_start", "window_end"]))
+    days = F.date_trunc("day", F.col("timestamp").cast("timestamp")).cast("timestamp_ntz").alias("window_start")
+    exact = messages(spark, sf).groupBy(days).agg(F.countDistinct("conversation_id").alias("exact"))
+    near = F.abs(F.col("conversations") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.15)
+    return found.join(exact, "window_start").withColumn("close", near).drop("conversations")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -14,7 +14,16 @@ from parley.plans.rows import END, START
 from parley.session import fresh_folder
 from parley.sources.fixtures import messages, table
 from parley.sources.readers import scan_messages
-from parley.sources.sinks import cached, export_rows, load_result
+from parley.sources.sinks import (
+    cached,
+    clean_results,
+    expire_days,
+    export_rows,
+    load_result,
+    patch_days,
+    upsert_days,
+    write_by_date,
+)
 
 NOW = datetime(2024, 1, 15)
 
@@ -23,6 +32,14 @@ def _now():
     return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
 
 
+def _stored(rows, time, label):
+    """The rows as a table partitioned by day, and how to read it."""
+    path = fresh_folder(rows.sparkSession, label)
+    dated = rows.withColumn("day", F.to_date(time))
+    write_by_date(dated, path, "day")
+    return path, lambda: rows.sparkSession.read.schema(dated.schema).parquet(path)
+
+
 def _document_messages(spark, sf):
     """Every document as an incoming message without type, time and metadata."""
     return table(spark, sf, "documents").select(
@@ -71,8 +88,10 @@ def _(spark, sf):
         F.count("*").cast("double").alias("value"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
     )
-    events = table(spark, sf, "events").select("user_id", "event_id", "value", "ts")
-    return mutations.upsert(stored, events, ["user_id"], ["ts", "event_id"])
+    events = table(spark, sf, "events").select("user_id", "event_id", "value", "ts", F.to_date("ts").alias("day"))
+    path, read = _stored(stored, "ts", "settings")
+    upsert_days(path, read(), events, ["user_id"], ["ts", "event_id"])
+    return read().drop("day")
 
 
 @query(
@@ -89,10 +108,11 @@ def _(spark, sf):
     from parley.lexicons import PROBE_SENTIMENT
 
     rows = messages(spark, sf, sentiment=True)
+    path, read = _stored(rows, "timestamp", "patched")
     waiting = rows.filter(F.col("processed_at").isNull()).select("id", "message")
     patches = score_sentiment(waiting, lexicon=PROBE_SENTIMENT)
-    patched = mutations.patch_columns(rows, patches, ["sentiment", "sentiment_score"], _now())
-    return patched.select("id", "sentiment", "sentiment_score", "processed_at")
+    patch_days(path, read(), patches, ["sentiment", "sentiment_score"], _now())
+    return read().select("id", "sentiment", "sentiment_score", "processed_at")
 
 
 @query(
@@ -147,28 +167,38 @@ def _(spark, sf):
         (F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"),
     )
     live = mutations.live_rows(rows, _now()).withColumn("kind", F.lit("live"))
-    kept = mutations.after_cleanup(rows, _now()).withColumn("kind", F.lit("kept"))
-    return live.unionByName(kept)
+    path, read = _stored(rows, "expires_at", "expiring")
+    expire_days(path, read(), _now())
+    return live.unionByName(read().drop("day").withColumn("kind", F.lit("kept")))
 
 
 @query("materialize_result", with_messages(DAILY))
 def _(spark, sf):
     base = fresh_folder(spark, "results")
     daily = metrics.daily_conversations(messages(spark, sf), START, END)
+    # another result of nearly the same name, and one that has expired
+    cached(daily.limit(1), base, "daily-conversations", NOW)
+    cached(daily.limit(2), base, "daily_conversations", NOW - timedelta(days=1))
     cached(daily, base, "daily_conversations", NOW)
+    clean_results(spark, base, NOW)
     return load_result(spark, base, "daily_conversations", NOW)
 
 
-EXPORT = with_messages(OLD_ROWS + ' ORDER BY "timestamp" DESC, id DESC LIMIT 50000')
+EXPORT = with_messages(OLD_ROWS)
 
 
-def _exported(spark, sf, fmt):
+def _exported(spark, sf, fmt, limit=None):
     path = fresh_folder(spark, f"export-{fmt}")
     rows = messages(spark, sf)
-    export_rows(rows, path, "messages", fmt, F.col("timestamp").desc(), F.col("id").desc())
+    export_rows(rows, path, fmt, F.col("timestamp").desc(), F.col("id").desc(), limit=limit)
     return scan_messages(spark, path, fmt, rows.schema)
 
 
+@query("export_rows_limited", with_messages(OLD_ROWS + ' ORDER BY "timestamp" DESC, id DESC LIMIT 100'))
+def _(spark, sf):
+    return _exported(spark, sf, "json", 100)
+
+
 @query("export_rows", EXPORT)
 def _(spark, sf):
     return _exported(spark, sf, "csv")

@@ -19,6 +19,7 @@ from parley.lexicons import (
     TOPICS,
 )
 from parley.operators import topics
+from parley.operators.mutations import upsert
 from parley.plans.oracle import (
     hits,
     lexicon_values,
@@ -29,7 +30,9 @@ from parley.plans.oracle import (
     with_messages,
 )
 from parley.plans.registry import query
+from parley.session import fresh_folder
 from parley.sources.fixtures import messages, table
+from parley.sources.sinks import replace_table
 
 NOW = datetime(2024, 1, 15)
 
@@ -253,18 +256,27 @@ def _(spark, sf):
         x AS (SELECT g.label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos
               FROM (SELECT DISTINCT id, label FROM h) g JOIN embeddings ON vec_id = g.id),
         e AS (SELECT label, pos, avg(x::DOUBLE) AS x FROM x GROUP BY label, pos)
-        SELECT d.label AS topic_name, frequency, keywords, CAST(pos AS INT) AS pos, round(x, 5) AS x
+        SELECT d.label AS topic_name, frequency, keywords, CAST(pos AS INT) AS pos, round(x, 5) AS x,
+               TIMESTAMP '2024-01-15 00:00:00' AS updated_at
         FROM d JOIN e USING (label)"""
     ),
 )
 def _(spark, sf):
-    found = topics.topics_table(messages(spark, sf, vectors=True), 64, PROBE_TOPICS)
+    rows, path = messages(spark, sf, vectors=True), fresh_folder(spark, "topics")
+    # the dictionary as of an earlier day, then brought up to date on its key
+    replace_table(topics.topics_table(rows.where(F.col("id") % 2 == 0), 64, PROBE_TOPICS, datetime(2024, 1, 10)), path)
+    fresh = topics.topics_table(rows, 64, PROBE_TOPICS, datetime(2024, 1, 15))
+    replace_table(upsert(spark.read.schema(fresh.schema).parquet(path), fresh, ["topic_name"]), path)
+    found = spark.read.schema(fresh.schema).parquet(path)
     return found.select(
         "topic_name",
         "frequency",
+        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
         F.array_join("topic_keywords", " ").alias("keywords"),
         F.posexplode("embedding_vector").alias("pos", "x"),
-    ).select("topic_name", "frequency", "keywords", (F.col("pos") + 1).alias("pos"), F.round("x", 5).alias("x"))
+    ).select(
+        "topic_name", "frequency", "keywords", (F.col("pos") + 1).alias("pos"), F.round("x", 5).alias("x"), "updated_at"
+    )
 
 
 # -- cleaning --------------------------------------------------------------------------------

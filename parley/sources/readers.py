@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions.timing import PARTITION
 from parley.functions.vectors import decode_vector
 from parley.schema import MESSAGES
 
@@ -49,6 +50,15 @@ def scan_messages(
     return frame.select(*columns) if columns else frame
 
 
+def stored_form(messages: DataFrame) -> DataFrame:
+    """Rows in the types of the stored message table, with the day it is partitioned by; missing columns are NULL."""
+    columns = [
+        (F.col(f.name) if f.name in messages.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in MESSAGES.fields
+    ]
+    return messages.select(*columns).withColumn(PARTITION, F.to_date("timestamp"))
+
+
 def scan_database(
     spark: SparkSession,
     url: str,
@@ -81,10 +91,7 @@ def scan_message_stream(
     files_per_batch: int = 64,
     pattern: str | None = None,
 ) -> DataFrame:
-    """The same table as a stream of arriving parquet files.
-
-    ``files_per_batch`` bounds a micro-batch, and with it what one key can bring into one.
-    """
+    """The same table as a stream of arriving parquet files; ``files_per_batch`` bounds a micro-batch."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

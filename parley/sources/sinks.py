@@ -1,19 +1,25 @@
-"""Materialised results with a time to live, partitioned tables and capped exports."""
+"""Materialised results with a time to live, tables partitioned by day, and exports."""
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import hashlib
+import uuid
+from collections.abc import Sequence
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators.mutations import after_cleanup, live_rows
+from parley.operators.mutations import after_cleanup, expired_rows, latest_per_key, live_rows, patch_columns, upsert
 from parley.schema import RESULT_MANIFEST
+from parley.session import fresh_folder
 from parley.streaming.sinks import table_exists
 
-# Time to live and export caps.
+# Fixed value: time to live.
 RESULT_HOURS = 1
-EXPORT_CAPS = {"conversations": 10_000, "messages": 50_000, "analytics": 1_000}
+
+#: Rows of a file of a partitioned table.
+FILE_ROWS = 5_000_000
 
 # Text formats that keep microseconds.
 TIME_FORMATS = {
@@ -34,7 +40,7 @@ def store_result(
     ``now`` is taken in the session zone.
     """
     spark = result.sparkSession
-    path = f"{base}/{_name(key, now)}"
+    path = f"{base}/{_name(key)}"
     result.write.mode("overwrite").parquet(path)
     if spark.read.schema(result.schema).parquet(path).isEmpty():
         return False
@@ -43,9 +49,9 @@ def store_result(
     return True
 
 
-def _name(key: str, now: datetime) -> str:
-    safe = "".join(c if c.isalnum() else "_" for c in key)
-    return f"results/{safe}-{now:%Y%m%dT%H%M%S%f}"
+def _name(key: str) -> str:
+    """A folder that no other result has: the key's hash and an id of its own."""
+    return f"results/{hashlib.sha256(key.encode()).hexdigest()[:16]}-{uuid.uuid4().hex}"
 
 
 def manifest(spark: SparkSession, base: str) -> DataFrame:
@@ -71,26 +77,118 @@ def cached(result: DataFrame, base: str, key: str, now: datetime, hours: float =
     return load_result(spark, base, key, now) if kept else result
 
 
-def cleaned_manifest(spark: SparkSession, base: str, now: datetime | Column) -> DataFrame:
-    """The manifest without rows that expired before ``now``."""
-    return after_cleanup(manifest(spark, base), now)
+def clean_results(spark: SparkSession, base: str, now: datetime) -> int:
+    """Remove the results that expired before ``now``, payload and manifest row; returns how many."""
+    path = _manifest_path(base)
+    if not table_exists(spark, path):
+        return 0
+    gone = expired_rows(manifest(spark, base), now).select("result_path").collect()
+    if gone:
+        replace_table(after_cleanup(manifest(spark, base), now), path)
+        for row in gone:
+            remove_folder(spark, row["result_path"])
+    return len(gone)
 
 
-def write_by_date(
-    frame: DataFrame, path: str, date: str, spread: str, files_per_date: int = 4, mode: str = "overwrite"
-) -> None:
-    """Write partitioned by a date column. The rows of a date go to a few tasks by the hash of
-    ``spread``, a near-unique column, so a busy date is not one task."""
-    salt = F.pmod(F.xxhash64(spread), F.lit(files_per_date))
-    frame.repartition(F.col(date), salt).write.mode(mode).partitionBy(date).parquet(path)
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def replace_table(frame: DataFrame, path: str) -> None:
+    """Overwrite an unpartitioned table, possibly with what was read from it: staged before the swap."""
+    staged = _staged(frame)
+    staged.write.mode("overwrite").parquet(path)
+
+
+def _staged(frame: DataFrame) -> DataFrame:
+    path = fresh_folder(frame.sparkSession, "staged")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def write_by_date(frame: DataFrame, path: str, day: str, mode: str = "overwrite") -> None:
+    """Write partitioned by a date column. Spark rebalances by size: a busy date is split over as many
+    tasks as its rows need, quiet dates share one."""
+    balanced = frame.hint("rebalance", day)
+    balanced.write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).partitionBy(day).parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, schema, day: str = "day") -> DataFrame:
+    """A table partitioned by ``day``; date ranges on it open only the days they touch."""
+    from pyspark.sql import types as T
 
+    whole = T.StructType([*schema.fields, T.StructField(day, T.DateType())])
+    return spark.read.schema(whole).parquet(path)
 
-def export_rows(frame: DataFrame, path: str, kind: str, fmt: str, *order: Column) -> None:
-    """CSV or JSON export of at most the rows its kind allows, in the given order."""
-    capped = frame.orderBy(*order).limit(EXPORT_CAPS[kind])
+
+def days_of(frame: DataFrame, day: str = "day") -> list[date]:
+    """The distinct days, at most one value per partition of the table."""
+    return [r[0] for r in frame.select(day).distinct().collect()]
+
+
+def replace_days(path: str, frame: DataFrame, days: Sequence[date], day: str = "day") -> None:
+    """Make the given day partitions hold exactly the rows of ``frame``, which has no others.
+
+    The rows are written to a new place first, so they may come from the partitions they replace;
+    then the swap overwrites only those, and a day that has no rows left loses its folder.
+    """
+    staged = _staged(frame)
+    left = set(days_of(staged, day))
+    if left:
+        staged.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+            "maxRecordsPerFile", FILE_ROWS
+        ).partitionBy(day).parquet(path)
+    for gone in set(days) - left:
+        remove_folder(frame.sparkSession, f"{path}/{day}={gone}")
+
+
+def _touched(table: DataFrame, keys: DataFrame, key: Sequence[str], day: str) -> list[date]:
+    """Days that hold a row with one of the keys."""
+    return days_of(table.select(*key, day).join(keys.select(*key).distinct(), list(key), "left_semi"), day)
+
+
+def upsert_days(
+    path: str, table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str] | None = None, day: str = "day"
+) -> None:
+    """Upsert into a table partitioned by day: only days with a replaced or a new row are rewritten."""
+    fresh = _staged(latest_per_key(rows, key, order) if order else rows)
+    days = sorted(set(_touched(table, fresh, key, day)) | set(days_of(fresh, day)))
+    replace_days(path, upsert(table.where(F.col(day).isin(days)), fresh, key), days, day)
+
+
+def patch_days(
+    path: str, table: DataFrame, patches: DataFrame, columns: Sequence[str], processed_at: datetime | Column,
+    key: str = "id", order: Sequence[str] | None = None, only_new: bool = False, day: str = "day",
+) -> int:
+    """Patch rows of a table partitioned by day, rewriting only their days; returns how many rows were patched."""
+    kept = _staged(latest_per_key(patches, [key], order) if order else patches)
+    goal = table.where(F.col("processed_at").isNull()) if only_new else table
+    days = _touched(goal, kept, [key], day)
+    if not days:
+        return 0
+    some = table.where(F.col(day).isin(days))
+    hit = goal.where(F.col(day).isin(days)).select(key).join(kept.select(key), key, "left_semi").count()
+    replace_days(path, patch_columns(some, kept, columns, processed_at, key, only_new=only_new), days, day)
+    return hit
+
+
+def expire_days(path: str, table: DataFrame, as_of: datetime | Column, expires: str = "expires_at", day: str = "day") -> int:
+    """Delete the rows that expired before ``as_of``; returns how many."""
+    gone = expired_rows(table, as_of, expires).groupBy(day).agg(F.count("*").alias("n")).collect()
+    days = [r[day] for r in gone]
+    if days:
+        replace_days(path, after_cleanup(table.where(F.col(day).isin(days)), as_of, expires), days, day)
+    return sum(r["n"] for r in gone)
+
+
+def export_rows(frame: DataFrame, path: str, fmt: str, *order: Column, limit: int | None = None) -> None:
+    """CSV or JSON export of all rows, or of the first ``limit`` in the given order."""
+    if limit is not None:
+        frame = frame.orderBy(*order).limit(limit)
     if fmt == "csv":
-        capped.write.options(**TIME_FORMATS).option("header", True).option("escape", '"').csv(path)
+        frame.write.options(**TIME_FORMATS).option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
-        capped.write.options(**TIME_FORMATS).option("ignoreNullFields", False).json(path)
+        frame.write.options(**TIME_FORMATS).option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(f"unknown export format {fmt!r}")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.lexical import (
     TOPIC_FACTOR,
     best_labels,
-    score_sentiment,
     sentiment_of,
     sentiment_sides,
     with_hits,
@@ -17,7 +18,7 @@ from parley.lexicons import SENTIMENT, TOPICS, Lexicon
 from parley.operators.filters import null_state, sender
 from parley.operators.mutations import patch_columns
 from parley.operators.similarity import embed_messages
-from parley.streaming.sinks import drain_to_files
+from parley.streaming.sinks import drain_once
 
 
 def enrich(
@@ -44,14 +45,36 @@ def enrich(
     return labelled.withColumn("processed_at", processed_at)
 
 
+class Worked(NamedTuple):
+    """The table with the results of a call, the topics found in it, and how many messages were worked off."""
+
+    table: DataFrame
+    topics: DataFrame
+    processed: int
+
+
 def incremental_enrich(
-    table: DataFrame, arriving: DataFrame, folder: str, processed_at: Column, sentiment: Lexicon = SENTIMENT
-) -> DataFrame:
-    """Work off the customer messages not processed yet and patch the results into the table.
+    table: DataFrame,
+    arriving: DataFrame,
+    folder: str,
+    processed_at: Column,
+    sentiment: Lexicon = SENTIMENT,
+    topics: Lexicon = TOPICS,
+    encoder=None,
+) -> Worked:
+    """Work off the customer messages not processed yet: sentiment and vector go into the table, topics are returned.
 
-    The stream's checkpoint is the queue: each call sees only files that arrived since the last.
+    The stream's checkpoint is the queue: each call sees, and patches, only what arrived since the last. A
+    message delivered twice is worked off once, and one that the table has as processed keeps its stamp.
     """
-    waiting = null_state(sender(arriving, "customer"), absent=("processed_at",))
-    scored = score_sentiment(waiting.select("id", "message"), "message", sentiment)
-    patches = drain_to_files(scored.select("id", "sentiment", "sentiment_score"), folder)
-    return patch_columns(table, patches, ["sentiment", "sentiment_score"], processed_at)
+    waiting = null_state(sender(arriving, "customer"), absent=("processed_at",)).select("id", "message")
+    label = F.array_compact(F.col("topics.label"))
+    scored = enrich(waiting, F.lit(None).cast("timestamp"), sentiment, topics, vectors=True, encoder=encoder)
+    arrived = drain_once(
+        scored.select("id", "sentiment", "sentiment_score", "embedding_vector", label.alias("topics")), folder
+    )
+    open_ = null_state(table, absent=("processed_at",)).select("id")
+    once = arrived.dropDuplicates(["id"]).join(open_, "id", "left_semi")
+    columns = ["sentiment", "sentiment_score", *(["embedding_vector"] if "embedding_vector" in table.columns else [])]
+    patched = patch_columns(table, once.select("id", *columns), columns, processed_at, only_new=True)
+    return Worked(patched, once.select("id", "topics"), once.count())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,22 @@ def drain_to_files(stream: DataFrame, folder: str, partition_by: Sequence[str] =
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def drain_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Process what has arrived since the last call and return the rows of this call alone.
+
+    Every micro-batch is written whole to a folder of its number, so a repeated batch replaces itself.
+    """
+    spark, numbers = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        numbers.append(number)
+
+    drain_batches(stream, folder, write)
+    paths = [f"{folder}/rows/batch={n}" for n in numbers]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
+
+
 def drain_batches(
     stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> None:
@@ -63,20 +80,23 @@ def insert_ignore_sink(spark: SparkSession, path: str, schema, key: str = "id",
     """A micro-batch handler appending the rows whose key the table at ``path`` lacks.
 
     The table is partitioned by day and only the days a batch touches are looked at, which
-    relies on a repeated row carrying the same time. A repeated batch adds nothing.
+    relies on a repeated row carrying the same time. A repeated batch adds nothing. The batch is
+    kept while it is handled, so what stands above it in the stream runs once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("day", F.to_date(time))
-        span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-        if span["first"] is None:
-            return
-        fresh = rows
-        if table_exists(spark, path):
-            stored = spark.read.schema(f"{schema}, day date").parquet(path)
-            touched = stored.filter(F.col("day").between(F.lit(span["first"]), F.lit(span["last"])))
-            fresh = absent_rows(touched, rows, [key])
-        fresh.write.mode("append").partitionBy("day").parquet(path)
+        rows = batch.withColumn("day", F.to_date(time)).persist(StorageLevel.DISK_ONLY)
+        try:
+            days = [r["day"] for r in rows.select("day").distinct().collect()]
+            if not days:
+                return
+            fresh = rows
+            if table_exists(spark, path):
+                stored = spark.read.schema(f"{schema}, day date").parquet(path)
+                fresh = absent_rows(stored.filter(F.col("day").isin(days)), rows, [key])
+            fresh.write.mode("append").partitionBy("day").parquet(path)
+        finally:
+            rows.unpersist()
 
     return write
 
