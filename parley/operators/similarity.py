@@ -1,109 +1,107 @@
 """Vector search over the message table.
 
-The query side is a parameter of the search: a message's vector, or a handful of them. Up to
-``MAX_BLOCK`` queries travel with the task and every task scores its own rows against all of
-them with one matrix product, keeping only its best rows per query; nothing is paired up and
-shuffled. More queries are worked off in blocks of that size, each block one scan whose small
-result is written to the shared folder.
+Queries and rows are packed into blocks; a block of rows meets every block of queries and is scored with one
+matrix product, of which only the best rows per query leave the task. It is one lazy pass over the
+table for any number of queries: a single block of queries is small enough for Spark to send along,
+more are joined by their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.operators.filters import newest, sender
 from parley.operators.slices import first_rows
-from parley.session import fresh_folder
 
 # Search defaults.
 MIN_SIMILARITY = 0.7
 SEARCH_LIMIT = 5
 
-MAX_BLOCK = 1024
+#: Queries and rows of a block; a product takes QUERY_BLOCK * ROW_BLOCK * 8 bytes.
+QUERY_BLOCK = 1024
+ROW_BLOCK = 2048
 DIGITS = 6
 
 
-def _cosine_matrix(vectors: list, queries: np.ndarray, query_norms: np.ndarray) -> np.ndarray:
-    """Rows x queries; 0 where a vector is zero or of another length."""
-    width = queries.shape[1]
-    out = np.zeros((len(vectors), len(queries)))
-    fits = np.array([v is not None and len(v) == width for v in vectors], dtype=bool)
-    if not fits.any():
-        return out
-    rows = np.array([v for v, ok in zip(vectors, fits) if ok], dtype=float)
-    scale = np.linalg.norm(rows, axis=1)[:, None] * query_norms[None, :]
-    products = rows @ queries.T
-    out[fits] = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
+def _matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(places, matrix)`` for every length that occurs among the vectors; NULLs are left out."""
+    size = np.array([-1 if n is None else n for n in vectors.value_lengths().to_pylist()])
+    for width in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == width)
+        values = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        yield at, values.astype(float).reshape(-1, width)
+
+
+def cosine_matrix(rows: pa.Array, queries: pa.Array) -> np.ndarray:
+    """Rows x queries; 0 where a vector is zero, NULL or of another length."""
+    out = np.zeros((len(rows), len(queries)))
+    of_length = {q.shape[1]: (at, q) for at, q in _matrices(queries)}
+    for at, matrix in _matrices(rows):
+        if matrix.shape[1] in of_length:
+            q_at, q = of_length[matrix.shape[1]]
+            products = matrix @ q.T
+            scale = np.linalg.norm(matrix, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+            out[np.ix_(at, q_at)] = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
     return out
 
 
-def _block_scorer(block: list, limit: int, min_similarity: float) -> Callable:
-    """Task function: the best ``limit`` rows of the task for every query of the block."""
-    by_width: dict[int, list] = {}
-    for query_id, vector in block:
-        by_width.setdefault(len(vector), []).append((query_id, vector))
-    groups = []
-    for members in by_width.values():
-        matrix = np.array([v for _, v in members], dtype=float)
-        groups.append(([q for q, _ in members], matrix, np.linalg.norm(matrix, axis=1)))
-    order = ["similarity", "micros", "id"]
-
-    def best(hits: pd.DataFrame) -> pd.DataFrame:
-        ranked = hits.sort_values(order, ascending=False)
-        return ranked.groupby("query_id", sort=False).head(limit)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for rows in batches:
-            ids = rows["id"].to_numpy()
-            micros = rows["micros"].to_numpy()
-            vectors = list(rows["vector"])
-            for names, matrix, norms in groups:
-                similar = _cosine_matrix(vectors, matrix, norms)
-                for col, name in enumerate(names):
-                    values = similar[:, col]
-                    hit = np.flatnonzero(values > min_similarity)
-                    if len(hit) > limit:
-                        # everything at or above the limit-th value, ties included
-                        edge = np.partition(values[hit], len(hit) - limit)[len(hit) - limit]
-                        hit = hit[values[hit] >= edge]
-                    if len(hit):
-                        found = pd.DataFrame({
-                            "query_id": name, "id": ids[hit], "micros": micros[hit], "similarity": values[hit]
-                        })
-                        kept = found if kept is None else pd.concat([kept, found])
-            if kept is not None:
-                kept = best(kept)
-        if kept is not None:
-            yield kept
+def _packed(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema.fields])
 
-    return score
 
+def _pack_rows(frame: DataFrame) -> DataFrame:
+    """Rows of a task in blocks: one row per block, every column an array."""
 
-def _search_block(corpus: DataFrame, block: list, limit: int, min_similarity: float, id_type) -> DataFrame:
-    slim = corpus.select(
-        "id",
-        F.unix_micros(F.col("timestamp").cast("timestamp")).alias("micros"),
-        F.col("embedding_vector").alias("vector"),
-    )
-    schema = T.StructType([
-        T.StructField("query_id", id_type),
-        T.StructField("id", corpus.schema["id"].dataType),
-        T.StructField("micros", T.LongType()),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-    scored = slim.mapInPandas(_block_scorer(block, limit, min_similarity), schema)
-    order = [F.col("similarity").desc(), F.col("micros").desc(), F.col("id").desc()]
-    return first_rows(scored, ["query_id"], order, limit).select("query_id", "rank", "id", "similarity")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                columns = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([c])) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return frame.mapInArrow(pack, _packed(frame.schema))
+
+
+def _tiles(rows: DataFrame, queries: DataFrame, block: int) -> DataFrame:
+    """Every block of rows beside every block of queries (``query_id, vector``)."""
+    asked = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    grouped = asked.groupBy(number).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    packed = _pack_rows(rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return packed.join(grouped, "block").drop("block")
+
+
+def _best_hits(limit: int, min_similarity: float) -> Callable:
+    """Task function: the best ``limit`` rows of a tile for every query, ties included."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, micros, vectors, asked = (batch.column(c)[row].values for c in ("id", "micros", "vector", "asked"))
+                similar = cosine_matrix(vectors, asked.field("vector"))
+                wanted = similar > min_similarity
+                if len(similar) > limit:
+                    edge = np.partition(similar, len(similar) - limit, axis=0)[len(similar) - limit]
+                    wanted &= similar >= edge
+                at, query = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays(
+                    [asked.field("query_id").take(pa.array(query)), ids.take(pa.array(at)), micros.take(pa.array(at)), pa.array(similar[at, query])],
+                    names=["query_id", "id", "micros", "similarity"],
+                )
+
+    return score
 
 
 def similar_ids(
@@ -111,48 +109,26 @@ def similar_ids(
     queries: DataFrame,
     limit: int = SEARCH_LIMIT,
     min_similarity: float = MIN_SIMILARITY,
-    max_block: int = MAX_BLOCK,
+    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``id``, ``similarity`` of the rows above the threshold.
 
     ``corpus``: id, timestamp, embedding_vector. ``queries``: query_id (unique), vector.
     """
-    id_type = queries.schema["query_id"].dataType
-    blocks = _blocks(queries.select("query_id", "vector").filter(F.col("vector").isNotNull()), max_block)
-    found = (_search_block(corpus, block, limit, min_similarity, id_type) for block in blocks)
-    return _gather(corpus.sparkSession, found)[0]
-
-
-def _blocks(queries: DataFrame, max_block: int) -> Iterator[list]:
-    """The (query_id, vector) pairs in lists of at most ``max_block``, cut by hash if there are more."""
-    waiting = [(queries, 0)]
-    while waiting:
-        part, depth = waiting.pop()
-        rows = part.limit(max_block + 1).collect()
-        if len(rows) <= max_block:
-            if rows or depth == 0:
-                yield [(r["query_id"], list(r["vector"])) for r in rows]
-            continue
-        if depth > 8:
-            raise ValueError("the ids of the queries must be unique")
-        pieces = 2 * part.count() // max_block + 1
-        piece = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(pieces))
-        waiting += [(part.filter(piece == n), depth + 1) for n in range(pieces)]
-
-
-def _gather(spark: SparkSession, results: Iterator[DataFrame]) -> tuple[DataFrame, int]:
-    """A single result as it is; several are computed one after another into the shared folder.
-
-    Also says how many there were.
-    """
-    first = next(results)
-    folder, number = None, 0
-    for number, result in enumerate(results, 1):
-        if folder is None:
-            folder = fresh_folder(spark, "search")
-            first.write.parquet(f"{folder}/block=0")
-        result.write.parquet(f"{folder}/block={number}")
-    return (first, 1) if folder is None else (spark.read.schema(first.schema).parquet(folder), number + 1)
+    slim = corpus.filter(F.col("embedding_vector").isNotNull()).select(
+        "id",
+        F.unix_micros(F.col("timestamp").cast("timestamp")).alias("micros"),
+        F.col("embedding_vector").cast("array<double>").alias("vector"),
+    )
+    schema = T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("id", corpus.schema["id"].dataType),
+        T.StructField("micros", T.LongType()),
+        T.StructField("similarity", T.DoubleType()),
+    ])
+    scored = _tiles(slim, queries, block).mapInArrow(_best_hits(limit, min_similarity), schema)
+    order = [F.col("similarity").desc(), F.col("micros").desc(), F.col("id").desc()]
+    return first_rows(scored, ["query_id"], order, limit).select("query_id", "rank", "id", "similarity")
 
 
 def similar_messages(
@@ -161,6 +137,7 @@ def similar_messages(
     limit: int = SEARCH_LIMIT,
     min_similarity: float = MIN_SIMILARITY,
     candidates: int | None = None,
+    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Customer messages most like each query vector, newest first among equals.
 
@@ -169,11 +146,11 @@ def similar_messages(
     hits are joined back afterwards.
     """
     stored = newest(sender(messages, "customer").filter(F.col("embedding_vector").isNotNull()), candidates)
-    hits = similar_ids(stored.select("id", "timestamp", "embedding_vector"), queries, limit, min_similarity)
+    hits = similar_ids(stored.select("id", "timestamp", "embedding_vector"), queries, limit, min_similarity, block)
     return messages.select("id", "conversation_id", "message", "timestamp").join(hits, "id")
 
 
-def nearest_labels(messages: DataFrame, labelled: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+def nearest_labels(messages: DataFrame, labelled: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """For every message with a vector the most similar entry of a labelled vector table.
 
     ``labelled``: label (unique), vector. Emits one row per message; of equally similar labels
@@ -181,60 +158,79 @@ def nearest_labels(messages: DataFrame, labelled: DataFrame, max_block: int = MA
     """
     id_field, label_type = messages.schema["id"], labelled.schema["label"].dataType
     stored = messages.filter(F.col("embedding_vector").isNotNull()).select(
-        "id", F.col("embedding_vector").alias("vector")
+        "id", F.col("embedding_vector").cast("array<double>").alias("vector")
     )
     schema = T.StructType([id_field, T.StructField("label", label_type), T.StructField("similarity", T.DoubleType())])
-    blocks = _blocks(labelled.select(F.col("label").alias("query_id"), "vector"), max_block)
-    found, blocks_used = _gather(
-        messages.sparkSession, (stored.mapInPandas(_block_assigner(block), schema) for block in blocks)
-    )
-    if blocks_used > 1:
-        best = found.groupBy("id").agg(F.max(F.struct("similarity", "label")).alias("_best"))
-        found = best.select("id", "_best.label", "_best.similarity")
-    return found.withColumn("similarity", F.round("similarity", DIGITS))
-
-
-def _block_assigner(block: list) -> Callable:
-    """Task function: the best label of the block for every row."""
-    ordered = sorted(block, key=lambda entry: entry[0], reverse=True)
-    widths = sorted({len(vector) for _, vector in ordered})
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array([name for name, _ in ordered])
-        for rows in batches:
-            if not ordered:
-                continue
-            vectors = list(rows["vector"])
-            similar = np.zeros((len(rows), len(ordered)))
-            for width in widths:
-                member = [i for i, (_, vector) in enumerate(ordered) if len(vector) == width]
-                matrix = np.array([ordered[i][1] for i in member], dtype=float)
-                similar[:, member] = _cosine_matrix(vectors, matrix, np.linalg.norm(matrix, axis=1))
+    found = _tiles(stored, labelled.withColumnRenamed("label", "query_id"), block).mapInArrow(_best_label, schema)
+    best = found.groupBy("id").agg(F.max(F.struct("similarity", "label")).alias("_best"))
+    return best.select("id", "_best.label", F.round("_best.similarity", DIGITS).alias("similarity"))
+
+
+def _best_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: the best label of a tile for every row."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, vectors, asked = (batch.column(c)[row].values for c in ("id", "vector", "asked"))
+            labels = asked.field("query_id")
+            order = np.array(sorted(range(len(labels)), key=lambda i: labels[i].as_py(), reverse=True))
+            similar = cosine_matrix(vectors, asked.field("vector"))[:, order]
             best = similar.argmax(axis=1)
-            yield pd.DataFrame({
-                "id": rows["id"], "label": names[best], "similarity": similar[np.arange(len(rows)), best]
-            })
+            yield pa.RecordBatch.from_arrays(
+                [ids, labels.take(pa.array(order[best])), pa.array(similar[np.arange(len(similar)), best])],
+                names=["id", "label", "similarity"],
+            )
+
+
+class VectorGroups(NamedTuple):
+    """``id, group`` of every message with a vector, and ``label, vector`` of the groups' centres."""
+
+    members: DataFrame
+    centres: DataFrame
 
-    return assign
 
+def vector_groups(messages: DataFrame, groups: int, seed: int = 42, rounds: int = 20) -> VectorGroups:
+    """Group messages by their vectors (spherical k-means on unit vectors).
 
-def vector_groups(messages: DataFrame, groups: int, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """Group messages by their vectors: ``id``, ``group`` (spherical k-means on unit vectors)."""
+    A zero vector has no direction, and one of another length than most has none among them: such
+    messages get the group NULL.
+    """
     stored = messages.filter(F.col("embedding_vector").isNotNull()).select(
-        "id", array_to_vector(F.col("embedding_vector").cast("array<double>")).alias("features")
+        "id", F.col("embedding_vector").cast("array<double>").alias("vector")
+    )
+    lengths = stored.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"))
+    common = lengths.orderBy(F.col("n").desc(), "width").limit(1).collect()
+    width = common[0]["width"] if common else 0
+    usable: Column = (F.size("vector") == width) & F.exists("vector", lambda x: x != 0)
+    features = stored.filter(usable).select("id", array_to_vector("vector").alias("features"))
+    spark = messages.sparkSession
+    if features.isEmpty():
+        none = stored.select("id", F.lit(None).cast("int").alias("group"))
+        return VectorGroups(none, spark.createDataFrame([], "label int, vector array<double>"))
+    model = KMeans(k=groups, seed=seed, maxIter=rounds, distanceMeasure="cosine", predictionCol="group").fit(features)
+    rest = stored.filter(~F.coalesce(usable, F.lit(False))).select("id", F.lit(None).cast("int").alias("group"))
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return VectorGroups(
+        model.transform(features).select("id", "group").unionByName(rest),
+        spark.createDataFrame(centres, "label int, vector array<double>"),
     )
-    model = KMeans(k=groups, seed=seed, maxIter=rounds, distanceMeasure="cosine", predictionCol="group").fit(stored)
-    return model.transform(stored).select("id", "group")
+
+
+def word_bucket(word: Column, dimensions: int) -> Column:
+    """The component a word counts in: the first 32 bits of its MD5, modulo."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dimensions))
 
 
 def hashed_encoder(dimensions: int = 64) -> Callable[[DataFrame, str], DataFrame]:
     """Default text encoder: hashed word counts scaled to length 1, built in and JVM-side."""
 
     def encode(frame: DataFrame, text: str) -> DataFrame:
-        words = frame.withColumn("_words", F.split(F.lower(F.col(text)), r"\s+"))
-        counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions).transform(words)
+        words = F.filter(F.split(F.lower(F.col(text)), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+        buckets = F.transform(words, lambda w: word_bucket(w, dimensions).cast("string"))
+        names = [str(i) for i in range(dimensions)]
+        counter = CountVectorizerModel.from_vocabulary(names, inputCol="_buckets", outputCol="_counts")
+        counts = counter.transform(frame.withColumn("_buckets", buckets))
         scaled = Normalizer(inputCol="_counts", outputCol="_scaled", p=2.0).transform(counts)
-        return scaled.withColumn("embedding_vector", vector_to_array("_scaled")).drop("_words", "_counts", "_scaled")
+        return scaled.withColumn("embedding_vector", vector_to_array("_scaled")).drop("_buckets", "_counts", "_scaled")
 
     return encode
 

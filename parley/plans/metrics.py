@@ -270,9 +270,8 @@ def _(spark, sf):
     return metrics.kpi_change(messages(spark, sf, response_time=True), START, END)
 
 
-@query(
-    "insights",
-    with_messages(
+def _insights_sql(negative_percent: int) -> str:
+    return with_messages(
         topics_of_messages(50)
         + f""", x AS (SELECT coalesce(avg(response_time) FILTER (WHERE {DAY} BETWEEN DATE '2024-01-08' AND DATE '2024-01-15') / 60, 0) AS minutes,
                      100.0 * count(*) FILTER (WHERE sentiment = 'negative') / nullif(count(sentiment), 0) AS negative FROM m),
@@ -281,15 +280,24 @@ def _(spark, sf):
                'เวลาตอบกลับเฉลี่ย ' || format('{{:.1f}}', minutes) || ' นาที ควรปรับปรุง' AS description, 'high' AS priority
         FROM x WHERE minutes > 2
         UNION ALL SELECT 'alert', 'ความรู้สึกลูกค้าไม่ดี',
-               'พบความรู้สึกเชิงลบ ' || format('{{:.1f}}', negative) || '% ควรตรวจสอบ', 'high' FROM x WHERE negative > 30
+               'พบความรู้สึกเชิงลบ ' || format('{{:.1f}}', negative) || '% ควรตรวจสอบ', 'high' FROM x WHERE negative > {negative_percent}
         UNION ALL SELECT 'info', 'หัวข้อยอดฮิต: ' || label, 'พบการสนทนาเรื่อง' || label || 'บ่อยที่สุด', 'medium' FROM top"""
-    ),
-)
+    )
+
+
+@query("insights", _insights_sql(30))
 def _(spark, sf):
     rows = messages(spark, sf, response_time=True, sentiment=True)
     return insights.insights(rows, AS_OF, PROBE_TOPICS, slow_minutes=2)
 
 
+@query("insights_all", _insights_sql(5))
+def _(spark, sf):
+    """With limits at which all three rules fire."""
+    rows = messages(spark, sf, response_time=True, sentiment=True)
+    return insights.insights(rows, AS_OF, PROBE_TOPICS, slow_minutes=2, negative_percent=5)
+
+
 @query(
     "alert_flags",
     with_messages(

@@ -86,6 +86,24 @@ def _(spark, sf):
     return filters.project(messages(spark, sf), "log")
 
 
+@query(
+    "project_vectors",
+    with_messages(
+        "SELECT id, conversation_id, message, coalesce(len(embedding), 0) AS dims, \"timestamp\", sender_type"
+        " FROM v LEFT JOIN embeddings ON vec_id = id"
+    ),
+)
+def _(spark, sf):
+    found = filters.project(messages(spark, sf, vectors=True), "vectors")
+    dims = F.coalesce(F.size("embedding_vector"), F.lit(0)).cast("long").alias("dims")
+    return found.select("id", "conversation_id", "message", dims, "timestamp", "sender_type")
+
+
+@query("project_summary", with_messages('SELECT message, sender_type, "timestamp", sentiment FROM m'))
+def _(spark, sf):
+    return filters.project(messages(spark, sf, sentiment=True), "summary")
+
+
 @query("message_preview", with_messages("SELECT id, left(message, 100) AS message_preview FROM v"))
 def _(spark, sf):
     return filters.message_preview(messages(spark, sf)).select("id", "message_preview")
@@ -210,11 +228,11 @@ def _(spark, sf):
     "filtered_messages",
     with_messages(
         'SELECT conversation_id, user_id, message, sender_type, "timestamp", message_type FROM ('
-        f"SELECT * FROM v WHERE CAST(\"timestamp\" AS DATE) = DATE '2024-01-11' {NEWEST} 50)"
+        f"SELECT * FROM v WHERE CAST(\"timestamp\" AS DATE) = DATE '2024-01-11' {NEWEST} 20)"
     ),
 )
 def _(spark, sf):
-    return filters.filtered_messages(messages(spark, sf), day=END, limit=50)
+    return filters.filtered_messages(messages(spark, sf), day=END, limit=20)
 
 
 @query(
@@ -240,11 +258,11 @@ def _(spark, sf):
     "unprocessed_messages",
     with_messages(
         "SELECT id, message FROM (SELECT * FROM m WHERE sender_type = 'customer' AND processed_at IS NULL"
-        f" {NEWEST} 100)"
+        f" {NEWEST} 50)"
     ),
 )
 def _(spark, sf):
-    return filters.unprocessed_messages(messages(spark, sf, sentiment=True), 100).select("id", "message")
+    return filters.unprocessed_messages(messages(spark, sf, sentiment=True), 50).select("id", "message")
 
 
 @query("ordered_transcript", with_messages('SELECT conversation_id, "timestamp", id, sender_type, message FROM v'))
@@ -268,10 +286,14 @@ def _(spark, sf):
     return top.select("user_id", "event_id", "rank")
 
 
-def _lockout_sql(failures: int, micros: int) -> str:
-    return f"""WITH a AS (
-      SELECT event_id AS id, user_id, ts, epoch_us(ts) AS us, event_type = 'signup' AS ok
-      FROM events WHERE event_type IN ('error', 'signup')),
+_LOGINS = (
+    "SELECT event_id AS id, user_id, ts, epoch_us(ts) AS us, event_type = 'signup' AS ok"
+    " FROM events WHERE event_type IN ('error', 'signup')"
+)
+
+
+def _lockout_sql(failures: int, micros: int, source: str = _LOGINS) -> str:
+    return f"""WITH a AS ({source}),
     s AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY user_id ORDER BY us, id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM a),
     f AS (SELECT *, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY user_id, streak ORDER BY us
@@ -298,6 +320,18 @@ def _(spark, sf):
     return lockout.failure_lockout(_attempts(spark, sf), "user_id", 3, timedelta(days=1))
 
 
+_BUSY = "SELECT event_id AS id, 0 AS user_id, ts, epoch_us(ts) AS us, event_type = 'signup' AS ok FROM events"
+
+
+@query("failed_login_lockout_busy", _lockout_sql(5, 900_000_000, _BUSY))
+def _(spark, sf):
+    """All events as attempts of one key, which the default rule does lock."""
+    rows = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.lit(0).alias("user_id"), "ts", (F.col("event_type") == "signup").alias("ok")
+    )
+    return lockout.failure_lockout(rows, "user_id")
+
+
 # -- row-level time columns -----------------------------------------------------------------
 
 

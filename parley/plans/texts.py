@@ -80,10 +80,10 @@ def _(spark, sf):
     return _rounded(lexical.explode_labels(labelled, "topics"))
 
 
-@query("classify_topics_documents", _labels_sql("documents", "doc_id", "text", TOPICS, 2, "topic"))
+@query("classify_topics_documents", _labels_sql("documents", "doc_id", "text", PROBE_TOPICS, 2, "topic"))
 def _(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text")
-    labelled = lexical.classify_topics(rows, "text").drop("text")
+    labelled = lexical.classify_topics(rows, "text", PROBE_TOPICS).drop("text")
     return _rounded(lexical.explode_labels(labelled, "topics"))
 
 
@@ -126,10 +126,10 @@ def _(spark, sf):
     return _intents(lexical.classify_intent(rows, lexicon=PROBE_INTENTS), "id")
 
 
-@query("classify_intent_documents", _intent_sql("documents", "doc_id", "text", INTENTS))
+@query("classify_intent_documents", _intent_sql("documents", "doc_id", "text", PROBE_INTENTS))
 def _(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text")
-    return _intents(lexical.classify_intent(rows, "text"), "doc_id")
+    return _intents(lexical.classify_intent(rows, "text", PROBE_INTENTS), "doc_id")
 
 
 def _category_sql(text, categories):

@@ -103,13 +103,35 @@ def _(spark, sf):
     return decoded.select("kind", "id", F.size("vector").alias("dims"), F.round(total, 4).alias("total"))
 
 
-@query("embed_messages")
+@query(
+    "similar_messages_blocks",
+    f"""WITH {MESSAGE_VIEW}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 5 = 0) {_SIMILAR}""",
+)
+def _(spark, sf):
+    # more queries than a block holds
+    asked = table(spark, sf, "embeddings").where("vec_id % 5 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    return _found(similarity.similar_messages(messages(spark, sf, vectors=True), asked, min_similarity=THRESHOLD, block=32))
+
+
+@query(
+    "embed_messages",
+    f"""WITH {MESSAGE_VIEW}, w AS (
+          SELECT id, unnest(list_filter(regexp_split_to_array(lower(message), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS word FROM v),
+        b AS (SELECT id, (('0x' || substr(md5(word), 1, 8))::UBIGINT % 64)::INTEGER AS pos, count(*)::DOUBLE AS n FROM w GROUP BY ALL)
+        SELECT id, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM b""",
+)
 def _(spark, sf):
     vectors = similarity.embed_messages(messages(spark, sf).select("id", "message"))
-    return vectors.select("id", F.size("embedding_vector").alias("dims"))
+    placed = vectors.select("id", F.posexplode("embedding_vector").alias("pos", "x"))
+    return placed.where("x <> 0").withColumn("x", F.round("x", 6))
 
 
-@query("vector_groups")
+@query("vector_groups", "SELECT vec_id AS id, true AS nearest FROM embeddings")
 def _(spark, sf):
+    """Every row belongs to the group whose centre is the most like it."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("embedding_vector"))
-    return similarity.vector_groups(rows, 10)
+    found = similarity.vector_groups(rows, 10)
+    nearest = similarity.nearest_labels(rows, found.centres)
+    return found.members.join(nearest, "id").select("id", (F.col("group") == F.col("label")).alias("nearest"))

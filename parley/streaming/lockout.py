@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -22,9 +23,11 @@ def stream_lockout(
 ) -> DataFrame:
     """Decide every attempt: refused while the key is locked, else recorded or clearing.
 
-    A refused attempt is not recorded and does not extend the lock. The state of a key is the
-    times of its recorded failures, never more than ``max_failures`` of them, and goes away when
-    the last has left the window. Attempts are taken in time order within a micro-batch.
+    A refused attempt is not recorded and does not extend the lock. Attempts wait in the state until the
+    watermark, ``delay`` behind the newest attempt, has passed them, and are decided in the order of their time
+    (then id): the result does not depend on how they arrive, as long as none is later than the delay. The
+    state of a key is its waiting attempts and at most ``max_failures`` recorded ones; it goes away when none
+    waits and the last failure has left the window. The newest attempts are decided when later ones arrive.
     """
     span = window // timedelta(microseconds=1)
     rows = attempts.select(
@@ -36,35 +39,41 @@ def stream_lockout(
     ).withWatermark("ts", delay)
 
     def decide(key_value: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recorded = list(state.get[0]) if state.exists else []
-        seen = pd.concat([c[["id", "us", "ok"]] for c in chunks]).sort_values(["us", "id"])
-        out_failures, out_refused = [], []
-        for us, ok in zip(seen["us"].tolist(), seen["ok"].tolist()):
+        recorded, waiting = [], []
+        if state.exists:
+            failures, us, ids, oks = state.get
+            recorded, waiting = list(failures), list(zip(us, ids, oks))
+        for chunk in chunks:
+            waiting += zip(chunk["us"].tolist(), chunk["id"].tolist(), chunk["ok"].tolist())
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda attempt: attempt[:2])
+        ready = bisect_left(waiting, passed * 1000, key=lambda attempt: attempt[0])
+        ids, failures, refusals = [], [], []
+        for us, id_, ok in waiting[:ready]:
             recorded = [t for t in recorded if us - t < span]
             refused = len(recorded) >= max_failures
             if not refused:
                 recorded = [] if ok else [*recorded, us]
-            out_failures.append(len(recorded))
-            out_refused.append(refused)
-        if recorded:
-            state.update((recorded,))
-            leaves = (recorded[-1] + span) // 1000 + 1
-            state.setTimeoutTimestamp(max(leaves, state.getCurrentWatermarkMs() + 1))
+            ids.append(id_)
+            failures.append(len(recorded))
+            refusals.append(refused)
+        waiting = waiting[ready:]
+        if recorded and not waiting and recorded[-1] + span <= passed * 1000:
+            recorded = []
+        if waiting or recorded:
+            state.update((recorded, *([a[i] for a in waiting] for i in range(3))))
+            due = waiting[0][0] // 1000 + 1 if waiting else (recorded[-1] + span) // 1000 + 1
+            state.setTimeoutTimestamp(max(due, passed + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({
-            "key": key_value[0], "id": seen["id"].to_numpy(), "failures": out_failures, "refused": out_refused
-        })
+        yield pd.DataFrame({"key": [key_value[0]] * len(ids), "id": ids, "failures": failures, "refused": refusals})
 
     key_type = attempts.schema[key].dataType.simpleString()
     id_type = attempts.schema["id"].dataType.simpleString()
     decided = rows.groupBy("key").applyInPandasWithState(
         decide,
         f"key {key_type}, id {id_type}, failures int, refused boolean",
-        "failures array<long>",
+        f"failures array<long>, us array<long>, ids array<{id_type}>, oks array<boolean>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -118,8 +118,6 @@ def test_lexicon_round_trip(spark):
     frame = lexicon_frame(spark, "topics", TOPICS)
     again = lexicon_from_frame(frame)
     assert list(again) == list(TOPICS) and all(set(again[k]) == set(TOPICS[k]) for k in TOPICS)
-    with pytest.raises(ValueError):
-        lexicon_from_frame(frame, 10)
 
 
 def test_append_defaults(spark):
@@ -205,5 +203,108 @@ def test_stored_result_expires(spark):
     assert not sinks.store_result(rows.limit(0), base, "empty", now)
     assert sinks.load_result(spark, base, "empty", now) is None
     assert sinks.cached(spark.range(9), base, "k", now).count() == 3
-    assert sinks.cleaned_manifest(spark, base, datetime(2024, 1, 15, 13)).count() == 1
-    assert sinks.cleaned_manifest(spark, base, datetime(2024, 1, 15, 14)).count() == 0
+    # a result that expires this very moment can no longer be read and is not removed yet
+    assert sinks.clean_results(spark, base, datetime(2024, 1, 15, 13)) == 0
+    path = sinks.manifest(spark, base).first().result_path
+    assert sinks.table_exists(spark, path)
+    assert sinks.clean_results(spark, base, datetime(2024, 1, 15, 14)) == 1
+    assert not sinks.table_exists(spark, path) and sinks.manifest(spark, base).count() == 0
+
+
+def test_results_of_like_keys_do_not_mix(spark):
+    base, now = fresh_folder(spark, "cache-test"), datetime(2024, 1, 15, 12)
+    sinks.store_result(spark.range(3), base, "a-b", now)
+    sinks.store_result(spark.range(7), base, "a_b", now)
+    assert sinks.load_result(spark, base, "a-b", now).count() == 3
+    assert sinks.load_result(spark, base, "a_b", now).count() == 7
+
+
+def test_two_patches_of_a_key_leave_one_row(spark):
+    table = spark.createDataFrame([(1, None, None), (2, "old", datetime(2024, 1, 1))], "id int, sentiment string, processed_at timestamp")
+    patches = spark.createDataFrame([(1, "first", 1), (1, "last", 2), (2, "new", 3)], "id int, sentiment string, at int")
+    stamp = datetime(2024, 1, 15)
+    rows = mutations.patch_columns(table, patches, ["sentiment"], stamp, order=["at"]).orderBy("id").collect()
+    assert [(r.id, r.sentiment) for r in rows] == [(1, "last"), (2, "new")]
+    kept = mutations.patch_columns(table, patches, ["sentiment"], stamp, order=["at"], only_new=True).orderBy("id").collect()
+    assert [(r.sentiment, r.processed_at.day) for r in kept] == [("last", 15), ("old", 1)]
+
+
+def _by_day(spark, rows, schema):
+    path = fresh_folder(spark, "days")
+    frame = spark.createDataFrame(rows, schema).withColumn("day", F.to_date("timestamp"))
+    sinks.write_by_date(frame, path, "day")
+    return path, lambda: spark.read.schema(frame.schema).parquet(path)
+
+
+def test_keyed_writes_touch_only_their_days(spark):
+    rows = [(i, datetime(2024, 1, 1 + i % 5), f"v{i}", None) for i in range(50)]
+    path, read = _by_day(spark, rows, "id int, timestamp timestamp, value string, processed_at timestamp")
+    before = {f.split("day=")[1]: f for f in read().inputFiles()}
+    new = spark.createDataFrame([(3, datetime(2024, 1, 5), "moved", None), (99, datetime(2024, 1, 9), "added", None)], "id int, timestamp timestamp, value string, processed_at timestamp")
+    sinks.upsert_days(path, read(), new.withColumn("day", F.to_date("timestamp")), ["id"])
+    got = {r.id: (r.value, r.day.day) for r in read().collect()}
+    assert len(got) == read().count() == 51 and got[3] == ("moved", 5) and got[99] == ("added", 9) and got[4] == ("v4", 5)
+    after = {f.split("day=")[1]: f for f in read().inputFiles()}
+    untouched = {f for f in before if f[:10] in ("2024-01-01", "2024-01-02", "2024-01-03")}
+    assert untouched <= set(after)
+    patches = spark.createDataFrame([(7, "patched")], "id int, value string")
+    assert sinks.patch_days(path, read(), patches, ["value"], datetime(2024, 2, 1)) == 1
+    assert sinks.patch_days(path, read(), patches, ["value"], datetime(2024, 3, 1), only_new=True) == 0
+    assert read().where("id = 7").first().processed_at == datetime(2024, 2, 1)
+    assert sinks.expire_days(path, read(), datetime(2024, 1, 2), "timestamp") == 10
+    assert read().count() == 41 and not sinks.table_exists(spark, f"{path}/day=2024-01-01")
+
+
+def test_a_huge_day_is_several_files(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 1000)
+    path = fresh_folder(spark, "huge")
+    rows = spark.range(5000).select("id", F.lit("2024-01-01").cast("date").alias("day"))
+    sinks.write_by_date(rows, path, "day")
+    assert len(spark.read.parquet(path).inputFiles()) >= 5 and spark.read.parquet(path).count() == 5000
+
+
+def test_date_ranges_prune_partitions(spark):
+    from parley.operators import filters
+    from parley.schema import MESSAGES
+    from parley.sources.readers import stored_form
+
+    rows = spark.range(300).select(
+        "id", F.lit("c").alias("conversation_id"), F.lit("u").alias("user_id"), F.lit("m").alias("message"),
+        F.lit("customer").alias("sender_type"), F.expr("timestamp'2024-01-01 12:00:00' + make_interval(0,0,0,cast(id % 30 as int))").alias("timestamp"),
+    )
+    path = fresh_folder(spark, "stored")
+    sinks.write_by_date(stored_form(rows), path, "day")
+    table = sinks.read_days(spark, path, MESSAGES)
+    for found, days, read in (
+        (filters.date_range(table, "2024-01-05", "2024-01-06"), 2, 2),
+        (filters.one_day(table, "2024-01-05"), 1, 1),
+        (filters.date_range(table, "2024-01-05", "2024-01-06", "Asia/Bangkok"), 2, 4),
+        (filters.last_days(table, "2024-01-30", 3), 4, 4),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: []" not in plan
+        assert found.count() == 10 * days
+        pruned = found._jdf.queryExecution().optimizedPlan()
+        assert pruned is not None
+        assert len({f for f in found.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}) <= read
+
+
+def test_first_rows_beyond_the_window_limit(spark):
+    from parley.operators.slices import first_rows
+
+    frame = spark.range(20_000).withColumn("k", F.col("id") % 2)
+    top = first_rows(frame, ["k"], [F.col("id").desc()], 1001)
+    assert top.columns == ["id", "k", "rank"]
+    got = top.where("k = 0").orderBy("rank").collect()
+    assert [r.id for r in got] == list(range(19_998, 19_998 - 2 * 1001, -2)) and [r["rank"] for r in got] == list(range(1, 1002))
+
+
+def test_groups_of_awkward_vectors(spark):
+    from parley.operators.similarity import vector_groups
+
+    rows = [(i, [float(i % 2), float(1 - i % 2)]) for i in range(20)] + [(90, [0.0, 0.0]), (91, [1.0]), (92, None), (93, [])]
+    frame = spark.createDataFrame(rows, "id int, embedding_vector array<double>")
+    got = {r.id: r.group for r in vector_groups(frame, 2).members.collect()}
+    assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
+    assert got[90] is None and got[91] is None and got[93] is None and 92 not in got
+    assert vector_groups(frame.where("id >= 90"), 2).members.count() == 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parley.operators.similarity import embed_messages
 from parley.session import fresh_folder
 from parley.sources.readers import scan_message_stream
-from parley.streaming.enrich import enrich
+from parley.streaming.enrich import enrich, incremental_enrich
 from parley.streaming.kpis import daily_from_sightings, dedup_messages, first_sightings
 from parley.streaming.lockout import stream_lockout
 from parley.streaming.sinks import drain_batches, drain_to_files, insert_ignore_sink
@@ -75,10 +75,17 @@ def test_online_lockout_matches_a_loop_over_several_batches(spark):
         rows.append((i, 0 if rng.random() < 0.4 else rng.randrange(1, 6), at, rng.random() < 0.1))
     inbox = fresh_folder(spark, "inbox")
     schema = "id long, user_id long, ts timestamp, ok boolean"
+    mixed = rng.sample(rows, len(rows))  # out of order over all files
     for part in range(3):
-        _arrive(spark, inbox, rows[300 * part : 300 * (part + 1)], schema)
-    stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema, files_per_batch=1)
-    got = {r.id: (r.failures, r.refused) for r in drain_to_files(stream_lockout(stream), fresh_folder(spark, "o")).collect()}
+        _arrive(spark, inbox, mixed[300 * part : 300 * (part + 1)], schema)
+    _arrive(spark, inbox, [(-1, -1, at + timedelta(days=3), True)], schema)  # moves the watermark past all
+    found = []
+    for files in (1, 64):
+        stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema, files_per_batch=files)
+        decided = drain_to_files(stream_lockout(stream, delay="1 day"), fresh_folder(spark, "o")).where("id >= 0")
+        found.append({r.id: (r.failures, r.refused) for r in decided.collect()})
+    got = found[0]
+    assert found[0] == found[1]
     want, recorded = {}, {}
     for i, user, ts, ok in rows:
         live = [t for t in recorded.get(user, []) if ts - t < timedelta(minutes=15)]
@@ -128,3 +135,46 @@ def test_shared_folder_comes_from_the_session(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Remote)
+
+
+def test_enrichment_of_a_second_arrival(spark):
+    """An id delivered again is not worked off again, and what the first call stored keeps its stamp."""
+    schema = "id long, message string, sender_type string, processed_at timestamp"
+    inbox, folder = fresh_folder(spark, "inbox"), fresh_folder(spark, "queue")
+    rows = [(i, "good day" if i % 2 else "bad day", "customer", None) for i in range(6)]
+    table = spark.createDataFrame([(*r, None, None, None) for r in rows], f"{schema}, sentiment string, sentiment_score double, embedding_vector array<double>")
+    counts = []
+    for number, (ids, stamp) in enumerate((((0, 1, 1), datetime(2024, 1, 1)), ((1, 2), datetime(2024, 2, 1)), ((), datetime(2024, 3, 1)))):
+        if ids:
+            _arrive(spark, inbox, [rows[i] for i in ids], schema)
+        stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema)
+        worked = incremental_enrich(table, stream, folder, F.lit(stamp), {"positive": ("good",), "negative": ("bad",)}, {"time": ("day",)})
+        counts.append(worked.processed)
+        assert sorted(r.topics for r in worked.topics.collect()) == [["time"]] * worked.processed
+        path = fresh_folder(spark, f"table-{number}")
+        worked.table.write.parquet(path)
+        table = spark.read.schema(worked.table.schema).parquet(path)
+    assert counts == [2, 1, 0]
+    got = {r.id: r for r in table.collect()}
+    assert len(got) == table.count() == 6
+    assert [got[i].processed_at and got[i].processed_at.month for i in range(6)] == [1, 1, 2, None, None, None]
+    assert got[1].sentiment == "positive" and got[2].sentiment == "negative" and len(got[1].embedding_vector) == 64
+
+
+def test_ingest_evaluates_a_batch_once(spark):
+    inbox, folder = fresh_folder(spark, "inbox"), fresh_folder(spark, "ingest")
+    schema = "id long, timestamp timestamp"
+    _arrive(spark, inbox, [(i, START + timedelta(days=i % 3)) for i in range(100)], schema)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(value):
+        calls.add(1)
+        return value
+
+    stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema).select(counted("id").alias("id"), "timestamp")
+    drain_batches(stream, folder, insert_ignore_sink(spark, f"{folder}/rows", schema))
+    assert calls.value == 100
+    _arrive(spark, inbox, [(i, START + timedelta(days=i % 3)) for i in range(50, 150)], schema)
+    drain_batches(stream, folder, insert_ignore_sink(spark, f"{folder}/rows", schema))
+    assert spark.read.parquet(f"{folder}/rows").count() == 150
