@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, line_dedup, mixing, ngram_join, ordinal, packing, pii, quality_rules, sharding, topk
 from .common import documents
 from .mixing_sql import mixture_sql
+from .queries_sql import BYTE_SHARDS, FUZZY_LINES, NGRAM_JOIN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +33,7 @@ def op1_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise_documents(documents(spark, folder), key=b"key of the registered query")
 
 
-@query("op2_ngram_jaccard_join")
+@query("op2_ngram_jaccard_join", NGRAM_JOIN)
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     classes = ngram_join.similar_classes(documents(spark, folder), n=5, threshold=0.8, recall=0.9995)
     return classes.select("doc_id", "class_id", "n_links")
@@ -100,7 +101,7 @@ def op7_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, folder))
 
 
-@query("op8_fuzzy_lines")
+@query("op8_fuzzy_lines", FUZZY_LINES)
 def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     source = documents(spark, folder).select("doc_id", "text")
     return line_dedup.dedup_lines(source, width=12, threshold=0.8, hashes=10, counts=True)
@@ -111,6 +112,6 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
-@query("op10_byte_shards")
+@query("op10_byte_shards", BYTE_SHARDS)
 def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder), shards=8)
