@@ -226,13 +226,14 @@ def fit(counted: DataFrame, least_rows: int = 200) -> tuple[DataFrame, DataFrame
 def judged(counted: DataFrame, group: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF, prefix: str = "") -> DataFrame:
     """``counted`` plus ``base_failed``, ``distance`` (NULL without an estimate) and ``kept``, each with the prefix.
 
-    Cells and estimates are one row per language and source; Spark broadcasts them by their known size.
+    Cells and estimates are one row per language and source, written so that Spark knows their size: it
+    broadcasts a small table instead of shuffling the rows that are judged, texts included.
     """
     mean, factor = _columns()
-    model = group.join(estimates, "cell", "left").select(
+    model = written(group.join(estimates, "cell", "left").select(
         F.col("lang").alias("_cell_lang"), F.col("source").alias("_cell_source"),
         F.struct(*mean, *[c for row in factor for c in row]).alias("_model"),
-    )
+    ), "quality-model")
     same = F.col("lang").eqNullSafe(F.col("_cell_lang")) & F.col("source").eqNullSafe(F.col("_cell_source"))
     p = len(STATISTICS)
     far = distance(
