@@ -18,11 +18,11 @@ NEGATIVE_PERCENT = 30
 INSIGHT_DAYS = 7
 INSIGHT_MESSAGES = 50
 SLOW_TITLE = "เวลาตอบกลับช้า"
-SLOW_TEXT = ("เวลาตอบกลับเฉลี่ย ", " นาที ควรปรับปรุง")
+SLOW_TEXT = "เวลาตอบกลับเฉลี่ย %s นาที ควรปรับปรุง"
 NEGATIVE_TITLE = "ความรู้สึกลูกค้าไม่ดี"
-NEGATIVE_TEXT = ("พบความรู้สึกเชิงลบ ", "% ควรตรวจสอบ")
-TOPIC_TITLE = "หัวข้อยอดฮิต: "
-TOPIC_TEXT = ("พบการสนทนาเรื่อง", "บ่อยที่สุด")
+NEGATIVE_TEXT = "พบความรู้สึกเชิงลบ %s%% ควรตรวจสอบ"
+TOPIC_TITLE = "หัวข้อยอดฮิต: %s"
+TOPIC_TEXT = "พบการสนทนาเรื่อง%sบ่อยที่สุด"
 
 # Alert thresholds.
 ALERT_NEGATIVE_SHARE = 0.3
@@ -63,7 +63,7 @@ def insights(
         F.struct(
             F.lit("warning").alias("type"),
             F.lit(SLOW_TITLE).alias("title"),
-            F.concat(F.lit(SLOW_TEXT[0]), one_decimal(F.col("minutes")), F.lit(SLOW_TEXT[1])).alias("description"),
+            F.format_string(SLOW_TEXT, one_decimal(F.col("minutes"))).alias("description"),
             F.lit("high").alias("priority"),
         ),
     )
@@ -72,9 +72,7 @@ def insights(
         F.struct(
             F.lit("alert").alias("type"),
             F.lit(NEGATIVE_TITLE).alias("title"),
-            F.concat(F.lit(NEGATIVE_TEXT[0]), one_decimal(F.col("negative")), F.lit(NEGATIVE_TEXT[1])).alias(
-                "description"
-            ),
+            F.format_string(NEGATIVE_TEXT, one_decimal(F.col("negative"))).alias("description"),
             F.lit("high").alias("priority"),
         ),
     )
@@ -82,8 +80,8 @@ def insights(
     fired = rules.filter(F.col("_rule").isNotNull()).select("_rule.*")
     leading = topic_frequency(messages, lexicon, newest_messages).limit(1).select(
         F.lit("info").alias("type"),
-        F.concat(F.lit(TOPIC_TITLE), F.col("topic")).alias("title"),
-        F.concat(F.lit(TOPIC_TEXT[0]), F.col("topic"), F.lit(TOPIC_TEXT[1])).alias("description"),
+        F.format_string(TOPIC_TITLE, F.col("topic")).alias("title"),
+        F.format_string(TOPIC_TEXT, F.col("topic")).alias("description"),
         F.lit("medium").alias("priority"),
     )
     return fired.unionByName(leading)

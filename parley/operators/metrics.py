@@ -21,7 +21,7 @@ from parley.operators.filters import date_range, last_days, null_state, one_day,
 
 DIGITS = 6
 
-# Impact labels by the size of a correlation.
+# Impact labels (fixed wording) by the size of a correlation (limits of our own).
 IMPACT_BANDS = ((0.85, "สูงมาก"), (0.7, "สูง"), (0.5, "ปานกลาง"), (0.0, "ต่ำ"))
 
 
