@@ -34,7 +34,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones, by five-word shingles and a similarity of 0.8."""
-    return ngram_join.keep_one(docs, n=5, threshold=0.8, recall=0.9995)
+    return ngram_join.keep_one(docs, n=5, threshold=0.8, recall=0.999999)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,7 +230,7 @@ def text_node(text: Column) -> list[Column]:
 
 
 def similar_classes(
-    documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, hashes: int = 128
+    documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999999, hashes: int = 128
 ) -> DataFrame:
     """One row per document: ``doc_id, n1, n2, copies, root, has_ngrams, class_id, n_links``.
 

@@ -35,7 +35,7 @@ def op1_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_ngram_jaccard_join", NGRAM_JOIN)
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    classes = ngram_join.similar_classes(documents(spark, folder), n=5, threshold=0.8, recall=0.9995)
+    classes = ngram_join.similar_classes(documents(spark, folder), n=5, threshold=0.8, recall=0.999999)
     return classes.select("doc_id", "class_id", "n_links")
 
 
