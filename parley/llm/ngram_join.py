@@ -45,7 +45,7 @@ class _WordHashes(dict):
     """Hash of each word; starts afresh when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 19:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

@@ -30,7 +30,7 @@ class _Buckets(dict):
         self.size = size
 
     def __missing__(self, feature: str) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 19:
             self.clear()
         found = self[feature] = xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) % self.size
         return found
@@ -138,14 +138,21 @@ def fit(
     return OrdinalModel(full, state[d] + np.r_[0.0, np.cumsum(np.exp(state[d + 1:]))])
 
 
+SAMPLE = "grade int, place long, text_hash long, n_words int, value double, features array<int>"
+
+
 def feature_batches(size: int):
+    """A ``mapInArrow`` function: ``grade, place, text_hash, text`` -> the same with features for the text."""
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(size)
         for batch in batches:
-            index, value = zip(*[features(t.as_py()) for t in batch.column(1)]) if batch.num_rows else ((), ())
+            found = [features(t.as_py()) for t in batch.column(3)]
+            words = [int((v < 1).sum()) for _, v in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(index), pa.list_(pa.int32())), pa.array(list(value), pa.list_(pa.float64()))],
-                names=["grade", "index", "value"],
+                [*batch.columns[:3], pa.array(words, pa.int32()), pa.array([float(v[0]) if len(v) else 1.0 for _, v in found]),
+                 pa.array([i for i, _ in found], pa.list_(pa.int32()))],
+                names=[f.split()[0] for f in SAMPLE.split(", ")],
             )
 
     return extract
@@ -156,22 +163,30 @@ def fit_documents(
 ) -> OrdinalModel:
     """Fits to at most ``max_rows`` rated documents (``ratings``: ``doc_id, grade``), those of least hashed id.
 
-    The bound is what one machine fits in seconds; the sample is the same however the tables are split. Rows
-    whose grade or text is NULL are left out. Without any rated document every grade is as likely.
+    The bound is what one machine fits in seconds; the sample is the same however the tables are split. The
+    chosen ids, no more than the bound, go to the documents, so no text is shuffled. Rows whose grade or
+    text is NULL are left out. Without any rated document every grade is as likely.
     """
-    rated = ratings.where("grade is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
+    place = F.xxhash64(F.lit(4), "doc_id").alias("place")
     chosen = (
-        documents.select("doc_id", "text").where("text is not null").join(rated, "doc_id")
-        .orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id", "grade", F.xxhash64("text")).limit(max_rows)
-        .select("grade", "text").repartition(F.xxhash64("text"))
+        ratings.where("grade is not null and doc_id is not null")
+        .select(F.col("doc_id").alias("rated_id"), F.col("grade").cast("int").alias("grade"), place)
+        .distinct().orderBy("place", "rated_id", "grade").limit(max_rows)
+    )
+    rated = documents.select("doc_id", "text").where("text is not null").join(
+        F.broadcast(chosen), F.col("doc_id") == F.col("rated_id")  # at most max_rows rows
+    )
+    sample = (
+        rated.select("grade", "place", F.xxhash64("text").alias("text_hash"), "text")
+        .mapInArrow(feature_batches(size), SAMPLE)
+        .orderBy("place", "text_hash", "grade").limit(max_rows).toArrow()  # rows may repeat an id
     )
-    sample = chosen.mapInArrow(feature_batches(size), "grade int, index array<int>, value array<double>").toArrow()
-    rows = [
-        (grade.as_py(), np.array(index.as_py(), dtype=np.int64), np.array(value.as_py(), dtype=np.float64))
-        for grade, index, value in zip(*(sample.column(c) for c in ("grade", "index", "value")))
-    ]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # sums of floating-point numbers in one order
-    return fit([r[1:] for r in rows], np.array([r[0] for r in rows], dtype=np.int64), size, **settings)
+    rows = []
+    for n, value, index in zip(*(sample.column(c).to_pylist() for c in ("n_words", "value", "features"))):
+        values = np.ones(len(index))
+        values[:n] = value
+        rows.append((np.array(index, dtype=np.int64), values))
+    return fit(rows, sample.column("grade").to_numpy().astype(np.int64), size, **settings)
 
 
 def score_batches(model: OrdinalModel, good: int, least: float):
