@@ -33,6 +33,33 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda word: word != "")
 
 
+#: Words of 64 bits in a key filter: its table has at most so many rows, whatever the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def _bit_of(columns: list[Column]) -> tuple[Column, Column]:
+    """The word and the bit within it that a key sets."""
+    place = F.xxhash64(F.lit(9), *columns)
+    return F.pmod(F.shiftright(place, 6), F.lit(FILTER_WORDS)), F.pmod(place, F.lit(64))
+
+
+def likely_in(frame: DataFrame, columns: list[Column], keys: DataFrame, key_columns: list[Column], label: str = "filter") -> DataFrame:
+    """``frame`` plus ``_likely``: false only where its key is surely not among the keys.
+
+    A Bloom filter of fixed size, so it may be broadcast: it lets rows without a partner pass by a join before their
+    texts are shuffled. With very many keys it lets everything through, and the join alone decides.
+    """
+    word, bit = _bit_of(key_columns)
+    marks = keys.select(word.alias("_word"), bit.cast("int").alias("_bit")).groupBy("_word").agg(
+        F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")
+    )
+    word, bit = _bit_of(columns)
+    keyed = frame.withColumns({"_word": word, "_bit": bit.cast("int")})
+    found = keyed.join(F.broadcast(written(marks, label)), "_word", "left")  # at most FILTER_WORDS rows
+    hit = F.expr("shiftright(_bits, _bit) & 1L") == 1
+    return found.withColumn("_likely", F.coalesce(hit, F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(node, root)`` for every node of ``edges (a, b)``: its component's least node.
 

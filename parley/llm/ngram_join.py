@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, likely_in, written
 
 #: Members of a block; a tile compares at most twice as many.
 BLOCK = 256
@@ -277,8 +277,9 @@ def similar_classes(
             own_batches, "place int, band long, low int, high int, n1 long, n2 long, block int"
         ), "join-owned",
     )
-    wanted = owned.select(*NODE).distinct().hint("merge")  # one plan at every size: it grows with the input
-    texts = source.join(wanted, NODE, "left_semi").groupBy(*NODE).agg(F.any_value("text").alias("text"))
+    wanted = owned.select(*NODE).distinct()
+    near = likely_in(source, [F.col(c) for c in NODE], wanted, [F.col(c) for c in NODE], "join-filter").where("_likely")
+    texts = near.drop("_likely").join(wanted, NODE, "left_semi").groupBy(*NODE).agg(F.any_value("text").alias("text"))
     compared = owned.join(texts, NODE).join(nodes.select(*NODE, "copies", "bands"), NODE)
     found = written(
         dealt(compared).mapInArrow(verify_batches(n, threshold), "n1 long, n2 long, r1 long, r2 long, links long"),
