@@ -184,3 +184,29 @@ def test_signature_sees_every_part_of_a_long_line(spark):
     near = tables.changed(long, 1, 5)
     frame = spark.createDataFrame([(1, long), (2, near)], "doc_id long, text string")
     assert [r.text for r in line_dedup.dedup_lines(frame).orderBy("doc_id").collect()] == [long, ""]
+
+
+def test_key_filter_lets_no_partner_go(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from parley.llm import common
+
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    rows = spark.range(3000).select("id", F.lit("x").alias("text"))
+    for words in (common.FILTER_WORDS, 1):  # one word is full: everything may have a partner
+        monkeypatch.setattr(common, "FILTER_WORDS", words)
+        found = common.likely_in(rows, [F.col("id")], keys, [F.col("k")])
+        assert found.columns == ["id", "text", "_likely"]
+        likely = {r.id for r in found.where("_likely").collect()}
+        assert set(range(0, 3000, 3)) <= likely
+        assert len(likely) < 1100 if words > 1 else len(likely) == 3000
+    assert common.likely_in(rows, [F.col("id")], keys.limit(0), [F.col("k")]).where("_likely").count() == 0
+
+
+def test_lines_with_a_full_filter(spark, monkeypatch):
+    from parley.llm import common
+
+    frame = spark.createDataFrame(tables.rows(), tables.SCHEMA)
+    once = sorted(map(repr, line_dedup.dedup_lines(frame).collect()))
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    assert sorted(map(repr, line_dedup.dedup_lines(frame).collect())) == once
