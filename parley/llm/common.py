@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parley.session import fresh_folder
@@ -87,8 +87,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             .union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
             .distinct()
         )
-        current = written(small, label)
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()  # counted while the round is written
+        sums = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        current = written(small.observe(seen, F.count(F.lit(1)).alias("n"), sums.alias("sum")), label)
+        state = (seen.get["n"], seen.get["sum"])
         if state == before:
             break
         before = state
