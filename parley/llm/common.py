@@ -15,15 +15,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
+def written(frame: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """The frame, written to a new folder of the shared place and read back.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not the steps before. Zstandard
-    frees its buffers with each file, where the default codec's wait for a garbage collection.
+    This cuts the lineage: a lost executor costs the tasks it ran, not the steps before.
     """
     spark = frame.sparkSession
     path = fresh_folder(spark, label)
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.option("compression", codec).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -10,6 +10,8 @@ from .common import written
 #: Rows per range partition, and the most range partitions: the table of totals has at most so many rows.
 RANGE_ROWS = 16_384
 MAX_RANGES = 4096
+#: Frees its buffers with each file; the default codec's wait for a garbage collection, which so little work seldom asks for.
+CODEC = "zstd"
 
 
 def keyed(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -40,7 +42,7 @@ def shard_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
         rows.withColumn("scanned", F.monotonically_increasing_id())
         .repartitionByRange(ranges, *order)
         .withColumn("part", F.spark_partition_id()),
-        "shard-ranges",
+        "shard-ranges", CODEC,
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
@@ -51,7 +53,7 @@ def shard_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
             F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
             F.sum("bytes").over(Window.partitionBy()).alias("total"),
         ),
-        "shard-offsets",
+        "shard-offsets", CODEC,
     )
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cut = placed.withColumns(
@@ -64,7 +66,7 @@ def shard_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
             .cast("int").alias("shard"),
             (F.col("rows_before") + F.col("nth") - 1).alias("position"),
         ),
-        "shard-cut",
+        "shard-cut", CODEC,
     )
     first = cut.groupBy("shard").agg(F.min("position").alias("first"))
     return cut.join(F.broadcast(first), "shard").select(  # one row per shard
