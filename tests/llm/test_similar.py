@@ -210,3 +210,31 @@ def test_lines_with_a_full_filter(spark, monkeypatch):
     once = sorted(map(repr, line_dedup.dedup_lines(frame).collect()))
     monkeypatch.setattr(common, "FILTER_WORDS", 1)
     assert sorted(map(repr, line_dedup.dedup_lines(frame).collect())) == once
+
+
+def test_short_lines_with_an_edit_against_all_pairs(spark):
+    """An edit at the start, in the middle or at the end of lines of two to eight words, long ones and short ones."""
+    draw = random.Random(3)
+    lines = ["International cooperation requires patience", "International cooperation requires patience."]
+    for words in range(2, 9):
+        for least in (1, 3):
+            for _ in range(6):
+                line = " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(4, 6) * least)) for _ in range(words))
+                middle = len(line) // 2
+                lines += [line, "!" + line, line[1:], line[:middle] + "!" + line[middle + 1:], line + "!", line[:-1]]
+    sets = [shingle_set(x) for x in lines]
+    short = sum(len(a & b) >= 0.8 * len(a | b) for a, b, x in zip(sets, sets[1:], lines) if x.count(" ") < 4)
+    assert short > 40
+    pairs = list(enumerate(lines))
+    want = brute_lines(pairs)
+    found = line_dedup.dedup_lines(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    wrong = [(r.doc_id, lines[r.doc_id], r.text) for r in found if r.text != want[r.doc_id, lines[r.doc_id]]]
+    assert len(found) == len(lines) and not wrong, wrong[:3]
+
+
+def test_band_recall_is_that_of_drawn_orders():
+    draw = np.random.default_rng(5)
+    for similarity in (0.5, 0.8):
+        shared = draw.random((100_000, 10)) < similarity
+        assert abs((shared[:, 1:] & shared[:, :-1]).any(axis=1).mean() - line_dedup.band_recall(similarity, 10)) < 0.005
+    assert line_dedup.band_recall(0.8, 10) > 0.998 and line_dedup.band_recall(0.9, 10) > 0.9999
