@@ -77,7 +77,7 @@ class Pseudonyms:
     FINDER = re.compile(
         r"""(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
         |(?P<iban>(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-        |(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w/-]|\.\d))
+        |(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?=[Tt]\d\d|(?![\w/-]|\.\d)))
         |(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
         |(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))
         |(?P<phone>(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}
@@ -88,6 +88,8 @@ class Pseudonyms:
         re.VERBOSE | re.ASCII,
     )
     KINDS = tuple(FINDER.groupindex)
+    #: Where a value that was found too long may end instead: before these.
+    BREAKS = {"iban": " ", "card": " -", "phone": " .-"}
     MAYBE = re.compile(r"\d\D{0,3}\d|@|AKIA|[=:]\s?[\"']?\S{8}", re.ASCII)
 
     def __init__(self, key: bytes):
@@ -191,23 +193,37 @@ class Pseudonyms:
             return f"{lead}{number:0{len(body)}x}{tail}"
         return lead + self._characters(body, "secret") + tail
 
+    def earlier(self, text: str, start: int, end: int, kind: str) -> int:
+        """The last group boundary of a value before ``end``, or 0: what follows a value may look like more of it."""
+        breaks = self.BREAKS.get(kind, "")
+        while end > start and text[end - 1] not in breaks:
+            end -= 1
+        while end > start and text[end - 1] in breaks:
+            end -= 1
+        return end if end > start else 0
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
-        """The text with every validated value permuted; what fails validation stays as it is."""
+        """The text with every validated value permuted; what fails validation stays as it is.
+
+        The longest match is tried first, then its beginnings that end at a group boundary.
+        """
         found: dict[str, int] = {}
         if not self.MAYBE.search(text):
             return text, found
         parts, last, at = [], 0, 0
         while match := self.FINDER.search(text, at):
-            kind = match.lastgroup
+            kind, end = match.lastgroup, match.end()
             change: Callable[[str], str | None] = getattr(self, kind)
             new = change(match[0])
+            while new is None and (end := self.earlier(text, match.start(), end, kind)):
+                new = change(text[match.start(): end])
             if new is None:  # another kind may begin within
                 at = match.start() + 1
                 while at < len(text) and text[at].isalnum() and text[at - 1].isalnum():
                     at += 1
                 continue
             parts += [text[last: match.start()], new]
-            last = at = match.end()
+            last = at = end
             found[kind] = found.get(kind, 0) + 1
         return "".join(parts) + text[last:], found
 

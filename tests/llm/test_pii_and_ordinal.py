@@ -64,6 +64,28 @@ def test_other_text_stays(names, text):
     assert names.replace(text) == (text, {})
 
 
+@pytest.mark.parametrize("kind,value,rest", [
+    ("iban", "AT611904300234573201", " BIC GIBAATWW"), ("iban", "ES9121000418450200051332", " EUR"),
+    ("iban", "AT61 1904 3002 3457 3201", " 2024"), ("iban", "DE89 3704 0044 0532 0130 00", " EUR 500"),
+    ("iban", "GB29NWBK60161331926819", " AB CDEF"),
+    ("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111 1111 1111 1111", " 123"), ("card", "4349-0004-9098-6231", "-99"),
+    ("card", "4349000490986231", " 123 12/27"), ("phone", "+44 20 7946 0958", " 2024"),
+    ("date", "2024-01-05", "T10:00:00Z"), ("date", "2024-01-05", "T10:00:00.5+01:00"), ("date", "2024-01-05", "t1000"),
+])
+def test_a_value_before_more_of_the_same_kind_of_text(names, kind, value, rest):
+    for before in ("", "ref 12 "):
+        text, found = names.replace(f"{before}{value}{rest}")
+        assert found == {kind: 1} and value not in text
+        assert text.startswith(before) and text.endswith(rest) and len(text) == len(before + value + rest)
+        alone, _ = names.replace(value)
+        assert text == before + alone + rest  # equal values stay linked
+
+
+@pytest.mark.parametrize("text", ["4349000490986232 123", "2024-01-05Tea", "2024-02-30T10:00:00", "DE00 3704 0044 0532 0130 00 EUR"])
+def test_no_beginning_of_a_wrong_value_is_taken(names, text):
+    assert names.replace(text) == (text, {})
+
+
 def test_documents(spark):
     frame = tables.documents(spark).withColumn("text", F.when(F.col("doc_id") == 303, F.lit("call +1 (517) 555-0938 or 4349000490986231")).otherwise(F.col("text")))
     found = pii.pseudonymise_documents(frame, b"k").collect()
