@@ -12,9 +12,11 @@ from .common import SPACE, words, written
 #: The counts of a text, in the order of ``text_counts``.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
-#: Transformed statistics in units of 1/1024, and the least standard deviation each may have.
+#: Transformed statistics in units of 1/1024, and the standard deviation by which each is widened: its square is
+#: added to the variance. In a group that never varies each statistic alone must be able to pass the cut-off, so the
+#: spread of one that ends at m is below m / sqrt(CUTOFF): m is 1 for duplicate lines, sqrt(0.2) for repeats.
 SCALE = 1024
-SPREADS = {"length": 0.6, "word_length": 0.04, "symbols": 0.03, "dup_lines": 0.16, "repeats": 0.16}
+SPREADS = {"length": 0.6, "word_length": 0.04, "symbols": 0.03, "dup_lines": 0.08, "repeats": 0.06}
 STATISTICS = tuple(SPREADS)
 
 #: The median of the chi-squared distribution with five degrees of freedom, and its 1 - 1e-8 quantile.

@@ -95,3 +95,28 @@ def test_keep_good(spark):
     assert kept.count() == sum(r.kept for r in verdicts)
     assert rules.quality_verdicts(tables.empty(spark)).count() == 0
     assert rules.keep_good(tables.empty(spark)).count() == 0
+
+
+def test_a_document_extreme_in_one_statistic_is_rejected(spark):
+    """Everything else is ordinary, the base rules pass, and the group itself has no repeats, duplicates or symbols."""
+    draw = random.Random(6)
+    fresh = (f"w{i}abc" for i in range(10**6))  # words that occur once
+
+    def text(words, per_line=12):
+        held = [next(fresh) for _ in range(words)]
+        return "\n".join(" ".join(held[i: i + per_line]) for i in range(0, words, per_line))
+
+    passage = [next(fresh) for _ in range(57)]
+    filler = [next(fresh) for _ in range(486)]
+    extreme = {
+        1000: text(40_000),  # length
+        1001: text(130).replace("abc", "abc" * 20),  # word length
+        1002: text(130).replace("abc", "a%%"),  # symbols
+        1003: "\n".join(text(5) + "\nso it goes" for _ in range(30)),  # duplicate lines between unique ones
+        1004: " ".join(passage + filler + passage),  # repeats just below a fifth
+    }
+    ordinary = {i: text(draw.randint(90, 180)) for i in range(300)}
+    rows = [(i, t, "en", "src0", 0) for i, t in {**ordinary, **extreme}.items()]
+    found = {r.doc_id: r for r in rules.quality_verdicts(spark.createDataFrame(rows, tables.SCHEMA)).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert {i for i, r in found.items() if not r.kept} == set(extreme)
