@@ -106,16 +106,29 @@ def statistics(prefix: str = "") -> list[Column]:
 
 
 def cells(rows: DataFrame, least_rows: int) -> DataFrame:
-    """``lang, source, cell``: a group of its own if large enough, else its language's rest, else all the rest."""
+    """``lang, source, cell, teaches``: whose estimates judge a group, and which estimates its rows are part of.
+
+    A group is judged by its own estimates if large enough, else by those of its language's small groups together, or,
+    where these are too few, of its whole language; else by those of all that is left of the table, or of the whole table.
+    """
     small = F.col("rows") < least_rows
+    of_lang = Window.partitionBy("lang")
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    pooled = sizes.withColumn("pool", F.sum(F.when(small, F.col("rows"))).over(Window.partitionBy("lang")))
+    pooled = sizes.withColumns({
+        "pool": F.sum(F.when(small, F.col("rows"))).over(of_lang), "all": F.sum("rows").over(of_lang)
+    })
     name = lambda *parts: F.to_json(F.array(*parts))
-    return written(pooled.select(
-        "lang", "source",
-        F.when(~small, name("lang", "source")).when(F.col("pool") >= least_rows, name("lang"))
+    placed = written(pooled.select(
+        "lang", "source", "rows",
+        F.when(~small, name("lang", "source")).when(F.col("all") >= least_rows, name("lang"))
         .otherwise(F.lit("[]")).alias("cell"),
+        F.when((F.col("pool") < least_rows) & (F.col("all") >= least_rows), name("lang")).alias("whole"),
     ), "quality-cells")
+    left = placed.where("cell = '[]'").agg(F.sum("rows")).first()[0]
+    table = F.lit("[]" if left and left < least_rows else None).cast("string")
+    return placed.select(
+        "lang", "source", "cell", F.array_distinct(F.array_compact(F.array("cell", "whole", table))).alias("teaches")
+    )
 
 
 def distance(values: Sequence[Column], mean: Sequence[Column], factor: Sequence[Sequence[Column]]) -> Column:
@@ -221,7 +234,7 @@ def fit(counted: DataFrame, least_rows: int = 200) -> tuple[DataFrame, DataFrame
     group = cells(passed, least_rows)
     rows = passed.select("lang", "source", *statistics())
     same = rows["lang"].eqNullSafe(group["lang"]) & rows["source"].eqNullSafe(group["source"])
-    rows = written(rows.join(group, same).select("cell", *STATISTICS), "quality-rows")
+    rows = written(rows.join(group, same).select(F.explode("teaches").alias("cell"), *STATISTICS), "quality-rows")
     return group, robust_estimates(rows, least_rows)
 
 
@@ -254,8 +267,9 @@ def quality_verdicts(documents: DataFrame, least_rows: int = 200, cutoff: float
 
     A document that fails no base rule is kept unless its statistics lie further than ``cutoff`` from the
     robust centre of its language and source. NULL languages and sources are groups of their own; groups
-    under ``least_rows`` pool with the rest of their language, then of the table; a pool
-    that is still too small rejects nothing. A NULL or empty text has no words and fails the base rules.
+    under ``least_rows`` pool with the small ones of their language, then with the rest of the table; a pool
+    that is still too small is judged by its whole language or the whole table. Only a table that
+    has fewer rows than that altogether rejects nothing. A NULL or empty text has no words and fails the base rules.
     Repeated rows are judged each; extra columns are not read.
     """
     counted = written(text_counts(documents.select("doc_id", "lang", "source", "text")).drop("text"), "quality-counts")

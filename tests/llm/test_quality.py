@@ -120,3 +120,15 @@ def test_a_document_extreme_in_one_statistic_is_rejected(spark):
     found = {r.doc_id: r for r in rules.quality_verdicts(spark.createDataFrame(rows, tables.SCHEMA)).collect()}
     assert not any(r.base_failed for r in found.values())
     assert {i for i, r in found.items() if not r.kept} == set(extreme)
+
+
+def test_a_pool_that_is_too_small_is_judged_by_its_language_or_the_table(spark):
+    junk = lambda i: tables.prose(i, 60).replace(" ", "%%% ")
+    rows = [(i, tables.prose(i, 40 + i % 90), "en", "src0", 0) for i in range(120)]
+    small = [("en", "src1"), ("fr", "src0"), (None, None)]
+    for k, (lang, source) in enumerate(small):
+        rows += [(1000 + 10 * k + i, tables.prose(900 + 10 * k + i, 60), lang, source, 0) for i in range(5)]
+        rows.append((2000 + k, junk(k), lang, source, 0))
+    found = {r.doc_id: r.kept for r in rules.quality_verdicts(spark.createDataFrame(rows, tables.SCHEMA), least_rows=50).collect()}
+    assert [found[2000 + k] for k in range(len(small))] == [False] * len(small)
+    assert all(kept for i, kept in found.items() if i < 2000)
