@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.operators.lockout import LOCK_WINDOW, MAX_FAILURES
 
@@ -25,9 +24,10 @@ def stream_lockout(
 
     A refused attempt is not recorded and does not extend the lock. Attempts wait in the state until the
     watermark, ``delay`` behind the newest attempt, has passed them, and are decided in the order of their time
-    (then id): the result does not depend on how they arrive, as long as none is later than the delay. The
-    state of a key is its waiting attempts and at most ``max_failures`` recorded ones; it goes away when none
-    waits and the last failure has left the window. The newest attempts are decided when later ones arrive.
+    (then id): the result does not depend on how they arrive, as long as none is later than the delay. Waiting
+    attempts are entries of their own, one for each millisecond of a key, with a timer each: a key is worked off entry by
+    entry, and only its ``max_failures`` recorded times are carried on, until the last has left the window. The newest
+    attempts are decided when later ones arrive. This kind of state needs the RocksDB store, which is set for the session.
     """
     span = window // timedelta(microseconds=1)
     rows = attempts.select(
@@ -38,43 +38,67 @@ def stream_lockout(
         "ok",
     ).withWatermark("ts", delay)
 
-    def decide(key_value: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recorded, waiting = [], []
-        if state.exists:
-            failures, us, ids, oks = state.get
-            recorded, waiting = list(failures), list(zip(us, ids, oks))
-        for chunk in chunks:
-            waiting += zip(chunk["us"].tolist(), chunk["id"].tolist(), chunk["ok"].tolist())
-        passed = state.getCurrentWatermarkMs()
-        waiting.sort(key=lambda attempt: attempt[:2])
-        ready = bisect_left(waiting, passed * 1000, key=lambda attempt: attempt[0])
-        ids, failures, refusals = [], [], []
-        for us, id_, ok in waiting[:ready]:
-            recorded = [t for t in recorded if us - t < span]
-            refused = len(recorded) >= max_failures
-            if not refused:
-                recorded = [] if ok else [*recorded, us]
-            ids.append(id_)
-            failures.append(len(recorded))
-            refusals.append(refused)
-        waiting = waiting[ready:]
-        if recorded and not waiting and recorded[-1] + span <= passed * 1000:
-            recorded = []
-        if waiting or recorded:
-            state.update((recorded, *([a[i] for a in waiting] for i in range(3))))
-            due = waiting[0][0] // 1000 + 1 if waiting else (recorded[-1] + span) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, passed + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"key": [key_value[0]] * len(ids), "id": ids, "failures": failures, "refused": refusals})
-
     key_type = attempts.schema[key].dataType.simpleString()
     id_type = attempts.schema["id"].dataType.simpleString()
-    decided = rows.groupBy("key").applyInPandasWithState(
-        decide,
+    attempts.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    decided = rows.groupBy("key").transformWithStateInPandas(
+        Lockout(id_type, max_failures, span),
         f"key {key_type}, id {id_type}, failures int, refused boolean",
-        f"failures array<long>, us array<long>, ids array<{id_type}>, oks array<boolean>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+        "Append",
+        "EventTime",
     )
     return decided.withColumnRenamed("key", key)
+
+
+class Lockout(StatefulProcessor):
+    """Waiting attempts by millisecond, and the recorded failures."""
+
+    def __init__(self, id_type: str, max_failures: int, span: int):
+        self.id_type, self.max_failures, self.span = id_type, max_failures, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recorded = handle.getValueState("recorded", "failures array<long>")
+        self.waiting = handle.getMapState("waiting", "ms long", f"us array<long>, ids array<{self.id_type}>, oks array<boolean>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            for ms, part in chunk.groupby(chunk["us"] // 1000):
+                ms = int(ms)
+                new = tuple(part[c].tolist() for c in ("us", "id", "ok"))
+                held = self.waiting.getValue((ms,))
+                self.waiting.updateValue((ms,), tuple([*h, *n] for h, n in zip(held, new)) if held else new)
+                self.handle.registerTimer(ms + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The attempts of the millisecond that has passed; timers of a key come in the order of their time."""
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        recorded = [int(t) for t in self.recorded.get()[0]] if self.recorded.exists() else []
+        ids, failures, refusals = [], [], []
+        if held := self.waiting.getValue((due - 1,)):
+            for us, id_, ok in sorted(zip(*held), key=lambda attempt: attempt[:2]):
+                recorded = [t for t in recorded if us - t < self.span]
+                refused = len(recorded) >= self.max_failures
+                if not refused:
+                    recorded = [] if ok else [*recorded, int(us)]
+                ids.append(id_)
+                failures.append(len(recorded))
+                refusals.append(refused)
+            self.waiting.removeKey((due - 1,))
+        if recorded and recorded[-1] + self.span <= due * 1000:
+            recorded = []
+        if recorded:
+            self.recorded.update((recorded,))
+            if ids:
+                self.handle.registerTimer((recorded[-1] + self.span) // 1000 + 1)
+        elif self.recorded.exists():
+            self.recorded.clear()
+        if ids:
+            yield pd.DataFrame({"key": [key[0]] * len(ids), "id": ids, "failures": failures, "refused": refusals})
+
+    def close(self) -> None:
+        pass

@@ -178,3 +178,17 @@ def test_ingest_evaluates_a_batch_once(spark):
     _arrive(spark, inbox, [(i, START + timedelta(days=i % 3)) for i in range(50, 150)], schema)
     drain_batches(stream, folder, insert_ignore_sink(spark, f"{folder}/rows", schema))
     assert spark.read.parquet(f"{folder}/rows").count() == 150
+
+
+def test_waiting_attempts_are_state_entries_of_their_own(spark):
+    """A key's whole history is never one value: forty attempts that wait are forty entries at least."""
+    inbox, out = fresh_folder(spark, "inbox"), fresh_folder(spark, "o")
+    rows = [(i, 7, START + timedelta(seconds=i), False) for i in range(40)]
+    _arrive(spark, inbox, rows, "id long, user_id long, ts timestamp, ok boolean")
+    stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema)
+    query = (
+        stream_lockout(stream, delay="1 day").writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert max(state["numRowsTotal"] for p in query.recentProgress for state in p["stateOperators"]) >= 40
