@@ -18,7 +18,7 @@ from parley.lexicons import SENTIMENT, TOPICS, Lexicon
 from parley.operators.filters import null_state, sender
 from parley.operators.mutations import patch_columns
 from parley.operators.similarity import embed_messages
-from parley.streaming.sinks import drain_once
+from parley.streaming.sinks import drain_open
 
 
 def enrich(
@@ -64,14 +64,16 @@ def incremental_enrich(
 ) -> Worked:
     """Work off the customer messages not processed yet: sentiment and vector go into the table, topics are returned.
 
-    The stream's checkpoint is the queue: each call sees, and patches, only what arrived since the last. A
+    The stream's checkpoint and its batch folders are the queue: each call sees what arrived since the last, and
+    what came before but is not processed in ``table``, as its caller never stored it or the table had no row for it. A
     message delivered twice is worked off once, and one that the table has as processed keeps its stamp.
     """
     waiting = null_state(sender(arriving, "customer"), absent=("processed_at",)).select("id", "message")
     label = F.array_compact(F.col("topics.label"))
     scored = enrich(waiting, F.lit(None).cast("timestamp"), sentiment, topics, vectors=True, encoder=encoder)
-    arrived = drain_once(
-        scored.select("id", "sentiment", "sentiment_score", "embedding_vector", label.alias("topics")), folder
+    arrived = drain_open(
+        scored.select("id", "sentiment", "sentiment_score", "embedding_vector", label.alias("topics")), folder,
+        null_state(table, present=("processed_at",)).select("id"),
     )
     open_ = null_state(table, absent=("processed_at",)).select("id")
     once = arrived.dropDuplicates(["id"]).join(open_, "id", "left_semi")

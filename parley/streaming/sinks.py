@@ -29,20 +29,29 @@ def drain_to_files(stream: DataFrame, folder: str, partition_by: Sequence[str] =
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def drain_once(stream: DataFrame, folder: str) -> DataFrame:
-    """Process what has arrived since the last call and return the rows of this call alone.
+def drain_open(stream: DataFrame, folder: str, done: DataFrame, key: str = "id") -> DataFrame:
+    """Process what has arrived and return the rows of all micro-batches that are not worked off yet.
 
-    Every micro-batch is written whole to a folder of its number, so a repeated batch replaces itself.
+    Every micro-batch is written whole to a folder of its number, so a repeated batch replaces itself. ``done`` holds
+    the keys whose results are stored: a batch counts as worked off, and is not read again, once all of its keys are
+    among them. So what a call returned and its caller never stored comes back with the next call.
     """
-    spark, numbers = stream.sparkSession, []
+    spark, settled = stream.sparkSession, f"{folder}/settled"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        numbers.append(number)
 
     drain_batches(stream, folder, write)
-    paths = [f"{folder}/rows/batch={n}" for n in numbers]
-    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
+    if not table_exists(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{folder}/rows")
+    if table_exists(spark, settled):
+        numbers = [r["batch"] for r in spark.read.schema("batch long").parquet(settled).collect()]
+        rows = rows.where(~F.col("batch").isin(numbers))  # folders, not rows, are left out
+    waiting = rows.join(done.select(key), key, "left_anti").select("batch").distinct()
+    over = rows.select("batch").distinct().join(waiting, "batch", "left_anti")
+    over.coalesce(1).write.mode("append").parquet(settled)
+    return rows.drop("batch")
 
 
 def drain_batches(

@@ -192,3 +192,34 @@ def test_waiting_attempts_are_state_entries_of_their_own(spark):
     )
     query.awaitTermination()
     assert max(state["numRowsTotal"] for p in query.recentProgress for state in p["stateOperators"]) >= 40
+
+
+def test_enrichment_that_was_not_stored_comes_back(spark):
+    """A call whose table is lost, and a message that arrives before its row, are worked off later."""
+    schema = "id long, message string, sender_type string, processed_at timestamp"
+    inbox, folder = fresh_folder(spark, "inbox"), fresh_folder(spark, "queue")
+    rows = [(i, "good day", "customer", None) for i in range(4)]
+    full = f"{schema}, sentiment string, sentiment_score double, embedding_vector array<double>"
+    table = spark.createDataFrame([(*r, None, None, None) for r in rows[:3]], full)
+
+    def call(table):
+        stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema)
+        return incremental_enrich(table, stream, folder, F.lit(START), {"positive": ("good",), "negative": ("bad",)}, {"time": ("day",)})
+
+    def stored(table):
+        path = fresh_folder(spark, "table")
+        table.write.parquet(path)
+        return spark.read.schema(table.schema).parquet(path)
+
+    _arrive(spark, inbox, [rows[i] for i in (0, 1, 3)], schema)
+    assert call(table).processed == 2  # the result is lost
+    _arrive(spark, inbox, [rows[2]], schema)
+    worked = call(table)
+    assert worked.processed == 3
+    table = stored(worked.table)
+    table = stored(table.union(spark.createDataFrame([(*rows[3], None, None, None)], full)))  # the row comes late
+    worked = call(table)
+    assert worked.processed == 1
+    table = stored(worked.table)
+    assert call(table).processed == 0
+    assert table.where("sentiment = 'positive' and processed_at is not null").count() == 4
