@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, ngram_join, ordinal, packing, pii, quality_rules, sharding, topk
+from . import bpe, line_dedup, mixing, near_dedup, ngram_join, ordinal, packing, pii, quality_rules, sharding, spelling, topk
 from .common import documents
 from .mixing_sql import mixture_sql
-from .queries_sql import BYTE_SHARDS, FUZZY_LINES, NEAR_DEDUP, NGRAM_JOIN
+from .queries_sql import BYTE_SHARDS, FUZZY_LINES, NEAR_DEDUP, NGRAM_JOIN, SPELLING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,8 @@ def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_minhash_near_dedup", NEAR_DEDUP)
 def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, folder), n=4, threshold=0.8, bins=128, rows=4)
+
+
+@query("op12_spelling_variants", SPELLING)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, folder), least_length=6, least_count=5, factor=5, modulus=199)

@@ -90,3 +90,45 @@ reached AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN least_id USING (doc_id)
 """
+
+#: Words with every letter blanked or taken out in turn: two that are one edit apart meet in one such pattern.
+SPELLING = r"""
+WITH RECURSIVE bits AS (
+  SELECT n::UINTEGER AS n, n::UINTEGER AS value, 0 AS step FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN value & 1 = 1 THEN xor(value >> 1, 3988292384::UINTEGER) ELSE value >> 1 END, step + 1 FROM bits WHERE step < 8
+), lookup AS (SELECT list(value ORDER BY n) AS entries FROM bits WHERE step = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+  ) WHERE length(run) >= 6 GROUP BY ALL
+), coded AS (
+  SELECT run, n, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: ('0x' || x)::UINTEGER) AS bytes FROM runs
+), drawn AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda crc, x: xor(crc >> 8, entries[(xor(crc, x) & 255) + 1]), 4294967295::UINTEGER),
+                     4294967295::UINTEGER)::BIGINT AS h FROM coded, lookup
+), kept AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM drawn
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+patterns AS (
+  SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS blank, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM places
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM patterns a JOIN patterns b ON a.blank = b.blank AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM patterns a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM patterns a JOIN words b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, near_n,
+         row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS nth FROM near
+), formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * words.n THEN near END AS form,
+         CASE WHEN near_n >= 5 * words.n THEN near_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word AND nth = 1
+), steps AS (
+  SELECT word, coalesce(form, word) AS root, 0 AS step FROM formed
+  UNION ALL SELECT steps.word, formed.form, step + 1 FROM steps JOIN formed ON formed.word = steps.root WHERE formed.form IS NOT NULL
+)
+SELECT word, form, (SELECT arg_max(root, step) FROM steps s WHERE s.word = formed.word) AS root, n, n_near, form_n FROM formed
+"""
