@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, ngram_join, ordinal, packing, pii, quality_rules, sharding, spelling, topk
+from . import bpe, line_dedup, mixing, near_dedup, ngram_join, ordinal, packing, pii, quality_rules, ranked_search, sharding, spelling, topk
 from .common import documents
 from .mixing_sql import mixture_sql
-from .queries_sql import BYTE_SHARDS, FUZZY_LINES, NEAR_DEDUP, NGRAM_JOIN, SPELLING
+from .queries_sql import BYTE_SHARDS, FUZZY_LINES, NEAR_DEDUP, NGRAM_JOIN, RANKED_SEARCH, SPELLING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,8 @@ def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_variants", SPELLING)
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.group_variants(documents(spark, folder), least_length=6, least_count=5, factor=5, modulus=199)
+
+
+@query("op13_ranked_search", RANKED_SEARCH)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=50)
