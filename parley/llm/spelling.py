@@ -82,7 +82,7 @@ def reduced(word: Column, symbols: int) -> Column:
     """The word in an alphabet of ``symbols`` letters; a letter's symbol is drawn by its hash."""
     letters = LETTERS.decode("latin-1")
     drawn = "".join(chr(ord("A") + zlib.crc32(letter.encode()) % symbols) for letter in letters)
-    return F.translate(word, letters, drawn)
+    return F.translate(word, letters, drawn).alias("reduced")
 
 
 def _powers(length: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def near_words(words: DataFrame, symbols: int) -> DataFrame:
     keyed = written(
         words.select("word", "n", reduced(F.col("word"), symbols)).mapInArrow(key_batches, "word string, n long, key long"), "spelling-keys"
     )
-    neighbours = words.select(reduced(F.col("word"), symbols).alias("reduced")).distinct().mapInArrow(
+    neighbours = words.select(reduced(F.col("word"), symbols)).distinct().mapInArrow(
         neighbour_batches(symbols), "key long, near long"
     )
     there = keyed.select(F.col("key").alias("near")).distinct()
