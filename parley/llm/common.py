@@ -42,7 +42,7 @@ def _bit_of(columns: list[Column]) -> tuple[Column, Column]:
     return F.pmod(F.shiftright(place, 6), F.lit(FILTER_WORDS)), F.pmod(place, F.lit(64))
 
 
-def likely_in(frame: DataFrame, columns: list[Column], keys: DataFrame, key_columns: list[Column], label: str = "filter") -> DataFrame:
+def likely_in(frame: DataFrame, columns: list[Column], keys: DataFrame, key_columns: list[Column]) -> DataFrame:
     """``frame`` plus ``_likely``: false only where its key is surely not among the keys.
 
     A Bloom filter of fixed size, so it may be broadcast: it lets rows without a partner pass by a join before their
@@ -54,7 +54,7 @@ def likely_in(frame: DataFrame, columns: list[Column], keys: DataFrame, key_colu
     )
     word, bit = _bit_of(columns)
     keyed = frame.withColumns({"_word": word, "_bit": bit.cast("int")})
-    found = keyed.join(F.broadcast(written(marks, label)), "_word", "left")  # at most FILTER_WORDS rows
+    found = keyed.join(F.broadcast(marks), "_word", "left")  # at most FILTER_WORDS rows
     hit = F.expr("shiftright(_bits, _bit) & 1L") == 1
     return found.withColumn("_likely", F.coalesce(hit, F.lit(False))).drop("_word", "_bit", "_bits")
 
@@ -70,22 +70,18 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     current = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label
     )
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     before = None
     while True:
-        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = current.select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (
             both.join(least, "a").where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
-        large = written(large, label)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = (
-            small.select("a", F.col("m").alias("b"))
-            .union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .distinct()
-        )
+        hung = F.array(pair("a", "m"), F.when(F.col("b") != F.col("m"), pair("b", "m")))
+        small = large.join(least, "a").select(F.explode(F.array_compact(hung)).alias("e")).select("e.*").distinct()
         seen = Observation()  # counted while the round is written
         sums = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         current = written(small.observe(seen, F.count(F.lit(1)).alias("n"), sums.alias("sum")), label)

@@ -2,7 +2,7 @@
 
 One hash per shingle fills all bins of a signature: its high bits choose the bin, the least hash in a bin is the
 bin's value. An empty bin takes the value of the first filled one in an order of its own that is the same for every
-document (optimal densification). Members of a bucket are held against its least member only, so candidates are at
+document (optimal densification). Members of a bucket are held against one of them only, so candidates are at
 most one per member and band. What the stars leave open (buckets whose members lie in several components) is
 compared in tiles of bounded size, and every link is confirmed on the full shingle sets.
 """
@@ -171,7 +171,7 @@ def tile_batches(threshold: float):
         nodes = table.column("node").to_pylist()
         roots = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
         size = table.column("n").to_numpy().astype(np.float64)
-        sketch = np.stack(table.column("sketch").to_numpy())
+        sketch = np.stack(table.column("sketch").to_numpy()).view(np.uint64)  # signed numbers would be counted by their absolute value
         left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
         pairs = set()
         for at in left:
@@ -226,9 +226,9 @@ class _Links:
         """The links among distinct pairs ``a, b``. A head that many are held against is dealt to as many tasks as it needs."""
         pairs = written(pairs, f"{label}-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        near = likely_in(self.source.select("node", "text"), [F.col("node")], wanted, [F.col("node")], f"{label}-filter")
+        near = likely_in(self.source.select("node", "text"), [F.col("node")], wanted, [F.col("node")])
         texts = written(
-            near.where("_likely").drop("_likely").join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")),
+            near.where("_likely").groupBy("node").agg(F.any_value("text").alias("text")).join(wanted, "node", "left_semi"),
             f"{label}-texts",
         )
         salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
@@ -240,35 +240,25 @@ class _Links:
         return written(ordered.mapInArrow(compare_batches(self.n, self.threshold), f"a {NODE}, b {NODE}"), f"{label}-links")
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` that share a bucket, lie in different components and may be similar.
 
     Per open bucket the members outside its largest component are held against all others, in tiles of ``BLOCK`` by ``BLOCK``.
     """
-    placed = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("rows"))
-    several = written(
-        parts.groupBy("band").agg(
-            F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.count("*").alias("parts"),
-            F.max_by("root", F.struct("rows", "root")).alias("major"),
-        ).where("parts > 1"), "near-open",
-    )
+    placed = shared.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("band", "root").agg(F.count("*").alias("rows")).groupBy("band").agg(
+        F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.count("*").alias("parts"),
+        F.max_by("root", F.struct("rows", "root")).alias("major"),
+    ).where("parts > 1")
     blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
     drawn = lambda count, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), count).cast("int")
-    sized = several.select(
-        "band", "major", blocks(F.col("rows")).alias("wide"), blocks(F.col("rows") - F.col("most")).alias("tall")
-    )
-    known = placed.join(sized, "band")
-    columns = ["band", "low", "high", "minor", "node", "root"]
-    all_sides = known.select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("low"), drawn(F.col("wide"), 5).alias("high"),
-        F.lit(False).alias("minor"), "node", "root",
-    )
-    minors = known.where("root <> major").select(
-        "band", drawn(F.col("tall"), 6).alias("low"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("high"),
-        F.lit(True).alias("minor"), "node", "root",
-    )
-    tiles = all_sides.union(minors).join(nodes.select("node", "n", "sketch"), "node").select(*columns, "n", "sketch")
+    tile = lambda low, high, minor: F.struct(low.alias("low"), high.alias("high"), F.lit(minor).alias("minor"))
+    upto = lambda count: F.sequence(F.lit(0), count - 1)
+    sized = several.select("band", "major", blocks(F.col("rows")).alias("wide"), blocks(F.col("rows") - F.col("most")).alias("tall"))
+    place, own = F.transform(upto(F.col("tall")), lambda low: tile(low, drawn(F.col("wide"), 5), False)), F.col("root") != F.col("major")
+    both = F.when(own, F.concat(place, F.transform(upto(F.col("wide")), lambda high: tile(drawn(F.col("tall"), 6), high, True)))).otherwise(place)
+    dealt = placed.join(sized, "band").select("band", F.explode(both).alias("tile"), "node", "root").select("band", "tile.*", "node", "root")
+    tiles = dealt.join(nodes.select("node", "n", "sketch"), "node").select("band", "low", "high", "minor", "node", "root", "n", "sketch")
     ordered = tiles.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     return ordered.mapInArrow(tile_batches(threshold), f"a {NODE}, b {NODE}").distinct()
 
@@ -301,31 +291,24 @@ def near_duplicates(
     )
     links = _Links(source, nodes, n, threshold)
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head <> top")
-    members = written(banded.join(ends.select("band", "head"), "band"), "near-members")
-    # first each member against the least head it meets, then against the heads of its other buckets
-    first = members.where("node <> head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b"))
-    star = links.confirmed(links.likely(first), "near-first")
-    hung = star.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    of_head = hung.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
-    other = (
-        members.where("node <> head").join(hung, "node", "left").join(of_head, "head", "left")
-        .where(F.coalesce("root", "node") != F.coalesce("head_root", "head"))
-        .select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    )
-    found = star.union(links.confirmed(links.likely(other), "near-other"))
-    roots = written(components(found, "near-components"), "near-roots")
+    ends = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("size"))
+    shared = written(banded.join(ends.where("low <> top").select("band", "size"), "band"), "near-shared")
+    # the head of a bucket is the member whose buckets are largest: what copies were made from, not one of the copies
+    known = shared.join(shared.groupBy("node").agg(F.sum("size").alias("met")), "node").select("band", F.struct("met", "node").alias("member"))
+    heads = known.groupBy("band").agg(F.max("member").alias("head"))
+    star = shared.join(heads, "band").select(F.col("node").alias("a"), F.col("head.node").alias("b")).where("a <> b").distinct()
+    found = links.confirmed(links.likely(star), "near-star")
+    roots = components(found, "near-components")
     # what the stars leave open
-    late = links.confirmed(open_pairs(members, roots, nodes, threshold), "near-late")
-    if not late.isEmpty():
-        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        joined = late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
-            F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
-        )
-        merged = components(joined, "near-merged").select(F.col("node").alias("part"), F.col("root").alias("whole"))
-        nodes_root = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
-        roots = nodes_root.join(merged, "part", "left").select("node", F.coalesce("whole", "part").alias("root"))
-    placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    late = links.confirmed(open_pairs(shared, roots, nodes, threshold), "near-late")
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    parts = late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+    )
+    merged = components(parts, "near-merged").select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    own = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+    roots = own.join(merged, "part", "left").select("node", F.coalesce("whole", "part").alias("root"))
+    placed = nodes.select("node", "least").join(roots, "node")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = written(placed.join(least, "root").select("node", "component_id"), "near-classes")
     out = signed.select("doc_id", "node", "n").join(of_node, "node", "left")

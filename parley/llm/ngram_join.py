@@ -278,7 +278,7 @@ def similar_classes(
         ), "join-owned",
     )
     wanted = owned.select(*NODE).distinct()
-    near = likely_in(source, [F.col(c) for c in NODE], wanted, [F.col(c) for c in NODE], "join-filter").where("_likely")
+    near = likely_in(source, [F.col(c) for c in NODE], wanted, [F.col(c) for c in NODE]).where("_likely")
     texts = near.drop("_likely").join(wanted, NODE, "left_semi").groupBy(*NODE).agg(F.any_value("text").alias("text"))
     compared = owned.join(texts, NODE).join(nodes.select(*NODE, "copies", "bands"), NODE)
     found = written(
