@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import conversations, filters, metrics
+from parley.operators import conversations, filters, metrics, newest
 from parley.plans.metrics import DAILY, SATISFACTION_TREND
 from parley.plans.oracle import with_messages
 from parley.plans.registry import query
-from parley.plans.rows import AS_OF, END, RANGE, START
+from parley.plans.rows import AS_OF, END, NEWEST, RANGE, START
 from parley.schema import MESSAGES
 from parley.session import fresh_folder
 from parley.sources.fixtures import messages
@@ -18,7 +18,7 @@ from parley.sources.sinks import read_days, write_by_date
 _PATHS: dict[tuple[str, str], str] = {}
 
 
-def stored_messages(spark, sf):
+def stored_path(spark, sf):
     """The message view in the stored types, with ids as text, written once per session and input."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PATHS:
@@ -29,7 +29,11 @@ def stored_messages(spark, sf):
         path = fresh_folder(spark, "messages")
         write_by_date(stored_form(named), path, "day")
         _PATHS[key] = path
-    return read_days(spark, _PATHS[key], MESSAGES)
+    return _PATHS[key]
+
+
+def stored_messages(spark, sf):
+    return read_days(spark, stored_path(spark, sf), MESSAGES)
 
 
 @query(
@@ -70,3 +74,42 @@ def _(spark, sf):
 def _(spark, sf):
     found = conversations.derive_response_time(stored_messages(spark, sf))
     return found.select("id", "response_time")
+
+
+# -- newest first: only the newest days are opened -----------------------------------------------
+
+_NAMED = "'c' || conversation_id AS conversation_id, 'u' || user_id AS user_id"
+
+
+@query(
+    "recent_messages_stored",
+    with_messages(f'SELECT {_NAMED}, left(message, 100) AS message_preview, sender_type, message_type FROM (SELECT * FROM v {NEWEST} 10)'),
+)
+def _(spark, sf):
+    return newest.recent_messages(spark, stored_path(spark, sf), MESSAGES, 10).drop("timestamp")
+
+
+@query(
+    "context_messages_stored",
+    with_messages(f"SELECT {_NAMED}, message, sender_type, sentiment FROM (SELECT * FROM m {NEWEST} 100)"),
+)
+def _(spark, sf):
+    return newest.context_messages(spark, stored_path(spark, sf), MESSAGES, 100).drop("timestamp")
+
+
+@query(
+    "latest_customer_messages_stored",
+    with_messages(f"SELECT id, message FROM (SELECT * FROM v WHERE sender_type = 'customer' {NEWEST} 100)"),
+)
+def _(spark, sf):
+    return newest.latest_customer_messages(spark, stored_path(spark, sf), MESSAGES, 100).select("id", "message")
+
+
+@query(
+    "unprocessed_messages_stored",
+    with_messages(
+        f"SELECT id, message FROM (SELECT * FROM m WHERE sender_type = 'customer' AND processed_at IS NULL {NEWEST} 50)"
+    ),
+)
+def _(spark, sf):
+    return newest.unprocessed_messages(spark, stored_path(spark, sf), MESSAGES, 50).select("id", "message")

@@ -122,6 +122,15 @@ def read_days(spark: SparkSession, path: str, schema, day: str = "day") -> DataF
     return spark.read.schema(whole).parquet(path)
 
 
+def table_days(spark: SparkSession, path: str, day: str = "day") -> list[date | None]:
+    """The days of a table by the names of its folders, no file opened; None where rows have no day."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = [str(status.getPath().getName()) for status in listed if status.isDirectory()]
+    values = [name.removeprefix(f"{day}=") for name in names if name.startswith(f"{day}=")]
+    return [None if value == "__HIVE_DEFAULT_PARTITION__" else date.fromisoformat(value) for value in values]
+
+
 def days_of(frame: DataFrame, day: str = "day") -> list[date]:
     """The distinct days, at most one value per partition of the table."""
     return [r[0] for r in frame.select(day).distinct().collect()]
