@@ -10,7 +10,7 @@ from parley.functions.timing import epoch_micros, moment
 from parley.lexicons import TOPICS, Lexicon
 from parley.operators.filters import newest
 from parley.operators.slices import first_rows, previous_row
-from parley.operators.topics import conversation_top_topics
+from parley.operators.topics import conversation_topics, first_topics, merged_conversation_topics
 from parley.schema import CONVERSATION_STATES, SENTIMENTS
 
 DIGITS = 6
@@ -91,16 +91,10 @@ def sentiment_map(counts: DataFrame) -> DataFrame:
     return counts.select("conversation_id", F.map_filter(pairs, lambda k, v: v > 0).alias("sentiment_distribution"))
 
 
-def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) -> DataFrame:
-    """The rows of the summary table.
-
-    Measures are taken per conversation and user first, where all of them are fixed-width and
-    hash-aggregated in one pass over the messages; the few rows left are folded into
-    conversations, whose user is that of the first message. ``summary`` text is produced
-    elsewhere and left NULL; a conversation nobody closed is ``active`` and not ``resolved``.
-    """
+def conversation_states(messages: DataFrame) -> DataFrame:
+    """What a summary is made of, per conversation and user: fixed-width, hash-aggregated in one pass, and mergeable."""
     satisfied = F.when(F.col("sentiment").isNotNull(), satisfaction_score(F.col("sentiment")))
-    pairs = messages.groupBy("conversation_id", "user_id").agg(
+    return messages.groupBy("conversation_id", "user_id").agg(
         F.min(moment(F.col("timestamp"), F.col("id"))).alias("_opened"),
         F.min("timestamp").alias("_start"),
         F.max("timestamp").alias("_end"),
@@ -113,7 +107,29 @@ def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) ->
         F.count(satisfied).alias("_scored"),
         *_sentiment_counts(),
     )
-    measures = pairs.groupBy("conversation_id").agg(
+
+
+def merged_conversations(states: DataFrame) -> DataFrame:
+    """One state per conversation and user from the states of any number of arrivals."""
+    sums = ("_messages", "_customer", "_admin", "_seconds", "_answers", "_satisfied", "_scored", *SENTIMENTS)
+    return states.groupBy("conversation_id", "user_id").agg(
+        F.min("_opened").alias("_opened"), F.min("_start").alias("_start"), F.max("_end").alias("_end"),
+        *(F.sum(c).alias(c) for c in sums),
+    )
+
+
+def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) -> DataFrame:
+    """The rows of the summary table, from all messages."""
+    return summaries_of(conversation_states(messages), conversation_topics(messages, lexicon), as_of)
+
+
+def summaries_of(states: DataFrame, topics: DataFrame, as_of=None) -> DataFrame:
+    """The rows of the summary table from the states of conversations and of their topics, merged or not.
+
+    The few rows per conversation are folded into one, whose user is that of the first message. ``summary``
+    text is produced elsewhere and left NULL; a conversation nobody closed is ``active`` and not ``resolved``.
+    """
+    measures = states.groupBy("conversation_id").agg(
         F.min_by("user_id", "_opened").alias("user_id"),
         F.min("_start").alias("start_time"),
         F.max("_end").alias("end_time"),
@@ -124,7 +140,7 @@ def full_summary(messages: DataFrame, lexicon: Lexicon = TOPICS, as_of=None) ->
         F.round(F.try_divide(F.sum("_satisfied"), F.sum("_scored")), 2).alias("satisfaction_score"),
         *(F.sum(s).alias(s) for s in SENTIMENTS),
     )
-    tags = conversation_top_topics(messages, lexicon).groupBy("conversation_id").agg(
+    tags = first_topics(merged_conversation_topics(topics)).groupBy("conversation_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "topic"))).alias("_tags")
     )
     return measures.join(tags, "conversation_id", "left").select(

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from parley.lexicons import PROBE_TOPICS
-from parley.operators import conversations
+from parley.operators import conversations, states
 from parley.operators.slices import first_rows
 from parley.plans.metrics import SCORE
 from parley.plans.oracle import text_literal, topics_of_messages, with_messages
@@ -56,9 +56,7 @@ def _(spark, sf):
     return conversations.sentiment_map(counts).select("conversation_id", F.array_join(shown, " ").alias("sentiments"))
 
 
-@query(
-    "summary_table",
-    with_messages(
+SUMMARY_TABLE = with_messages(
         topics_of_messages()
         + f""", g AS ({TOP_TOPICS}),
         b AS ({SUMMARY}, arg_min(user_id, {{'ts': "timestamp", 'id': id}}) AS user_id,
@@ -70,8 +68,19 @@ def _(spark, sf):
                positive, negative, neutral, coalesce(tags, '') AS tags, 'active' AS status, false AS resolved,
                TIMESTAMP '2024-01-15 00:00:00' AS updated_at
         FROM b LEFT JOIN (SELECT conversation_id, string_agg(topic, ',' ORDER BY rank) AS tags FROM g GROUP BY 1) USING (conversation_id)"""
-    ),
-)
+    )
+
+
+def _shown(stored):
+    return stored.drop("summary", "created_at").withColumns({
+        "updated_at": F.col("updated_at").cast("timestamp_ntz"),
+        "tags": F.array_join("tags", ","),
+        "avg_response_time": F.col("avg_response_time").cast("double"),
+        "satisfaction_score": F.col("satisfaction_score").cast("double"),
+    })
+
+
+@query("summary_table", SUMMARY_TABLE)
 def _(spark, sf):
     rows = messages(spark, sf, response_time=True, sentiment=True)
     path = fresh_folder(spark, "summaries")
@@ -80,13 +89,24 @@ def _(spark, sf):
     write_by_date(before, path, "start_date")
     stored = spark.read.schema(before.schema).parquet(path)
     upsert_days(path, stored, conversations.full_summary(rows, PROBE_TOPICS, NOW), ["conversation_id"], day="start_date")
-    stored = spark.read.schema(before.schema).parquet(path)
-    return stored.drop("summary", "created_at").withColumns({
-        "updated_at": F.col("updated_at").cast("timestamp_ntz"),
-        "tags": F.array_join("tags", ","),
-        "avg_response_time": F.col("avg_response_time").cast("double"),
-        "satisfaction_score": F.col("satisfaction_score").cast("double"),
-    })
+    return _shown(spark.read.schema(before.schema).parquet(path))
+
+
+@query("summary_table_incremental", SUMMARY_TABLE)
+def _(spark, sf):
+    rows = messages(spark, sf, response_time=True, sentiment=True)
+    follower = states.SummaryFollower(fresh_folder(spark, "followed"), rows, PROBE_TOPICS)
+    # the middle of the time comes last, and one arrival twice
+    late = F.date_trunc("day", "timestamp").between(F.lit("2024-01-04"), F.lit("2024-01-08"))
+    odd = F.col("id") % 2 == 1
+    follower.arrive(rows.where(~late & odd), "a", EARLIER)
+    follower.arrive(rows.where(~late & ~odd), "b", EARLIER)
+    follower.counts.compact()
+    follower.topics.compact()
+    follower.arrive(rows.where(late), "c", NOW)
+    follower.arrive(rows.where(late), "c", NOW)
+    follower.arrive(rows.where(~late & odd), "a", NOW)
+    return _shown(follower.table()).withColumn("updated_at", F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query(

@@ -18,7 +18,7 @@ from parley.lexicons import (
     SENTIMENT,
     TOPICS,
 )
-from parley.operators import topics
+from parley.operators import states, topics
 from parley.operators.mutations import upsert
 from parley.plans.oracle import (
     hits,
@@ -246,9 +246,7 @@ def _(spark, sf):
     return topics.conversation_top_topics(messages(spark, sf), PROBE_TOPICS)
 
 
-@query(
-    "topics_table",
-    with_messages(
+TOPICS_TABLE = with_messages(
         f""", h AS (SELECT m.id, label, keyword FROM m, {lexicon_values(PROBE_TOPICS)}
                  WHERE sender_type = 'customer' AND contains(lower(message), keyword)),
         d AS (SELECT label, count(DISTINCT id) AS frequency, string_agg(DISTINCT keyword, ' ' ORDER BY keyword) AS keywords
@@ -259,15 +257,10 @@ def _(spark, sf):
         SELECT d.label AS topic_name, frequency, keywords, CAST(pos AS INT) AS pos, round(x, 5) AS x,
                TIMESTAMP '2024-01-15 00:00:00' AS updated_at
         FROM d JOIN e USING (label)"""
-    ),
-)
-def _(spark, sf):
-    rows, path = messages(spark, sf, vectors=True), fresh_folder(spark, "topics")
-    # the dictionary as of an earlier day, then brought up to date on its key
-    replace_table(topics.topics_table(rows.where(F.col("id") % 2 == 0), 64, PROBE_TOPICS, datetime(2024, 1, 10)), path)
-    fresh = topics.topics_table(rows, 64, PROBE_TOPICS, datetime(2024, 1, 15))
-    replace_table(upsert(spark.read.schema(fresh.schema).parquet(path), fresh, ["topic_name"]), path)
-    found = spark.read.schema(fresh.schema).parquet(path)
+    )
+
+
+def _opened(found):
     return found.select(
         "topic_name",
         "frequency",
@@ -279,6 +272,27 @@ def _(spark, sf):
     )
 
 
+@query("topics_table", TOPICS_TABLE)
+def _(spark, sf):
+    rows, path = messages(spark, sf, vectors=True), fresh_folder(spark, "topics")
+    # the dictionary as of an earlier day, then brought up to date on its key
+    replace_table(topics.topics_table(rows.where(F.col("id") % 2 == 0), 64, PROBE_TOPICS, datetime(2024, 1, 10)), path)
+    fresh = topics.topics_table(rows, 64, PROBE_TOPICS, datetime(2024, 1, 15))
+    replace_table(upsert(spark.read.schema(fresh.schema).parquet(path), fresh, ["topic_name"]), path)
+    return _opened(spark.read.schema(fresh.schema).parquet(path))
+
+
+@query("topics_table_incremental", TOPICS_TABLE)
+def _(spark, sf):
+    rows = messages(spark, sf, vectors=True)
+    follower = states.TopicFollower(fresh_folder(spark, "followed"), rows, 64, PROBE_TOPICS)
+    for part in (2, 0, 1):
+        follower.arrive(rows.where(F.col("id") % 3 == part), f"part{part}")
+    follower.states.compact()
+    follower.arrive(rows.where(F.col("id") % 3 == 0), "part0")
+    return _opened(follower.table(datetime(2024, 1, 15)))
+
+
 # -- cleaning --------------------------------------------------------------------------------
 
 # Unicode white space, as the SQL engine's regular expressions have no name for it

@@ -122,12 +122,19 @@ def read_days(spark: SparkSession, path: str, schema, day: str = "day") -> DataF
     return spark.read.schema(whole).parquet(path)
 
 
-def table_days(spark: SparkSession, path: str, day: str = "day") -> list[date | None]:
-    """The days of a table by the names of its folders, no file opened; None where rows have no day."""
+def folder_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a partition column by the names of the table's folders; no file is opened."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
-    names = [str(status.getPath().getName()) for status in listed if status.isDirectory()]
-    values = [name.removeprefix(f"{day}=") for name in names if name.startswith(f"{day}=")]
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    names = [str(status.getPath().getName()) for status in system.listStatus(target) if status.isDirectory()]
+    return [name.removeprefix(f"{column}=") for name in names if name.startswith(f"{column}=")]
+
+
+def table_days(spark: SparkSession, path: str, day: str = "day") -> list[date | None]:
+    """The days a table has folders for; None where rows have no day."""
+    values = folder_values(spark, path, day)
     return [None if value == "__HIVE_DEFAULT_PARTITION__" else date.fromisoformat(value) for value in values]
 
 
