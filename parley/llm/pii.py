@@ -9,14 +9,20 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Values of more bits are permuted symbol by symbol instead of as one number.
+LONG_BITS = 256
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+HEX = ("0123456789abcdef",)
 
 
 class Feistel:
@@ -25,9 +31,15 @@ class Feistel:
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
+    def _stream(self, tweak: str, step: int, half: bytes, length: int) -> bytes:
+        """So many bytes that depend on the key, the place in the network and all of a half."""
+        head = f"{tweak}|{step}|{length}|".encode()
+        return hashlib.shake_256(self.key + len(head).to_bytes(4, "big") + head + half).digest(length)
+
     def _round(self, tweak: str, step: int, size: int, half: int) -> int:
-        data = f"{tweak}|{step}|{size}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big") % size
+        """A number below ``size``; 128 bits more than it has are drawn, so none is likelier than another."""
+        data = self._stream(f"{tweak}|{size:x}", step, half.to_bytes(half.bit_length() // 8 + 1, "big"), size.bit_length() // 8 + 17)
+        return int.from_bytes(data, "big") % size
 
     def __call__(self, value: int, size: int, tweak: str) -> int:
         """The place of ``value`` in the permutation of ``range(size)`` that the tweak names.
@@ -37,9 +49,7 @@ class Feistel:
         """
         if size < 2:
             return value
-        left_size = 1
-        while left_size * left_size < size:
-            left_size = left_size * 2 if left_size * left_size * 4 <= size else left_size + max(1, left_size // 8)
+        left_size = math.isqrt(size - 1) + 1
         right_size = -(-size // left_size)
         while True:
             left, right = divmod(value, right_size)
@@ -50,6 +60,20 @@ class Feistel:
             if value < size:
                 return value
 
+    def symbols(self, values: np.ndarray, sizes: np.ndarray, tweak: str) -> np.ndarray:
+        """A permutation of sequences of any length, position ``i`` holding a number below ``sizes[i]``.
+
+        The halves are those of the sequence. Every position of one half is shifted by a stream drawn from the
+        whole other half, so each symbol comes to depend on all others, in time linear in the length.
+        """
+        values, middle = values.astype(np.uint64), len(values) // 2
+        halves = [slice(0, middle), slice(middle, len(values))]
+        for step in range(ROUNDS):
+            own, other = halves[step % 2], halves[1 - step % 2]
+            drawn = np.frombuffer(self._stream(tweak, step, values[other].astype(np.uint8).tobytes(), 8 * (own.stop - own.start)), dtype=">u8")
+            values[own] = (values[own] + drawn % sizes[own]) % sizes[own]
+        return values.astype(np.int64)
+
 
 def luhn_digit(digits: str) -> str:
     """The check digit that completes a card number."""
@@ -76,8 +100,9 @@ class Pseudonyms:
     FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
     FINDER = re.compile(
         r"""(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
-        |(?P<iban>(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-        |(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?=[Tt]\d\d|(?![\w/-]|\.\d)))
+        |(?P<iban>(?<!\w)(?:[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?
+            |[a-z]{2}\d\d(?:[ ]?[a-z0-9]{4}){2,7}(?:[ ]?[a-z0-9]{1,3})?)(?!\w))
+        |(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?=[Tt]\d\d|(?![\w/-]|\.\d)))
         |(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
         |(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))
         |(?P<phone>(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}
@@ -95,22 +120,32 @@ class Pseudonyms:
     def __init__(self, key: bytes):
         self.permute = Feistel(key)
 
-    def _characters(self, value: str, tweak: str) -> str:
-        """Each letter or digit becomes one of its own class; other characters stay."""
-        classes = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
-        shape = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", value)))
-        number, size = 0, 1
-        for c, s in zip(value, shape):
-            if s in classes:
-                number, size = number * len(classes[s]) + classes[s].index(c), size * len(classes[s])
-        number = self.permute(number, size, f"{tweak}|{shape}")
-        out = []
-        for c, s in zip(reversed(value), reversed(shape)):
-            if s in classes:
-                number, at = divmod(number, len(classes[s]))
-                c = classes[s][at]
-            out.append(c)
-        return "".join(reversed(out))
+    def _characters(self, value: str, tweak: str, classes: tuple[str, ...] = CLASSES) -> str:
+        """Each letter or digit becomes one of its own class; other characters stay.
+
+        Values of few bits are permuted as one number, longer ones as sequences of symbols.
+        """
+        of = {c: (i, at) for i, held in enumerate(classes) for at, c in enumerate(held)}
+        places = [i for i, c in enumerate(value) if c in of]
+        kinds, symbols = [of[value[i]][0] for i in places], [of[value[i]][1] for i in places]
+        sizes = [len(classes[k]) for k in kinds]
+        shape = list(value)
+        for i, k in zip(places, kinds):
+            shape[i] = f"\0{k}"
+        tweak = f"{tweak}|{hashlib.blake2b(''.join(shape).encode('utf-8', 'surrogatepass')).hexdigest()}"
+        if sum(n.bit_length() for n in sizes) > LONG_BITS:
+            symbols = self.permute.symbols(np.array(symbols), np.array(sizes, dtype=np.uint64), tweak).tolist()
+        else:
+            number, size = 0, 1
+            for n, at in zip(sizes, symbols):
+                number, size = number * n + at, size * n
+            number = self.permute(number, size, tweak)
+            for j in range(len(sizes) - 1, -1, -1):
+                number, symbols[j] = divmod(number, sizes[j])
+        out = list(value)
+        for i, k, at in zip(places, kinds, symbols):
+            out[i] = classes[k][at]
+        return "".join(out)
 
     def _digits(self, digits: str, tweak: str) -> str:
         return f"{self.permute(int(digits), 10 ** len(digits), f'{tweak}|{len(digits)}'):0{len(digits)}d}"
@@ -147,18 +182,27 @@ class Pseudonyms:
         number = self.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip")
         return ".".join(map(str, number.to_bytes(4, "big")))
 
+    #: Orders of year, month and day by what a date looks like: the first that makes it a date counts.
+    ORDERS = {
+        "0000-00-00": ["%Y-%m-%d"], "0000/00/00": ["%Y/%m/%d"], "00.00.0000": ["%d.%m.%Y"], "00/00/0000": ["%m/%d/%Y", "%d/%m/%Y"],
+    }
+
     def date(self, value: str) -> str | None:
-        order = [0, 1, 2] if value[4] == "-" else [2, 1, 0] if "." in value else [2, 0, 1]
-        parts = [int(p) for p in re.split(r"[-./]", value)]
-        try:
-            day = datetime.date(*(parts[i] for i in order)).toordinal()
-        except ValueError:
-            return None
-        if not self.FIRST_DAY <= day <= self.LAST_DAY:
-            return None
-        moved = self.FIRST_DAY + self.permute(day - self.FIRST_DAY, self.LAST_DAY - self.FIRST_DAY + 1, "date")
-        at = datetime.date.fromordinal(moved)
-        return at.strftime({"-": "%Y-%m-%d", ".": "%d.%m.%Y", "/": "%m/%d/%Y"}[re.sub(r"\d", "", value)[0]])
+        """Days up to the twelfth stay so, and later ones too: what 05/03 and 25/03 mean does not change."""
+        for order in self.ORDERS[re.sub(r"\d", "0", value)]:
+            parts = dict(zip(re.findall("%(.)", order), map(int, re.findall(r"\d+", value))))
+            try:
+                found = datetime.date(parts["Y"], parts["m"], parts["d"])
+            except ValueError:
+                continue
+            if not self.FIRST_DAY <= found.toordinal() <= self.LAST_DAY:
+                return None
+            at = found
+            while at is found or (at.day > 12) != (found.day > 12):  # walks on within the dates alike
+                place = self.permute(at.toordinal() - self.FIRST_DAY, self.LAST_DAY - self.FIRST_DAY + 1, "date")
+                at = datetime.date.fromordinal(self.FIRST_DAY + place)
+            return order.replace("%Y", f"{at.year:04d}").replace("%m", f"{at.month:02d}").replace("%d", f"{at.day:02d}")
+        return None
 
     @staticmethod
     def _social(number: int) -> bool:
@@ -175,12 +219,13 @@ class Pseudonyms:
         return filled(value, f"{number:09d}", r"\d")
 
     def iban(self, value: str) -> str | None:
-        plain = value.replace(" ", "")
+        plain = value.replace(" ", "").upper()
         country, check, account = plain[:2], plain[2:4], plain[4:]
         if not 15 <= len(plain) <= 34 or iban_check(country, account) != check:
             return None
         account = self._characters(account, f"iban|{country}")
-        return filled(value, country + iban_check(country, account) + account, r"\w")
+        new = filled(value, country + iban_check(country, account) + account, r"\w")
+        return new.lower() if value[0].islower() else new
 
     def secret(self, value: str) -> str | None:
         if value.startswith("AKIA"):
@@ -189,8 +234,7 @@ class Pseudonyms:
         if not re.search(r"\d", body):
             return None  # an ordinary word
         if re.fullmatch("[0-9a-f]+", body):
-            number = self.permute(int(body, 16), 16 ** len(body), f"secret|hex|{len(body)}")
-            return f"{lead}{number:0{len(body)}x}{tail}"
+            return lead + self._characters(body, "secret|hex", HEX) + tail
         return lead + self._characters(body, "secret") + tail
 
     def earlier(self, text: str, start: int, end: int, kind: str) -> int:
@@ -252,8 +296,9 @@ def pseudonymise_documents(documents: DataFrame, key: bytes) -> DataFrame:
     """``doc_id``, the text with pseudonyms, and how many values of each kind were permuted (``n_email``, ...).
 
     Kinds: addresses of mail, account numbers (IBAN), calendar dates, social security numbers, IPv4
-    addresses, telephone numbers, card numbers, and credentials. Numbers with a wrong check digit, impossible
-    dates and the like are no such values and stay. The key alone decides the pseudonyms; keep it secret. A NULL
+    addresses, telephone numbers, card numbers, and credentials. Account numbers may be in
+    small letters; dates are year-month-day, day.month.year or month/day/year, else day/month/year. Numbers with a wrong check
+    digit, impossible dates and the like are no such values and stay. A value of any length is permuted as a whole. The key alone decides the pseudonyms; keep it secret. A NULL
     text stays NULL, an empty one empty; one narrow pass, whole texts; repeated rows change alike.
     """
     fields = ", ".join(f"n_{k} int" for k in Pseudonyms.KINDS)

@@ -48,6 +48,108 @@ def test_values_change_within_their_format(names, kind, value):
         assert pii.luhn_digit(re.sub(r"\D", "", new)[:-1]) == new[-1]
 
 
+def plain_number(key, value, size, tweak):
+    """The network on numbers, written again step by step."""
+    import hashlib
+
+    secret = hashlib.blake2b(key, digest_size=32).digest()
+
+    def draw(step, limit, half):
+        length = limit.bit_length() // 8 + 17
+        head = f"{tweak}|{limit:x}|{step}|{length}|".encode()
+        message = secret + len(head).to_bytes(4, "big") + head + half.to_bytes(half.bit_length() // 8 + 1, "big")
+        return int.from_bytes(hashlib.shake_256(message).digest(length), "big") % limit
+
+    a = next(n for n in range(1, size + 1) if n * n >= size)
+    b = next(n for n in range(1, size + 1) if a * n >= size)
+    while True:
+        halves, limits = list(divmod(value, b)), (a, b)
+        for step in range(10):
+            i = step % 2
+            halves[i] = (halves[i] + draw(step, limits[i], halves[1 - i])) % limits[i]
+        value = halves[0] * b + halves[1]
+        if value < size:
+            return value
+
+
+def plain_symbols(key, values, sizes, tweak):
+    """The network on symbols, written again symbol by symbol."""
+    import hashlib
+
+    secret, out, middle = hashlib.blake2b(key, digest_size=32).digest(), list(values), len(values) // 2
+    for step in range(10):
+        own = range(middle) if step % 2 == 0 else range(middle, len(out))
+        other = range(middle, len(out)) if step % 2 == 0 else range(middle)
+        head = f"{tweak}|{step}|{8 * len(own)}|".encode()
+        stream = hashlib.shake_256(secret + len(head).to_bytes(4, "big") + head + bytes(out[i] for i in other)).digest(8 * len(own))
+        out = [(v + int.from_bytes(stream[8 * (i - own.start): 8 * (i - own.start) + 8], "big") % sizes[i]) % sizes[i] if i in own else v
+               for i, v in enumerate(out)]
+    return out
+
+
+def test_permutations_equal_a_second_implementation(names):
+    for size in (2, 7, 100, 5003, 90_001):
+        for value in range(0, size, max(1, size // 7)):
+            assert names.permute(value, size, "kind") == plain_number(b"test key", value, size, "kind")
+    draw = np.random.default_rng(3)
+    for length in (2, 3, 50, 301):
+        sizes = draw.choice([10, 26, 16], length)
+        values = draw.integers(0, sizes)
+        got = names.permute.symbols(values, sizes.astype(np.uint64), "kind").tolist()
+        assert got == plain_symbols(b"test key", values.tolist(), sizes.tolist(), "kind")
+
+
+def test_sequences_are_permuted_one_to_one(names):
+    sizes = np.array([3, 2, 5, 2, 4], dtype=np.uint64)
+    every = [np.unravel_index(i, (3, 2, 5, 2, 4)) for i in range(240)]
+    assert len({tuple(names.permute.symbols(np.array(v), sizes, "t").tolist()) for v in every}) == 240
+
+
+@pytest.mark.parametrize("length", [40, 50, 52, 53, 54, 55, 63, 64, 65, 100, 128, 160, 300, 4301, 10_000, 1_000_000])
+@pytest.mark.parametrize("lead,unit", [("token=", "ab3Xyz_9"), ("token=", "0f3a91cd"), ("", "q7w")])
+def test_long_values(names, length, lead, unit):
+    """No crash, and no run of a value stays, at whatever end; one changed symbol changes all parts."""
+    body = (unit * (length // len(unit) + 1))[:length]
+    value = f"{lead}{body}" if lead else f"{body}@mail.example.com"
+    text, found = names.replace(f"x {value} y")
+    assert sum(found.values()) == 1 and len(text) == len(value) + 4
+    new = text[2 + len(lead):][:length]
+    parts = 8 if length < 300 else 16
+    for at in {0, length // 4, length // 2, length - parts}:
+        assert new[at: at + parts] != body[at: at + parts]
+    other, _ = names.replace(f"x {lead}{body[:-1]}{'5' if body[-1] != '5' else '6'}{'' if lead else '@mail.example.com'} y")
+    if body[-1].isdigit():
+        changed = [a != b for a, b in zip(new, other[2 + len(lead):][:length])]
+        assert all(any(changed[at: at + 16]) for at in range(0, length - 16, max(16, length // 50)))
+    if length < 20_000:
+        assert names.replace(f"x {value} y")[0] == text
+
+
+def test_long_values_through_spark(spark):
+    rows = [(1, "token=" + "a1b2" * 2000), (2, "w" * 8000 + "@mail.example.com"), (3, "pwd: " + "9f" * 5000), (4, "z9" * 100_000)]
+    found = {r.doc_id: r for r in pii.pseudonymise_documents(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    assert [found[i].n_secret + found[i].n_email for i in (1, 2, 3, 4)] == [1, 1, 1, 0]
+    assert all(len(found[i].text) == len(t) for i, t in rows) and found[4].text == rows[3][1]
+
+
+def test_dates_in_every_order(names):
+    assert names.date("25/12/2023") and names.date("2023/12/25") and names.date("13/13/2023") is None
+    forms = [names.date(d) for d in ("2023-12-25", "2023/12/25", "25.12.2023", "12/25/2023", "25/12/2023")]
+    year, month, day = forms[0].split("-")
+    assert forms[1:] == [f"{year}/{month}/{day}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{day}/{month}/{year}"]
+    import datetime
+
+    days = [datetime.date(2001, 1, 1) + datetime.timedelta(i) for i in range(3000)]
+    texts = {d.strftime("%m/%d/%Y") for d in days} | {d.strftime("%d/%m/%Y") for d in days}
+    assert len({names.date(t) for t in texts}) == len(texts)  # different texts stay different
+
+
+def test_an_account_number_in_small_letters(names):
+    text, found = names.replace("to de89 3704 0044 0532 0130 00 today")
+    assert found == {"iban": 1} and text == text.lower()
+    assert names.replace("DE89 3704 0044 0532 0130 00")[0].lower() == text[3:-6]
+
+
 def test_equal_values_stay_linked(names):
     a, b = names.card("4349000490986231"), names.card("4349 0004 9098 6231")
     assert a == b.replace(" ", "")
