@@ -2,8 +2,7 @@
 
 Queries and rows are packed into blocks; a block of rows meets every block of queries and is scored with one
 matrix product, of which only the best rows per query leave the task. It is one lazy pass over the
-table for any number of queries: a single block of queries is small enough for Spark to send along,
-more are joined by their number.
+table for any number of queries: few are sent along with the tasks, more are dealt over parts.
 """
 
 from __future__ import annotations
@@ -76,14 +75,31 @@ def _pack_rows(frame: DataFrame) -> DataFrame:
 def _tiles(rows: DataFrame, queries: DataFrame, block: int) -> DataFrame:
     """Every block of rows beside every block of queries (``query_id, vector``)."""
     asked = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
-    blocks = max(1, -(-asked.count() // block))
+    count, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-count // block))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     grouped = asked.groupBy(number).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
     packed = _pack_rows(rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return packed.join(grouped, "block").drop("block")
+    return beside(packed, grouped, "block", 8 * numbers).drop("block")
 
 
-def _best_hits(limit: int, min_similarity: float) -> Callable:
+def beside(packed: DataFrame, grouped: DataFrame, key: str, size: int) -> DataFrame:
+    """Blocks of rows joined with the blocks of queries of the same ``key``; the queries' vectors take ``size`` bytes.
+
+    Queries below the session's broadcast limit are sent along. Beyond it each block of queries is copied to as many parts
+    as there are shuffle partitions, and blocks of rows are dealt over the parts: a key has few
+    values, part and key together have many.
+    """
+    spark = packed.sparkSession
+    if size <= int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()):
+        return packed.join(F.broadcast(grouped), key)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    copied = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copied, ["part", key]).drop("part")
+
+
+def best_hits(limit: int, min_similarity: float) -> Callable:
     """Task function: the best ``limit`` rows of a tile for every query, ties included."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +142,7 @@ def similar_ids(
         T.StructField("micros", T.LongType()),
         T.StructField("similarity", T.DoubleType()),
     ])
-    scored = _tiles(slim, queries, block).mapInArrow(_best_hits(limit, min_similarity), schema)
+    scored = _tiles(slim, queries, block).mapInArrow(best_hits(limit, min_similarity), schema)
     order = [F.col("similarity").desc(), F.col("micros").desc(), F.col("id").desc()]
     return first_rows(scored, ["query_id"], order, limit).select("query_id", "rank", "id", "similarity")
 

@@ -7,9 +7,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from parley.functions.vectors import cosine_similarity, decode_vector, encode_vector
-from parley.operators import filters, similarity
+from parley.operators import filters, similarity, vector_index
 from parley.plans.oracle import CENTRES, MESSAGE_VIEW, cosine
 from parley.plans.registry import query
+from parley.session import fresh_folder
 from parley.sources.fixtures import messages, table
 
 THRESHOLD = 0.3
@@ -73,6 +74,20 @@ def _(spark, sf):
     return _found(similarity.similar_messages(messages(spark, sf, vectors=True), queries, min_similarity=THRESHOLD))
 
 
+@query(
+    "similar_messages_indexed",
+    f"""WITH {MESSAGE_VIEW}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 5 = 0) {_SIMILAR}""",
+)
+def _(spark, sf):
+    rows, path = messages(spark, sf, vectors=True), fresh_folder(spark, "vectors")
+    vector_index.build_index(filters.sender(rows, "customer").select("id", "timestamp", "embedding_vector"), path, width=64)
+    asked = table(spark, sf, "embeddings").where("vec_id % 5 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    hits = vector_index.similar_in_index(spark, path, asked, min_similarity=THRESHOLD, block=32)
+    return _found(rows.select("id", "conversation_id").join(hits, "id"))
+
+
 @query(
     "similar_to_newest",
     f"""WITH {MESSAGE_VIEW}, q AS (SELECT id AS query_id, embedding::DOUBLE[] AS vector FROM v JOIN embeddings ON vec_id = id
