@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,19 +244,93 @@ def impact_label(correlation: Column) -> Column:
     return chain
 
 
-def satisfaction_drivers(messages: DataFrame) -> DataFrame:
-    """Correlation of a conversation's satisfaction with what may drive it."""
-    per_conversation = messages.groupBy("conversation_id").agg(
+#: What may drive a conversation's satisfaction.
+FACTORS = ("response_time", "message_length", "hour", "message_count")
+
+
+def driver_measures(messages: DataFrame) -> DataFrame:
+    """``score`` and the factors of every conversation."""
+    return messages.groupBy("conversation_id").agg(
         F.avg(F.when(F.col("sentiment").isNotNull(), satisfaction_score(F.col("sentiment")))).alias("score"),
         F.avg("response_time").alias("response_time"),
         F.avg(F.length("message")).alias("message_length"),
         F.hour(F.min("timestamp")).cast("double").alias("hour"),
         F.count("*").cast("double").alias("message_count"),
     )
-    factors = ("response_time", "message_length", "hour", "message_count")
-    measured = per_conversation.agg(*(F.corr("score", f).alias(f) for f in factors))
+
+
+def satisfaction_drivers(messages: DataFrame) -> DataFrame:
+    """Correlation of a conversation's satisfaction with what may drive it, each factor on its own."""
+    measured = driver_measures(messages).agg(*(F.corr("score", f).alias(f) for f in FACTORS))
     rows = F.inline(F.array(*(
         F.struct(F.lit(f).alias("factor"), F.round(F.nanvl(F.col(f), F.lit(None)), DIGITS).alias("correlation"))
-        for f in factors
+        for f in FACTORS
     )))
     return measured.select(rows).withColumn("impact", impact_label(F.col("correlation")))
+
+
+def satisfaction_drivers_joint(messages: DataFrame) -> DataFrame:
+    """All factors in one linear model: ``factor, coefficient, beta, partial_correlation, impact``.
+
+    ``coefficient`` is the change of satisfaction per unit of the factor with the others held fixed, ``beta`` the same in
+    standard deviations, ``partial_correlation`` what is left between satisfaction and the factor once the others
+    are accounted for. Conversations without a score or without one of the factors are left out.
+
+    One pass sums the products of every two columns (with map-side combine); the normal equations of that one row are
+    then solved. A factor that never varies, or is a linear combination of others, has no values (NULL).
+    """
+    columns = ("score", *FACTORS)
+    whole = driver_measures(messages).dropna(subset=list(columns))
+    gram = whole.agg(
+        F.count("*").alias("n"), *(F.sum(c).alias(f"s_{c}") for c in columns),
+        *(F.sum(F.col(a) * F.col(b)).alias(f"q_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]),
+    )
+    solved = gram.mapInPandas(_solved, "factor string, coefficient double, beta double, partial_correlation double")
+    rounded = [F.round(c, DIGITS).alias(c) for c in ("coefficient", "beta", "partial_correlation")]
+    return solved.select("factor", *rounded).withColumn("impact", impact_label(F.col("partial_correlation")))
+
+
+def _solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model from the one row of sums and products."""
+    columns = ("score", *FACTORS)
+    for frame in frames:
+        for row in frame.to_dict("records"):
+            n = row["n"]
+            out = {f: (None, None, None) for f in FACTORS}
+            if n:
+                mean = np.array([row[f"s_{c}"] for c in columns]) / n
+                spread = np.empty((len(columns), len(columns)))
+                for i, a in enumerate(columns):
+                    for j, b in enumerate(columns[i:], i):
+                        spread[i, j] = spread[j, i] = row[f"q_{a}_{b}"] / n - mean[i] * mean[j]
+                out |= _partial(columns, spread)
+            yield pd.DataFrame([(f, *out[f]) for f in FACTORS], columns=["factor", "coefficient", "beta", "partial_correlation"])
+
+
+def _partial(columns: Sequence[str], spread: np.ndarray) -> dict[str, tuple[float, float, float]]:
+    """Coefficient, beta and partial correlation of each factor; none for those that depend on the factors before them."""
+    scale = np.sqrt(np.maximum(np.diag(spread), 0))
+    kept = [0] if scale[0] > 0 else []
+    for i in range(1, len(columns)):
+        trial = [*kept, i]
+        if scale[0] > 0 and scale[i] > 0:
+            own = [k for k in trial if k]
+            correlation = spread[np.ix_(own, own)] / np.outer(scale[own], scale[own])
+            if np.linalg.eigvalsh(correlation)[0] > 1e-9:
+                kept = trial
+    if len(kept) < 2:
+        return {}
+    correlation = spread[np.ix_(kept, kept)] / np.outer(scale[kept], scale[kept])
+    beta = np.linalg.solve(correlation[1:, 1:], correlation[1:, 0])
+    found = {}
+    for place, i in enumerate(kept[1:], 1):
+        rest = [k for k in range(len(kept)) if k not in (0, place)]
+        # what is left of the score and of the factor once the rest is accounted for
+        pair = [0, place]
+        left = correlation[np.ix_(pair, pair)]
+        if rest:
+            left = left - correlation[np.ix_(pair, rest)] @ np.linalg.solve(correlation[np.ix_(rest, rest)], correlation[np.ix_(rest, pair)])
+        bound = math.sqrt(max(left[0, 0], 0) * max(left[1, 1], 0))
+        partial = float(np.clip(left[0, 1] / bound, -1, 1)) if bound > 0 else None
+        found[columns[i]] = (float(beta[place - 1] * scale[0] / scale[i]), float(beta[place - 1]), partial)
+    return found

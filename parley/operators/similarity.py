@@ -59,7 +59,7 @@ def _packed(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema.fields])
 
 
-def _pack_rows(frame: DataFrame) -> DataFrame:
+def pack_rows(frame: DataFrame) -> DataFrame:
     """Rows of a task in blocks: one row per block, every column an array."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def _tiles(rows: DataFrame, queries: DataFrame, block: int) -> DataFrame:
     blocks = max(1, -(-count // block))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     grouped = asked.groupBy(number).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-    packed = _pack_rows(rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    packed = pack_rows(rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return beside(packed, grouped, "block", 8 * numbers).drop("block")
 
 

@@ -249,6 +249,40 @@ def _(spark, sf):
     return metrics.satisfaction_drivers(messages(spark, sf, response_time=True, sentiment=True))
 
 
+_FACTORS = metrics.FACTORS
+
+
+def _joint_sql() -> str:
+    """The model by orthogonal residuals: of the score and each factor, once the other factors are taken out in turn."""
+    parts, models = [], []
+    for f in _FACTORS:
+        others = [o for o in _FACTORS if o != f]
+        parts.append(f"""{f}_1 AS (SELECT score, {f} AS x, {others[0]} - avg({others[0]}) OVER () AS r1, {others[1]} AS b, {others[2]} AS c FROM w),
+        {f}_2 AS (SELECT *, b - avg(b) OVER () - regr_slope(b, r1) OVER () * r1 AS r2 FROM {f}_1),
+        {f}_3 AS (SELECT *, c - avg(c) OVER () - regr_slope(c, r1) OVER () * r1 - regr_slope(c, r2) OVER () * r2 AS r3 FROM {f}_2),
+        {f}_4 AS (SELECT score, x, score - avg(score) OVER () - regr_slope(score, r1) OVER () * r1 - regr_slope(score, r2) OVER () * r2
+                         - regr_slope(score, r3) OVER () * r3 AS y_left,
+                  x - avg(x) OVER () - regr_slope(x, r1) OVER () * r1 - regr_slope(x, r2) OVER () * r2 - regr_slope(x, r3) OVER () * r3 AS x_left FROM {f}_3)""")
+        models.append(f"""SELECT '{f}' AS factor, round(regr_slope(y_left, x_left), 6) AS coefficient,
+               round(regr_slope(y_left, x_left) * stddev_pop(x) / stddev_pop(score), 6) AS beta,
+               round(corr(y_left, x_left), 6) AS partial_correlation FROM {f}_4""")
+    return with_messages(
+        f""", w AS (SELECT * FROM (
+              SELECT conversation_id, avg(CASE WHEN sentiment IS NOT NULL THEN {SCORE} END) AS score, avg(response_time) AS response_time,
+                     avg(length(message)) AS message_length, hour(min("timestamp"))::DOUBLE AS hour, count(*)::DOUBLE AS message_count
+              FROM m GROUP BY conversation_id) WHERE score IS NOT NULL AND response_time IS NOT NULL AND hour IS NOT NULL),
+        {", ".join(parts)}
+        SELECT *, CASE WHEN abs(partial_correlation) >= 0.85 THEN 'สูงมาก' WHEN abs(partial_correlation) >= 0.7 THEN 'สูง'
+              WHEN abs(partial_correlation) >= 0.5 THEN 'ปานกลาง' WHEN abs(partial_correlation) >= 0 THEN 'ต่ำ' END AS impact
+        FROM ({" UNION ALL ".join(models)})"""
+    )
+
+
+@query("satisfaction_drivers_joint", _joint_sql())
+def _(spark, sf):
+    return metrics.satisfaction_drivers_joint(messages(spark, sf, response_time=True, sentiment=True))
+
+
 def _kpi_pair(first: str, last: str) -> str:
     return (
         "SELECT count(DISTINCT conversation_id)::DOUBLE AS c, count(*)::DOUBLE AS n, count(DISTINCT user_id)::DOUBLE AS u,"

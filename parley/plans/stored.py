@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import conversations, filters, metrics, newest
+from parley.operators import conversations, filters, metrics, newest, sketches
 from parley.plans.metrics import DAILY, SATISFACTION_TREND
 from parley.plans.oracle import with_messages
 from parley.plans.registry import query
@@ -113,3 +113,37 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return newest.unprocessed_messages(spark, stored_path(spark, sf), MESSAGES, 50).select("id", "message")
+
+
+# -- sketches: exact values of a range, and whether the merged daily sketches keep their bounds --------
+
+
+@query(
+    "range_kpis_sketched",
+    with_messages(
+        f""", r AS (SELECT * FROM v WHERE {RANGE})
+        SELECT 'total_messages' AS measure, count(*)::BIGINT AS exact, true AS within FROM r
+        UNION ALL SELECT 'total_conversations', count(DISTINCT conversation_id), true FROM r
+        UNION ALL SELECT 'unique_users', count(DISTINCT user_id), true FROM r
+        UNION ALL SELECT unnest(['response_q50', 'response_q90', 'response_q99']), count(response_time), true FROM r"""
+    ),
+)
+def _(spark, sf):
+    stored, path = stored_messages(spark, sf), fresh_folder(spark, "sketches")
+    sketches.daily_sketches(stored).write.parquet(path)
+    about = sketches.range_from_sketches(spark.read.parquet(path), START, END).first()
+    rows = filters.date_range(stored, START, END)
+    exact = rows.agg(
+        F.count("*").alias("total_messages"), F.countDistinct("conversation_id").alias("total_conversations"),
+        F.countDistinct("user_id").alias("unique_users"), F.count("response_time").alias("answers"),
+        *(F.avg((F.col("response_time") < about[f"response_q{p}"]).cast("double")).alias(f"below{p}") for p in (50, 90, 99)),
+        *(F.avg((F.col("response_time") <= about[f"response_q{p}"]).cast("double")).alias(f"upto{p}") for p in (50, 90, 99)),
+    )
+    bound = {"total_messages": 0.0, "total_conversations": sketches.DISTINCT_BOUND, "unique_users": sketches.DISTINCT_BOUND}
+    counts = [(c, F.col(c), F.abs(F.col(c) - about[c]) <= F.col(c) * b) for c, b in bound.items()]
+    ranks = [
+        (f"response_q{p}", F.col("answers"), (F.col(f"below{p}") <= p / 100 + sketches.RANK_BOUND) & (F.col(f"upto{p}") >= p / 100 - sketches.RANK_BOUND))
+        for p in (50, 90, 99)
+    ]
+    shown = [F.struct(F.lit(m).alias("measure"), e.alias("exact"), w.alias("within")) for m, e, w in counts + ranks]
+    return exact.select(F.inline(F.array(*shown)))

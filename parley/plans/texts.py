@@ -18,7 +18,7 @@ from parley.lexicons import (
     SENTIMENT,
     TOPICS,
 )
-from parley.operators import states, topics
+from parley.operators import lexicon_table, states, topics
 from parley.operators.mutations import upsert
 from parley.plans.oracle import (
     hits,
@@ -96,6 +96,22 @@ def _(spark, sf):
     return lexical.match_lexicon(rows, "message", "topics", PROBE_TOPICS)
 
 
+#: Every long word of the documents as a keyword, its first letter as the label.
+_WORD_LIST = """SELECT DISTINCT word AS keyword, left(word, 1) AS label, ascii(word) - 96 AS label_order
+   FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS word FROM documents)"""
+
+
+@query("lexicon_match_table", with_messages(
+    f""", k AS ({_WORD_LIST}), z AS (SELECT label, count(*) AS label_size FROM k GROUP BY label)
+    SELECT id, label, CAST(label_order AS INT) AS label_order, keyword, CAST(label_size AS INT) AS label_size
+    FROM v JOIN k ON contains(lower(message), keyword) JOIN z USING (label)"""
+))
+def _(spark, sf):
+    found = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("keyword"))
+    lexicon = found.distinct().select("keyword", F.left("keyword", F.lit(1)).alias("label"), (F.ascii("keyword") - 96).alias("label_order"))
+    return lexicon_table.match_lexicon_table(messages(spark, sf).select("id", "message"), lexicon)
+
+
 @query("lexicon_match_words", with_messages(
     f"SELECT id, label, keyword FROM v, {lexicon_values(PROBE_TOPICS)}"
     " WHERE regexp_matches(lower(message), '(^|[^\\p{L}\\p{M}\\p{Nd}_])' || keyword || '($|[^\\p{L}\\p{M}\\p{Nd}_])')"
