@@ -26,8 +26,8 @@ from parley.operators.topics import (
     merged_conversation_topics,
     merged_dictionary,
 )
-from parley.sources.sinks import days_of, folder_values, remove_folder, replace_days, write_by_date
-from parley.streaming.sinks import table_exists
+from parley.sources.folders import folder_values, remove_folder, table_exists
+from parley.sources.sinks import days_of, finish_changes, replace_days, write_by_date
 
 #: The column that names an arrival, and the folder its states lie in.
 ARRIVAL = "arrival"
@@ -131,6 +131,7 @@ class SummaryFollower:
             return
         before = [a for a in self.counts.arrivals() if a != arrival]
         fresh = self._summaries(self.counts.arrivals(), wanted, as_of)
+        finish_changes(self.spark, f"{self.path}/table", "start_date")
         stored = self.table()
         starts = merged_conversations(self.counts.read(before).join(wanted, "conversation_id", "left_semi"))
         began = starts.groupBy("conversation_id").agg(F.min("_start").alias("start")).select(F.to_date("start").alias("start_date"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parley.operators.mutations import after_cleanup, expired_rows, latest_per_key, live_rows, patch_columns, upsert
 from parley.schema import RESULT_MANIFEST
 from parley.session import fresh_folder
-from parley.streaming.sinks import table_exists
+from parley.sources.folders import folder_names, folder_values, move_folder, remove_folder, table_exists, written_whole
 
 # Fixed value: time to live.
 RESULT_HOURS = 1
@@ -90,11 +90,6 @@ def clean_results(spark: SparkSession, base: str, now: datetime) -> int:
     return len(gone)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def replace_table(frame: DataFrame, path: str) -> None:
     """Overwrite an unpartitioned table, possibly with what was read from it: staged before the swap."""
     staged = _staged(frame)
@@ -122,16 +117,6 @@ def read_days(spark: SparkSession, path: str, schema, day: str = "day") -> DataF
     return spark.read.schema(whole).parquet(path)
 
 
-def folder_values(spark: SparkSession, path: str, column: str) -> list[str]:
-    """The values of a partition column by the names of the table's folders; no file is opened."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(target):
-        return []
-    names = [str(status.getPath().getName()) for status in system.listStatus(target) if status.isDirectory()]
-    return [name.removeprefix(f"{column}=") for name in names if name.startswith(f"{column}=")]
-
-
 def table_days(spark: SparkSession, path: str, day: str = "day") -> list[date | None]:
     """The days a table has folders for; None where rows have no day."""
     values = folder_values(spark, path, day)
@@ -143,20 +128,58 @@ def days_of(frame: DataFrame, day: str = "day") -> list[date]:
     return [r[0] for r in frame.select(day).distinct().collect()]
 
 
+CHANGE = "_change-"
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
 def replace_days(path: str, frame: DataFrame, days: Sequence[date], day: str = "day") -> None:
-    """Make the given day partitions hold exactly the rows of ``frame``, which has no others.
+    """Make the given day partitions hold exactly the rows of ``frame``, which has no others; it may read from them.
 
-    The rows are written to a new place first, so they may come from the partitions they replace;
-    then the swap overwrites only those, and a day that has no rows left loses its folder.
+    The rows are written once, to a folder of the table that readers pass over. Then the change is declared: which days it
+    moves in and which lose their folder. From there on it is only folders that are moved and removed, and a call lost
+    on the way is finished by the next (``finish_changes``). A table has one writer at a time.
     """
-    staged = _staged(frame)
-    left = set(days_of(staged, day))
-    if left:
-        staged.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-            "maxRecordsPerFile", FILE_ROWS
-        ).partitionBy(day).parquet(path)
-    for gone in set(days) - left:
-        remove_folder(frame.sparkSession, f"{path}/{day}={gone}")
+    spark, change = frame.sparkSession, f"{path}/{CHANGE}{uuid.uuid4().hex}"
+    frame.hint("rebalance", day).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy(day).parquet(f"{change}/rows")
+    new = set(folder_values(spark, f"{change}/rows", day))
+    gone = {NO_DAY if d is None else str(d) for d in days} - new
+    declared = [(name, True) for name in sorted(new)] + [(name, False) for name in sorted(gone)]
+    spark.createDataFrame(declared, "name string, moved boolean").coalesce(1).write.parquet(f"{change}/days")
+    _apply_change(spark, path, change, day)
+
+
+def _apply_change(spark: SparkSession, path: str, change: str, day: str) -> None:
+    """Carry out a declared change, or what is left of it: every step may be repeated."""
+    for name, moved in spark.read.parquet(f"{change}/days").collect():  # a row per day concerned
+        target, staged = f"{path}/{day}={name}", f"{change}/rows/{day}={name}"
+        if not moved:
+            remove_folder(spark, target)
+        elif table_exists(spark, staged):
+            remove_folder(spark, target)
+            move_folder(spark, staged, target)
+    remove_folder(spark, change)
+
+
+def finish_changes(spark: SparkSession, path: str, day: str = "day") -> int:
+    """Finish the changes of a table that were declared and not carried out, drop those never declared; returns how many were finished.
+
+    The keyed writes below do so first; a reader may call it after a writer was lost.
+    """
+    finished = 0
+    for name in folder_names(spark, path):
+        if name.startswith(CHANGE):
+            if written_whole(spark, f"{path}/{name}/days"):
+                _apply_change(spark, path, f"{path}/{name}", day)
+                finished += 1
+            else:
+                remove_folder(spark, f"{path}/{name}")
+    return finished
+
+
+def _settled(path: str, table: DataFrame, day: str) -> DataFrame:
+    """The table, read anew if a lost change had to be finished."""
+    spark = table.sparkSession
+    return spark.read.schema(table.schema).parquet(path) if finish_changes(spark, path, day) else table
 
 
 def _touched(table: DataFrame, keys: DataFrame, key: Sequence[str], day: str) -> list[date]:
@@ -168,6 +191,7 @@ def upsert_days(
     path: str, table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str] | None = None, day: str = "day"
 ) -> None:
     """Upsert into a table partitioned by day: only days with a replaced or a new row are rewritten."""
+    table = _settled(path, table, day)
     fresh = _staged(latest_per_key(rows, key, order) if order else rows)
     days = sorted(set(_touched(table, fresh, key, day)) | set(days_of(fresh, day)))
     replace_days(path, upsert(table.where(F.col(day).isin(days)), fresh, key), days, day)
@@ -178,6 +202,7 @@ def patch_days(
     key: str = "id", order: Sequence[str] | None = None, only_new: bool = False, day: str = "day",
 ) -> int:
     """Patch rows of a table partitioned by day, rewriting only their days; returns how many rows were patched."""
+    table = _settled(path, table, day)
     kept = _staged(latest_per_key(patches, [key], order) if order else patches)
     goal = table.where(F.col("processed_at").isNull()) if only_new else table
     days = _touched(goal, kept, [key], day)
@@ -191,6 +216,7 @@ def patch_days(
 
 def expire_days(path: str, table: DataFrame, as_of: datetime | Column, expires: str = "expires_at", day: str = "day") -> int:
     """Delete the rows that expired before ``as_of``; returns how many."""
+    table = _settled(path, table, day)
     gone = expired_rows(table, as_of, expires).groupBy(day).agg(F.count("*").alias("n")).collect()
     days = [r[day] for r in gone]
     if days:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators.mutations import absent_rows
+from parley.sources.folders import folder_values, remove_folder, table_exists, written_whole
 
 
 def drain_to_files(stream: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -30,28 +31,35 @@ def drain_to_files(stream: DataFrame, folder: str, partition_by: Sequence[str] =
 
 
 def drain_open(stream: DataFrame, folder: str, done: DataFrame, key: str = "id") -> DataFrame:
-    """Process what has arrived and return the rows of all micro-batches that are not worked off yet.
+    """Process what has arrived and return the rows whose keys are not among ``done``, those of earlier calls included.
 
-    Every micro-batch is written whole to a folder of its number, so a repeated batch replaces itself. ``done`` holds
-    the keys whose results are stored: a batch counts as worked off, and is not read again, once all of its keys are
-    among them. So what a call returned and its caller never stored comes back with the next call.
+    ``done`` holds the keys whose results are stored, so what a call returned and its caller never stored comes back with
+    the next call. Every micro-batch is written whole to a folder of its number, so a repeated batch replaces itself. What is
+    open then goes into one table named by the last batch in it, and only when that is written whole are the batches and
+    the table before it dropped: a call lost at any point loses and repeats nothing, and a message that
+    stays open costs its own row, not its batch.
     """
-    spark, settled = stream.sparkSession, f"{folder}/settled"
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     drain_batches(stream, folder, write)
-    if not table_exists(spark, f"{folder}/rows"):
+    tables = [int(n) for n in folder_values(spark, f"{folder}/open", "upto")]
+    last = max((n for n in tables if written_whole(spark, f"{folder}/open/upto={n}")), default=-1)
+    batches = [int(n) for n in folder_values(spark, f"{folder}/rows", "batch")]
+    fresh = sorted(n for n in batches if n > last)
+    paths = [f"{folder}/open/upto={last}"] * (last >= 0) + [f"{folder}/rows/batch={n}" for n in fresh]
+    if not paths:
         return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{folder}/rows")
-    if table_exists(spark, settled):
-        numbers = [r["batch"] for r in spark.read.schema("batch long").parquet(settled).collect()]
-        rows = rows.where(~F.col("batch").isin(numbers))  # folders, not rows, are left out
-    waiting = rows.join(done.select(key), key, "left_anti").select("batch").distinct()
-    over = rows.select("batch").distinct().join(waiting, "batch", "left_anti")
-    over.coalesce(1).write.mode("append").parquet(settled)
-    return rows.drop("batch")
+    left = spark.read.schema(stream.schema).parquet(*paths).join(done.select(key), key, "left_anti").select(*stream.columns)
+    if not fresh:
+        return left
+    kept = f"{folder}/open/upto={fresh[-1]}"
+    left.write.mode("overwrite").parquet(kept)
+    for old in [f"{folder}/rows/batch={n}" for n in batches] + [f"{folder}/open/upto={n}" for n in tables if n != fresh[-1]]:
+        remove_folder(spark, old)
+    return spark.read.schema(stream.schema).parquet(kept)
 
 
 def drain_batches(
@@ -108,9 +116,3 @@ def insert_ignore_sink(spark: SparkSession, path: str, schema, key: str = "id",
             rows.unpersist()
 
     return write
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
