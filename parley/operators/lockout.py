@@ -20,23 +20,17 @@ def failure_lockout(
     max_failures: int = MAX_FAILURES,
     window: timedelta = LOCK_WINDOW,
     slice_width: timedelta | None = None,
-    slice_rows: int = 100_000,
 ) -> DataFrame:
     """Flag the recorded failures at which a key has ``max_failures`` in the window.
 
     ``attempts``: id, ts, ``key``, ok. An attempt counts while it is younger than the window and
     no success followed it. A key is cut into time slices; the last window of a slice is also
     given to the next one, which is all the history its rows can depend on, so a key of any
-    size is spread over its slices. Without a ``slice_width`` the slices are counted: where one
-    holds more than ``slice_rows`` they become as short as the window.
+    size is spread over its slices. They are twice as long as the window unless a ``slice_width`` is given: half of the
+    rows are then in two slices, and no slice holds more than what a key fails in two windows.
     """
     span = window // timedelta(microseconds=1)
-    chosen = slice_width or max(4 * window, timedelta(hours=1))
-    if slice_width is None:
-        place = F.floor(epoch_micros(F.col("ts")) / (chosen // timedelta(microseconds=1)))
-        densest = attempts.groupBy(key, place.alias("_place")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
-        chosen = window if (densest["n"] or 0) > slice_rows else chosen
-    width = chosen // timedelta(microseconds=1)
+    width = (slice_width or 2 * window) // timedelta(microseconds=1)
     if width < span:
         raise ValueError("a slice must be at least as long as the window")
     timed = attempts.select("id", key, "ts", "ok", epoch_micros(F.col("ts")).alias("_us"))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Parts that a key is cut into where its first rows are too many for Spark's own cut.
-SPLITS = 64
+#: Rows of a part, where a key's first rows are too many for Spark's own cut.
+PART_ROWS = 1_000_000
 
 
 def previous_row(
@@ -60,13 +60,15 @@ def first_rows(
 
     The bare ``row_number() <= count`` form lets Spark cut each key down to ``count`` rows in
     every task before the shuffle, so the size of a key does not matter. Spark does so up to its
-    ``windowGroupLimitThreshold``; for more rows a key is first cut in ``SPLITS`` parts, each of
-    which keeps its first ``count``.
+    ``windowGroupLimitThreshold``; for more rows a key is first cut in parts, as many as its counted rows
+    need, each of which keeps its first ``count``.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     if count > int(frame.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        part = F.pmod(F.xxhash64(*[F.col(c) for c in frame.columns]), F.lit(SPLITS))
-        cut = frame.withColumn("_part", part)
+        sizes = frame.groupBy(*keys).agg(F.ceil(F.count("*") / max(PART_ROWS, 4 * count)).alias("_parts"))
+        same = [F.col(f"_key{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+        sized = frame.join(sizes.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)}), same)
+        cut = sized.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in frame.columns]), F.col("_parts")))
         inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-        frame = cut.withColumn("_nth", F.row_number().over(inside)).filter(F.col("_nth") <= count).drop("_part", "_nth")
+        frame = cut.withColumn("_nth", F.row_number().over(inside)).filter(F.col("_nth") <= count).select(*frame.columns)
     return frame.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= count)

@@ -16,7 +16,7 @@ from parley.sources.fixtures import CONVERSATIONS, EVENTS, add_event, add_user,
 from parley.sources.readers import scan_message_stream
 from parley.streaming.enrich import enrich, incremental_enrich
 from parley.streaming.kpis import daily_from_sightings, dedup_messages, first_sightings, stream_kpis
-from parley.streaming.lockout import stream_lockout
+from parley.streaming.lockout import state_store, stream_lockout
 from parley.streaming.sinks import drain_batches, drain_to_files, drain_updates, insert_ignore_sink
 
 
@@ -120,7 +120,7 @@ def _(spark, sf):
     found = _ntz(drain_updates(kpis, fresh_folder(spark, "kpis"), ["window_start", "window_end"]))
     days = F.date_trunc("day", F.col("timestamp").cast("timestamp")).cast("timestamp_ntz").alias("window_start")
     exact = messages(spark, sf).groupBy(days).agg(F.countDistinct("conversation_id").alias("exact"))
-    near = F.abs(F.col("conversations") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.15)
+    near = F.abs(F.col("conversations") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
     return found.join(exact, "window_start").withColumn("close", near).drop("conversations")
 
 
@@ -157,17 +157,24 @@ def _(spark, sf):
     attempts = events.filter(F.col("event_type").isin("error", "signup")).select(
         F.col("event_id").alias("id"), "user_id", "ts", (F.col("event_type") == "signup").alias("ok")
     )
-    # the attempts arrive in five files out of order; a last attempt of nobody moves the watermark past them all
+    # each attempt arrives up to half a day late, in five files one after the other; a last attempt of nobody two
+    # days later moves the watermark past them all
     inbox = fresh_folder(spark, "attempts")
-    attempts.repartition(5, F.xxhash64("id")).write.parquet(inbox)
-    last = attempts.agg(F.max("ts").alias("ts")).select(
+    late = (F.pmod(F.xxhash64("id"), F.lit(43_200)) * F.expr("INTERVAL 1 SECOND")).alias("late")
+    arriving = attempts.withColumn("at", F.unix_micros((F.col("ts") + late).cast("timestamp")))
+    first, last = arriving.agg(F.min("at"), F.max("at")).first()
+    for turn in range(5):
+        begin, end = (first + (last + 1 - first) * t // 5 for t in (turn, turn + 1))
+        arriving.where((F.col("at") >= begin) & (F.col("at") < end)).drop("at").coalesce(1).write.mode("append").parquet(inbox)
+    closing = attempts.agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
-        (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(True).alias("ok"),
+        (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(True).alias("ok"),
     )
-    last.write.mode("append").parquet(inbox)
-    stream = scan_message_stream(spark, inbox, attempts.schema, files_per_batch=2)
-    decided = stream_lockout(stream, "user_id", 3, timedelta(days=1), delay="365 days")
-    return drain_to_files(decided, fresh_folder(spark, "lockout")).where("user_id >= 0")
+    closing.write.mode("append").parquet(inbox)
+    with state_store(spark):
+        stream = scan_message_stream(spark, inbox, attempts.schema, files_per_batch=1)
+        decided = stream_lockout(stream, "user_id", 3, timedelta(days=1), delay="1 day")
+        return drain_to_files(decided, fresh_folder(spark, "lockout")).where("user_id >= 0")
 
 
 @query("stream_dedup_append", with_messages('SELECT id, conversation_id, message, "timestamp" FROM v'))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def stream_kpis(
-    messages: DataFrame, width: str = "1 hour", delay: str = "1 hour", approx_conversations: bool = False
+    messages: DataFrame, width: str = "1 hour", delay: str = "1 hour", approx_conversations: bool = False,
+    error: float = 0.02,
 ) -> DataFrame:
     """Messages and customer messages per tumbling window.
 
     Exact distinct counts are not available on a stream; ``approx_conversations`` adds an
-    approximate one.
+    approximate one with a relative standard deviation of ``error``.
     """
     timed = messages.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     measures = [
@@ -20,7 +21,7 @@ def stream_kpis(
         F.count_if(F.col("sender_type") == "customer").alias("customer_messages"),
     ]
     if approx_conversations:
-        measures.append(F.approx_count_distinct("conversation_id").alias("conversations"))
+        measures.append(F.approx_count_distinct("conversation_id", error).alias("conversations"))
     grouped = timed.withWatermark("timestamp", delay).groupBy(F.window("timestamp", width)).agg(*measures)
     return grouped.select(
         F.col("window.start").alias("window_start"),

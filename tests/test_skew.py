@@ -124,3 +124,20 @@ def test_nearest_label_ties_take_the_highest(spark):
     for block in (1024, 1):
         got = nearest_labels(corpus, labelled, block).collect()
         assert len(got) == 7 and {r.label for r in got} == {"b"}
+
+
+def test_first_rows_of_a_hot_key_are_dealt_over_parts(spark, monkeypatch):
+    from parley.operators import slices
+
+    monkeypatch.setattr(slices, "PART_ROWS", 500)
+    frame = spark.range(30_000).select((F.col("id") % 3 == 0).cast("int").alias("k"), "id").union(
+        spark.createDataFrame([(None, 5), (None, 6)], "k int, id long")
+    )
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+        found = slices.first_rows(frame, ["k"], [F.col("id").desc()], 4).collect()
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
+    want = {(1, r, 29_997 - 3 * (r - 1)) for r in (1, 2, 3, 4)} | {(0, r, i) for r, i in enumerate((29_999, 29_998, 29_996, 29_995), 1)}
+    assert {(r.k, r["rank"], r.id) for r in found} == want | {(None, 1, 6), (None, 2, 5)}

@@ -11,7 +11,7 @@ from parley.session import fresh_folder
 from parley.sources.readers import scan_message_stream
 from parley.streaming.enrich import enrich, incremental_enrich
 from parley.streaming.kpis import daily_from_sightings, dedup_messages, first_sightings
-from parley.streaming.lockout import stream_lockout
+from parley.streaming.lockout import STATE_STORE, state_store, stream_lockout
 from parley.streaming.sinks import drain_batches, drain_to_files, insert_ignore_sink
 
 START = datetime(2024, 1, 1)
@@ -82,7 +82,8 @@ def test_online_lockout_matches_a_loop_over_several_batches(spark):
     found = []
     for files in (1, 64):
         stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema, files_per_batch=files)
-        decided = drain_to_files(stream_lockout(stream, delay="1 day"), fresh_folder(spark, "o")).where("id >= 0")
+        with state_store(spark):
+            decided = drain_to_files(stream_lockout(stream, delay="1 day"), fresh_folder(spark, "o")).where("id >= 0")
         found.append({r.id: (r.failures, r.refused) for r in decided.collect()})
     got = found[0]
     assert found[0] == found[1]
@@ -186,11 +187,16 @@ def test_waiting_attempts_are_state_entries_of_their_own(spark):
     rows = [(i, 7, START + timedelta(seconds=i), False) for i in range(40)]
     _arrive(spark, inbox, rows, "id long, user_id long, ts timestamp, ok boolean")
     stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema)
-    query = (
-        stream_lockout(stream, delay="1 day").writeStream.format("parquet").option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(STATE_STORE)
+    with pytest.raises(ValueError, match="stateStore"):  # the session's store is the caller's choice
+        stream_lockout(stream, delay="1 day")
+    with state_store(spark):
+        query = (
+            stream_lockout(stream, delay="1 day").writeStream.format("parquet").option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    assert spark.conf.get(STATE_STORE) == before
     assert max(state["numRowsTotal"] for p in query.recentProgress for state in p["stateOperators"]) >= 40
 
 
