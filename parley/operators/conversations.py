@@ -9,7 +9,7 @@ from parley.functions.lexical import satisfaction_score
 from parley.functions.timing import epoch_micros, moment
 from parley.lexicons import TOPICS, Lexicon
 from parley.operators.filters import newest
-from parley.operators.slices import first_rows, previous_row
+from parley.operators.slices import first_rows, previous_in_order, previous_row
 from parley.operators.topics import conversation_topics, first_topics, merged_conversation_topics
 from parley.schema import CONVERSATION_STATES, SENTIMENTS
 
@@ -35,21 +35,21 @@ REVIEW_INSTRUCTION = (
 )
 
 
-def derive_response_time(messages: DataFrame, slice_unit: str = "hour") -> DataFrame:
+def derive_response_time(messages: DataFrame, slice_unit: str | None = None) -> DataFrame:
     """Seconds from a customer message to the admin message right after it, else NULL.
 
-    Conversations are cut into slices of time (``hour``, ``minute``, ...), so one very long
-    conversation is spread over many tasks; the busier it is, the finer the slice should be.
+    Messages are looked back over in ranges of (conversation, time, id): one scan, and a conversation of any size or density is
+    cut as it needs (``previous_in_order``). With a ``slice_unit`` (``hour``, ``minute``, ...) the look-back stays lazy and in
+    built-in functions: conversations are cut into slices of time, the busier the finer the unit should be.
     """
     kept = [c for c in messages.columns if c != "response_time"]
-    looked = previous_row(
-        messages.select(*kept),
-        ["conversation_id"],
-        ["timestamp", "id"],
-        moment(F.col("timestamp"), F.col("id")),
-        F.date_trunc(slice_unit, F.col("timestamp").cast("timestamp")),
-        {"_asked": F.col("sender_type") == "customer", "_asked_ts": F.col("timestamp")},
-    )
+    carry = {"_asked": F.col("sender_type") == "customer", "_asked_ts": F.col("timestamp")}
+    keys, order = ["conversation_id"], ["timestamp", "id"]
+    if slice_unit is None:
+        looked = previous_in_order(messages.select(*kept), keys, order, carry)
+    else:
+        place = F.date_trunc(slice_unit, F.col("timestamp").cast("timestamp"))
+        looked = previous_row(messages.select(*kept), keys, order, moment(F.col("timestamp"), F.col("id")), place, carry)
     gap = epoch_micros(F.col("timestamp")) - epoch_micros(F.col("_asked_ts"))
     answered = (F.col("sender_type") == "admin") & F.col("_asked")
     seconds = F.when(answered, F.floor(gap / 1_000_000).cast("int"))

@@ -141,3 +141,39 @@ def test_first_rows_of_a_hot_key_are_dealt_over_parts(spark, monkeypatch):
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
     want = {(1, r, 29_997 - 3 * (r - 1)) for r in (1, 2, 3, 4)} | {(0, r, i) for r, i in enumerate((29_999, 29_998, 29_996, 29_995), 1)}
     assert {(r.k, r["rank"], r.id) for r in found} == want | {(None, 1, 6), (None, 2, 5)}
+
+
+def test_a_hot_hour_is_cut_by_itself_and_scanned_once(spark, tmp_path, monkeypatch):
+    from parley.operators import slices
+
+    folders = []
+    monkeypatch.setattr(slices, "fresh_folder", lambda *_: folders.append(str(tmp_path / f"ordered{len(folders)}")) or folders[-1])
+    draw = random.Random(12)
+    start, rows = datetime(2024, 5, 1, 9), []
+    for i in range(20_000):  # a third of the table is one conversation within an hour
+        hot = i % 3 == 0
+        at = start + timedelta(microseconds=draw.randrange(3_600_000_000) if hot else draw.randrange(10**12))
+        rows.append((i, "hot" if hot else f"c{i % 50}" if i % 200 else None, draw.choice(["customer", "admin", "system"]), at, None if i % 7 else 3))
+    path = str(tmp_path / "messages")
+    frame = spark.createDataFrame(rows, "id long, conversation_id string, sender_type string, timestamp timestamp, response_time int")
+    frame.repartition(6).write.parquet(path)
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would share a task
+        found = derive_response_time(spark.read.parquet(path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    got = {r.id: r.response_time for r in found.collect()}
+    want, last = {}, {}
+    for i, c, kind, at, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        asked = last.get(c)
+        want[i] = int((at - asked[1]).total_seconds()) if kind == "admin" and asked and asked[0] == "customer" else None
+        last[c] = (kind, at)
+    assert got == want and found.columns == ["id", "conversation_id", "sender_type", "timestamp", "response_time"]
+    looked = spark.read.parquet(folders[0])
+    shares = {r["_part"]: r["count"] for r in looked.where("conversation_id = 'hot'").groupBy("_part").count().collect()}
+    assert len(shares) >= 3 and max(shares.values()) < 0.6 * len(rows) / 3
+    assert found._jdf.queryExecution().executedPlan().toString().count(path) == 0  # what is read is what the one scan has written
+    sliced = derive_response_time(spark.read.parquet(path), "minute")
+    assert {r.id: r.response_time for r in sliced.collect() if r.conversation_id} == {i: v for i, v in want.items() if rows[i][1]}
+    assert derive_response_time(spark.read.parquet(path).limit(0)).count() == 0
