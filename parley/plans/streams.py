@@ -15,9 +15,10 @@ from parley.session import fresh_folder
 from parley.sources.fixtures import CONVERSATIONS, EVENTS, add_event, add_user, messages, shape, table
 from parley.sources.readers import scan_message_stream
 from parley.streaming.enrich import enrich, incremental_enrich
-from parley.streaming.kpis import daily_from_sightings, dedup_messages, first_sightings, stream_kpis
-from parley.streaming.lockout import state_store, stream_lockout
+from parley.streaming.kpis import daily_from_sightings, daily_sightings, dedup_messages, first_sightings, stream_kpis
+from parley.streaming.lockout import stream_lockout
 from parley.streaming.sinks import drain_batches, drain_to_files, drain_updates, insert_ignore_sink
+from parley.streaming.state import state_store
 
 
 def message_stream(spark, sf):
@@ -135,6 +136,33 @@ def _(spark, sf):
     return daily_from_sightings(seen)
 
 
+def _arrive_late(rows, time, seconds, inbox):
+    """Write rows to five files one after the other, each row up to so many seconds later than its time."""
+    late = F.pmod(F.xxhash64("id"), F.lit(seconds)) * F.expr("INTERVAL 1 SECOND")
+    arriving = rows.withColumn("at", F.unix_micros((F.col(time) + late).cast("timestamp")))
+    first, last = arriving.agg(F.min("at"), F.max("at")).first()
+    for turn in range(5):
+        begin, end = (first + (last + 1 - first) * t // 5 for t in (turn, turn + 1))
+        arriving.where((F.col("at") >= begin) & (F.col("at") < end)).drop("at").coalesce(1).write.mode("append").parquet(inbox)
+
+
+@query(
+    "stream_daily_conversations_late",
+    with_messages(
+        'SELECT CAST("timestamp" AS DATE) AS date, count(DISTINCT conversation_id) AS conversations FROM v GROUP BY 1'
+    ),
+)
+def _(spark, sf):
+    # messages arrive up to half an hour late and the stream waits an hour, far less than a day
+    inbox = fresh_folder(spark, "late")
+    rows = messages(spark, sf).select("id", "conversation_id", "timestamp")
+    _arrive_late(rows, "timestamp", 1_800, inbox)
+    with state_store(spark):
+        stream = scan_message_stream(spark, inbox, rows.schema, files_per_batch=1)
+        seen = drain_to_files(daily_sightings(stream, "1 hour"), fresh_folder(spark, "sightings"))
+    return daily_from_sightings(seen)
+
+
 @query(
     "stream_lockout",
     """WITH RECURSIVE a AS (
@@ -157,15 +185,9 @@ def _(spark, sf):
     attempts = events.filter(F.col("event_type").isin("error", "signup")).select(
         F.col("event_id").alias("id"), "user_id", "ts", (F.col("event_type") == "signup").alias("ok")
     )
-    # each attempt arrives up to half a day late, in five files one after the other; a last attempt of nobody two
-    # days later moves the watermark past them all
+    # each attempt arrives up to half a day late; a last attempt of nobody two days later moves the watermark past them all
     inbox = fresh_folder(spark, "attempts")
-    late = (F.pmod(F.xxhash64("id"), F.lit(43_200)) * F.expr("INTERVAL 1 SECOND")).alias("late")
-    arriving = attempts.withColumn("at", F.unix_micros((F.col("ts") + late).cast("timestamp")))
-    first, last = arriving.agg(F.min("at"), F.max("at")).first()
-    for turn in range(5):
-        begin, end = (first + (last + 1 - first) * t // 5 for t in (turn, turn + 1))
-        arriving.where((F.col("at") >= begin) & (F.col("at") < end)).drop("at").coalesce(1).write.mode("append").parquet(inbox)
+    _arrive_late(attempts, "ts", 43_200, inbox)
     closing = attempts.agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"),
         (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(True).alias("ok"),

@@ -3,33 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.operators.lockout import LOCK_WINDOW, MAX_FAILURES
-
-
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """The state store that keyed state with timers needs, for streams that start within; the session's choice comes back after."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKS)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+from parley.streaming.state import needs_state_store
 
 
 def stream_lockout(
@@ -46,7 +28,7 @@ def stream_lockout(
     (then id): the result does not depend on how they arrive, as long as none is later than the delay. Waiting
     attempts are entries of their own, one for each millisecond of a key, with a timer each: a key is worked off entry by
     entry, and only its ``max_failures`` recorded times are carried on, until the last has left the window. The newest
-    attempts are decided when later ones arrive. This kind of state needs the RocksDB store (``state_store``),
+    attempts are decided when later ones arrive. This kind of state needs the RocksDB store (``parley.streaming.state.state_store``),
     which the caller chooses for the session; without it this is an error before anything runs.
     """
     span = window // timedelta(microseconds=1)
@@ -60,8 +42,7 @@ def stream_lockout(
 
     key_type = attempts.schema[key].dataType.simpleString()
     id_type = attempts.schema["id"].dataType.simpleString()
-    if attempts.sparkSession.conf.get(STATE_STORE, None) != ROCKS:
-        raise ValueError(f"set {STATE_STORE} to {ROCKS} before this stream is built and started")
+    needs_state_store(attempts.sparkSession)
     decided = rows.groupBy("key").transformWithStateInPandas(
         Lockout(id_type, max_failures, span),
         f"key {key_type}, id {id_type}, failures int, refused boolean",

@@ -10,8 +10,9 @@ from parley.operators.similarity import embed_messages
 from parley.session import fresh_folder
 from parley.sources.readers import scan_message_stream
 from parley.streaming.enrich import enrich, incremental_enrich
-from parley.streaming.kpis import daily_from_sightings, dedup_messages, first_sightings
-from parley.streaming.lockout import STATE_STORE, state_store, stream_lockout
+from parley.streaming.kpis import daily_from_sightings, daily_sightings, dedup_messages, first_sightings
+from parley.streaming.lockout import stream_lockout
+from parley.streaming.state import STATE_STORE, state_store
 from parley.streaming.sinks import drain_batches, drain_to_files, insert_ignore_sink
 
 START = datetime(2024, 1, 1)
@@ -229,3 +230,22 @@ def test_enrichment_that_was_not_stored_comes_back(spark):
     table = stored(worked.table)
     assert call(table).processed == 0
     assert table.where("sentiment = 'positive' and processed_at is not null").count() == 4
+
+
+def test_sightings_with_a_delay_shorter_than_a_day(spark):
+    """A conversation that is quiet for hours is counted once a day, in every batch order within the delay."""
+    inbox = fresh_folder(spark, "inbox")
+    schema = "conversation_id string, timestamp timestamp"
+    day = datetime(2024, 1, 1)
+    for hours in ((1, 2), (9,), (15, 14.5), (23.5, 26), (25.5,), (40,), (80,)):
+        rows = [(c, day + timedelta(hours=h)) for h in hours for c in ("a", "b") if not (c == "b" and h in (9, 40))]
+        _arrive(spark, inbox, rows + [(None, day + timedelta(hours=hours[0]))], schema)
+    stream = scan_message_stream(spark, inbox, spark.read.parquet(inbox).schema, files_per_batch=1)
+    with pytest.raises(ValueError, match="stateStore"):
+        daily_sightings(stream)
+    with state_store(spark):
+        seen = drain_to_files(daily_sightings(stream, "1 hour"), fresh_folder(spark, "s"))
+    got = {str(r.date): r.conversations for r in daily_from_sightings(seen).collect()}
+    assert got == {"2024-01-01": 3, "2024-01-02": 3, "2024-01-04": 3}
+    forgetful = drain_to_files(first_sightings(stream, "1 hour"), fresh_folder(spark, "s"))
+    assert {str(r.date): r.conversations for r in daily_from_sightings(forgetful).collect()}["2024-01-01"] > 3
