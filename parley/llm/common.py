@@ -32,6 +32,16 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda word: word != "")
 
 
+def packed_row(frame: DataFrame) -> Column:
+    """All columns of a frame as one column ``row``: what an operator adds beside it clashes with none of their names."""
+    return F.struct(*[F.col("`" + name.replace("`", "``") + "`").alias(name) for name in frame.columns]).alias("row")
+
+
+def unpacked(frame: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` out of ``row``."""
+    return frame.select(*[F.col("row").getField(name).alias(name) for name in like.columns])
+
+
 #: Words of 64 bits in a key filter: its table has at most so many rows, whatever the number of keys.
 FILTER_WORDS = 1 << 18
 

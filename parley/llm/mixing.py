@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import packed_row, unpacked, words, written
 
 #: Documents of a leaf that share the leading hex digits of their hash, about.
 BUCKET_ROWS = 4096
@@ -162,10 +162,9 @@ def keep_drawn(
 ) -> DataFrame:
     """The documents that one epoch draws, whole, with their own columns (or ``columns``)."""
     _, plan = plan_mixture(documents, levels, weights, share, 1, seed)
-    own = {"leaf": "_leaf0", "text_hash": "_text_hash", "n_tokens": "_n_tokens"}
-    kept = documents.withColumns({
-        "_leaf0": path_key(levels, len(levels)), "_text_hash": F.md5(F.coalesce(F.col("text"), F.lit(""))),
-    })
-    ready = kept.join(plan.select([F.col(c).alias(f"_p_{c}") for c in plan.columns]), F.col(own["leaf"]) == F.col("_p_leaf"))
-    place = place_in_epoch(seed, F.col("_p_full"), F.col(own["text_hash"]))
-    return ready.where((F.col("_p_full") > 0) | (place <= F.col("_p_last"))).select(*(columns or documents.columns))
+    kept = documents.select(
+        packed_row(documents), "doc_id", path_key(levels, len(levels)).alias("leaf"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
+    )
+    ready = kept.join(plan, "leaf")
+    chosen = ready.where((F.col("full") > 0) | (place_in_epoch(seed, F.col("full"), F.col("text_hash")) <= F.col("last")))
+    return unpacked(chosen, documents if columns is None else documents.select(*columns))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, likely_in, written
+from .common import components, likely_in, packed_row, unpacked, written
 
 #: Members of a block; a tile compares at most twice as many.
 BLOCK = 256
@@ -318,11 +318,12 @@ def keep_one(documents: DataFrame, **settings) -> DataFrame:
     stay = written(
         chosen.union(classes.where("not has_ngrams").select("doc_id", *NODE).distinct()), "join-stay"
     )
-    n1, n2 = text_node(F.coalesce(F.col("text"), F.lit("")))
-    keyed = documents.withColumns({"_n1": n1, "_n2": n2, "_id": F.col("doc_id").cast("long")})
-    same = keyed["_id"].eqNullSafe(stay["doc_id"]) & (keyed["_n1"] == stay["n1"]) & (keyed["_n2"] == stay["n2"])
+    keyed = documents.select(
+        packed_row(documents), *text_node(F.coalesce(F.col("text"), F.lit(""))), F.col("doc_id").cast("long").alias("id")
+    )
+    same = keyed["id"].eqNullSafe(stay["doc_id"]) & (keyed["n1"] == stay["n1"]) & (keyed["n2"] == stay["n2"])
     kept = keyed.join(stay, same, "left_semi")
     repeated = classes.groupBy("doc_id", *NODE).agg(F.count("*").alias("rows")).where("rows > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["_id", "_n1", "_n2"])
-    return kept.select(*documents.columns)
+        kept = kept.dropDuplicates(["id", *NODE])
+    return unpacked(kept, documents)

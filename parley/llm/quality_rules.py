@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, words, written
+from .common import SPACE, packed_row, unpacked, words, written
 
 #: The counts of a text, in the order of ``text_counts``.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -62,7 +62,7 @@ def repeated_words(word: Column, window: int = 5) -> Column:
     return F.when(F.size(word) < window + 1, F.lit(0)).otherwise(bound(hashes, count)).cast("long")
 
 
-def text_counts(documents: DataFrame, prefix: str = "") -> DataFrame:
+def text_counts(documents: DataFrame) -> DataFrame:
     """``documents`` plus the columns ``COUNTS`` of each whole text (a NULL counts as empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -72,29 +72,29 @@ def text_counts(documents: DataFrame, prefix: str = "") -> DataFrame:
         F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("d")
     ))
     counted = documents.withColumns({
-        f"{prefix}of_words": of_words,
-        f"{prefix}of_lines": of_lines,
-        f"{prefix}word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        f"{prefix}n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        "of_words": of_words,
+        "of_lines": of_lines,
+        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
     })
     return counted.withColumns({
-        f"{prefix}n_words": F.col(f"{prefix}of_words.n"), f"{prefix}n_repeat_words": F.col(f"{prefix}of_words.r"),
-        f"{prefix}n_lines": F.col(f"{prefix}of_lines.n"), f"{prefix}n_dup_lines": F.col(f"{prefix}of_lines.d"),
-    }).drop(f"{prefix}of_words", f"{prefix}of_lines")
+        "n_words": F.col("of_words.n"), "n_repeat_words": F.col("of_words.r"),
+        "n_lines": F.col("of_lines.n"), "n_dup_lines": F.col("of_lines.d"),
+    }).drop("of_words", "of_lines")
 
 
-def base_failed(prefix: str = "") -> Column:
+def base_failed() -> Column:
     """Fewer than ten words, or more than a fifth of them in repeated windows."""
-    n, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    n, repeats = F.col("n_words"), F.col("n_repeat_words")
     return (n < 10) | (100 * repeats > 20 * n)
 
 
-def statistics(prefix: str = "") -> list[Column]:
+def statistics() -> list[Column]:
     """The transformed statistics, smoothed so that short texts do not scatter, as whole 1/1024ths.
 
     Whole numbers make every sum exact, so the estimates do not depend on the order of rows.
     """
-    n, chars, symbols, lines, dups, repeats = (F.col(f"{prefix}{c}") for c in COUNTS)
+    n, chars, symbols, lines, dups, repeats = (F.col(c) for c in COUNTS)
     values = [
         F.log(n + 1.0),
         F.log((chars + 250.0) / (n + 50.0)),
@@ -102,7 +102,7 @@ def statistics(prefix: str = "") -> list[Column]:
         F.sqrt(dups / (lines + 10.0)),
         F.sqrt(repeats / (n + 50.0)),
     ]
-    return [F.round(v * SCALE).cast("long").alias(f"{prefix}{s}") for v, s in zip(values, STATISTICS)]
+    return [F.round(v * SCALE).cast("long").alias(s) for v, s in zip(values, STATISTICS)]
 
 
 def cells(rows: DataFrame, least_rows: int) -> DataFrame:
@@ -238,8 +238,8 @@ def fit(counted: DataFrame, least_rows: int = 200) -> tuple[DataFrame, DataFrame
     return group, robust_estimates(rows, least_rows)
 
 
-def judged(counted: DataFrame, group: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF, prefix: str = "") -> DataFrame:
-    """``counted`` plus ``base_failed``, ``distance`` (NULL without an estimate) and ``kept``, each with the prefix.
+def judged(counted: DataFrame, group: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """``counted`` plus ``base_failed``, ``distance`` (NULL without an estimate) and ``kept``.
 
     Cells and estimates are one row per language and source, written so that Spark knows their size: it
     broadcasts a small table instead of shuffling the rows that are judged, texts included.
@@ -252,14 +252,14 @@ def judged(counted: DataFrame, group: DataFrame, estimates: DataFrame, cutoff: f
     same = F.col("lang").eqNullSafe(F.col("_cell_lang")) & F.col("source").eqNullSafe(F.col("_cell_source"))
     p = len(STATISTICS)
     far = distance(
-        statistics(prefix), [F.col(f"_model.m{i}") for i in range(p)],
+        statistics(), [F.col(f"_model.m{i}") for i in range(p)],
         [[F.col(f"_model.f{i}_{j}") for j in range(i + 1)] for i in range(p)],
     )
     out = counted.join(model, same, "left").withColumns({
-        f"{prefix}base_failed": base_failed(prefix), f"{prefix}distance": far,
+        "base_failed": base_failed(), "distance": far,
     })
-    kept = ~F.col(f"{prefix}base_failed") & F.coalesce(F.col(f"{prefix}distance") <= cutoff, F.lit(True))
-    return out.withColumn(f"{prefix}kept", kept).drop("_cell_lang", "_cell_source", "_model")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    return out.withColumn("kept", kept).drop("_cell_lang", "_cell_source", "_model")
 
 
 def quality_verdicts(documents: DataFrame, least_rows: int = 200, cutoff: float = CUTOFF) -> DataFrame:
@@ -282,10 +282,9 @@ def quality_verdicts(documents: DataFrame, least_rows: int = 200, cutoff: float
 def keep_good(documents: DataFrame, least_rows: int = 200, cutoff: float = CUTOFF) -> DataFrame:
     """The documents that ``quality_verdicts`` keeps, with their own columns.
 
-    The texts are counted twice, once for the estimates and once beside the rows, so that no text is shuffled.
+    The documents are written once beside their counts, so that no text is counted twice and none is shuffled.
     """
-    columns = documents.columns
-    counted = text_counts(documents.select("lang", "source", "text")).drop("text")
-    group, estimates = fit(written(counted, "quality-counts"), least_rows)
-    marked = judged(text_counts(documents, "_q_"), group, estimates, cutoff, "_q_")
-    return marked.where("_q_kept").select(*columns)
+    packed = documents.select("lang", "source", "text", packed_row(documents))
+    counted = written(text_counts(packed).drop("text"), "quality-counted")
+    group, estimates = fit(counted.drop("row"), least_rows)
+    return unpacked(judged(counted, group, estimates, cutoff).where("kept"), documents)

@@ -238,3 +238,74 @@ def test_band_recall_is_that_of_drawn_orders():
         shared = draw.random((100_000, 10)) < similarity
         assert abs((shared[:, 1:] & shared[:, :-1]).any(axis=1).mean() - line_dedup.band_recall(similarity, 10)) < 0.005
     assert line_dedup.band_recall(0.8, 10) > 0.998 and line_dedup.band_recall(0.9, 10) > 0.9999
+
+
+def test_templates_are_found_in_proportion(spark, monkeypatch):
+    """Lines of one template, none of them like another: they share bands in large groups and must not be compared in pairs."""
+    monkeypatch.setattr(line_dedup, "SMALL", 64)
+    compared = {}
+    kept = line_dedup.open_pairs
+
+    def counted(*arguments):
+        found = kept(*arguments).cache()
+        compared[len(compared)] = found.count()
+        return found
+
+    monkeypatch.setattr(line_dedup, "open_pairs", counted)
+    draw = random.Random(11)
+    template = "All rights reserved by the publisher, first issued in this form in the year"
+    lines = [template + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(45)) for _ in range(20_000)]
+    for size in (20_000,):
+        rows = list(enumerate(lines[:size])) + [(90_000, lines[7] + "!"), (90_001, "!" + lines[9])]
+        out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True)
+        assert {r.doc_id for r in out.where("n_dropped > 0").collect()} == {90_000, 90_001}
+    assert compared[0] < 20_000  # of 2 * 10^8
+
+
+def test_groups_that_no_star_closes(spark, monkeypatch):
+    """Small and large open bands: chains of lines, each like its neighbours only."""
+    text = tables.prose(3, 900).replace("\n", " ")
+    chain = [text[25 * i: 25 * i + 300] for i in range(150)]
+    pairs = [(i, line) for i, line in enumerate(chain)] + [(1000 + i, tables.prose(50 + i, 12)) for i in range(40)]
+    want = brute_lines(pairs)
+    for small in (0, 4, 2048):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        found = line_dedup.dedup_lines(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.text) for r in found} == {(doc, want[doc, line]) for doc, line in pairs}
+
+
+def test_prefixes_leave_no_similar_pair_out(spark):
+    base = tables.prose(2, 60).replace("\n", " ")
+    lines = [tables.changed(base, i, 1 + i % 5) for i in range(60)] + [base[:200] + tables.prose(70 + i, 20) for i in range(20)] + ["short", "shorts"]
+    frame = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "node int, root int, line string")
+    found = {(r.a, r.b) for r in line_dedup.prefix_pairs(frame, 12, 0.8).collect()}
+    sets = [shingle_set(x) for x in lines]
+    similar = {(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar and similar <= found
+
+
+CLASHES = (
+    "row d t d2 t2 places kept _word _bit _bits _likely l1 l2 node n1 n2 id leaf text_hash last taken full n_words n_lines cell distance "
+    "base_failed of_words of_lines _model _cell_lang _cell_source word_chars n_symbols n_dup_lines n_repeat_words length repeats root copies a.b `c`"
+).split()
+
+
+def test_columns_of_the_caller_keep_their_values(spark):
+    from pyspark.sql import functions as F
+
+    from parley.llm import mixing, quality_rules
+
+    frame = spark.createDataFrame([r for r in tables.rows() if r[0] is not None], tables.SCHEMA)
+    for at, name in enumerate(CLASHES):
+        frame = frame.withColumn(name, F.concat(F.lit(f"{at}:"), F.col("doc_id"), F.lit(" é")))
+    for out in (
+        line_dedup.dedup_lines(frame), ngram_join.keep_one(frame), quality_rules.keep_good(frame),
+        mixing.keep_drawn(frame, ("lang", "source"), ({}, {}), share=0.7),
+    ):
+        assert out.columns == frame.columns
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert [r[name] for name in CLASHES] == [f"{at}:{r.doc_id} é" for at in range(len(CLASHES))]
+    counted = line_dedup.dedup_lines(frame, counts=True)
+    assert counted.columns == [*frame.columns, "n_dropped"] and counted.where("n_lines >= 0").count() == frame.count()
