@@ -39,9 +39,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of the tokens, by the weights of domains, languages and sources; a document once at most."""
-    tree = with_domain(docs, "_mix_domain")
+    name = "domain"
+    while name in docs.columns:  # a name that no column of the documents has
+        name += "_"
     return mixing.keep_drawn(
-        tree, ("_mix_domain", "lang", "source"), MIX_WEIGHTS, share=0.8, seed=7, columns=docs.columns
+        with_domain(docs, name), (name, "lang", "source"), MIX_WEIGHTS, share=0.8, seed=7, columns=docs.columns
     )
 
 
