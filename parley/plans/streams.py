@@ -17,12 +17,17 @@ from parley.sources.readers import scan_message_stream
 from parley.streaming.enrich import enrich, incremental_enrich
 from parley.streaming.kpis import daily_from_sightings, daily_sightings, dedup_messages, first_sightings, stream_kpis
 from parley.streaming.lockout import stream_lockout
-from parley.streaming.sinks import drain_batches, drain_to_files, drain_updates, insert_ignore_sink
+from parley.streaming.sinks import drain_batches, drain_to_files, drain_updates, insert_ignore_sink, stored_rows
 from parley.streaming.state import state_store
 
 
+#: More files than any folder has: a given table is one arrival, and the order of its files says nothing of their times.
+ALL_FILES = 2**31 - 1
+
+
 def message_stream(spark, sf):
-    arriving = scan_message_stream(spark, sf, CONVERSATIONS, pattern="conversations.parquet")
+    # a pattern, which a single file and a folder of files both match
+    arriving = scan_message_stream(spark, f"{sf}/conversations{{.parquet}}", CONVERSATIONS, files_per_batch=ALL_FILES)
     events = table(spark, sf, "events")
     return shape(add_user(add_event(arriving, events), events))
 
@@ -207,5 +212,5 @@ def _(spark, sf):
     folder = fresh_folder(spark, "ingest")
     schema = "id long, conversation_id long, message string, timestamp timestamp"
     drain_batches(rows, folder, insert_ignore_sink(spark, f"{folder}/rows", schema))
-    stored = spark.read.schema(schema).parquet(f"{folder}/rows")
+    stored = stored_rows(spark, f"{folder}/rows", schema)
     return stored.select("id", "conversation_id", "message", F.col("timestamp").cast("timestamp_ntz"))

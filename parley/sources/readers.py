@@ -91,7 +91,10 @@ def scan_message_stream(
     files_per_batch: int = 64,
     pattern: str | None = None,
 ) -> DataFrame:
-    """The same table as a stream of arriving parquet files; ``files_per_batch`` bounds a micro-batch."""
+    """The same table as a stream of arriving parquet files; ``files_per_batch`` bounds a micro-batch.
+
+    ``path`` is a folder or a pattern of paths; ``pattern`` is one of the names of the files in it.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.operators.mutations import absent_rows
 from parley.sources.folders import folder_values, remove_folder, table_exists, written_whole
@@ -76,6 +77,13 @@ def drain_batches(
     query.awaitTermination()
 
 
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows at ``path``; none where nothing has arrived that would have been written there."""
+    if not table_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def drain_updates(stream: DataFrame, folder: str, key: Sequence[str]) -> DataFrame:
     """Run an updating aggregation and return the latest state of every key.
 
@@ -87,7 +95,7 @@ def drain_updates(stream: DataFrame, folder: str, key: Sequence[str]) -> DataFra
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     drain_batches(stream, folder, write, "update")
-    rows = stream.sparkSession.read.parquet(f"{folder}/rows")
+    rows = stored_rows(stream.sparkSession, f"{folder}/rows", T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())]))
     values = [c for c in stream.columns if c not in key]
     last = F.max_by(F.struct(*values), F.col("batch")).alias("_last")
     return rows.groupBy(*key).agg(last).select(*key, "_last.*")

@@ -249,3 +249,22 @@ def test_sightings_with_a_delay_shorter_than_a_day(spark):
     assert got == {"2024-01-01": 3, "2024-01-02": 3, "2024-01-04": 3}
     forgetful = drain_to_files(first_sightings(stream, "1 hour"), fresh_folder(spark, "s"))
     assert {str(r.date): r.conversations for r in daily_from_sightings(forgetful).collect()}["2024-01-01"] > 3
+
+
+@pytest.mark.parametrize("query", ["stream_kpis", "stream_kpis_approx", "stream_dedup_append", "stream_enrich", "stream_daily_conversations"])
+def test_a_table_that_is_a_folder_of_files(spark, tmp_path, query):
+    """The messages of a folder of files, later ones in the first of them, are those of a single file; a table without rows has none."""
+    from parley.plans import registry
+
+    registry.load()
+    events = [(c * 48 + t, START + timedelta(days=20 - c, minutes=t), c, "view", 1.0, "{}") for c in range(12) for t in range(3)]
+    talks = [(c, t, ("user", "assistant")[t % 2], f"word {c}") for c in range(12) for t in range(3)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string")
+    for i in range(12):
+        rows.where(F.col("conv_id") == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/conversations.parquet")
+    found = registry.QUERIES[query](spark, str(tmp_path))
+    counted = found.agg(F.sum("messages" if "kpis" in query else "conversations" if "daily" in query else F.lit(1))).first()[0]
+    assert counted == (12 if "daily" in query else 36)
+    rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+    assert registry.QUERIES[query](spark, str(tmp_path)).count() == 0
