@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.operators.similarity import MIN_SIMILARITY, QUERY_BLOCK, ROW_BLOCK, SEARCH_LIMIT, beside, best_hits
+from parley.operators.similarity import MIN_SIMILARITY, QUERY_BLOCK, ROW_BLOCK, SEARCH_LIMIT, Hits, beside_all, held_vectors
 from parley.operators.slices import first_rows
 
 PIVOTS = 64
@@ -155,15 +155,16 @@ def similar_in_index(
     ``queries``: query_id (unique), vector. Ties are ranked newest first, then by descending id.
     """
     blocks = query_blocks(queries, _pivots(spark, path), block)
-    tiles = paired(spark, path, blocks, min_similarity).select("number", "id", "micros", "vector")
-    numbers = blocks.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
-    grouped = blocks.groupBy("number").agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    place = ["cell", "low", "high"]  # blocks with the same edges are paired with the same queries
+    tiles = paired(spark, path, blocks, min_similarity).select(*place, "number").distinct()
+    listed = tiles.groupBy(*place).agg(F.collect_list("number").alias("numbers"))
+    rows = spark.read.parquet(f"{path}/blocks").join(listed, place).select("id", "micros", "vector", "numbers")
     schema = T.StructType([
-        queries.schema["query_id"], T.StructField("id", tiles.schema["id"].dataType.elementType),
+        queries.schema["query_id"], T.StructField("id", rows.schema["id"].dataType.elementType),
         T.StructField("micros", T.LongType()), T.StructField("similarity", T.DoubleType()),
     ])
-    asked = beside(tiles, grouped, "number", 8 * numbers).select("id", "micros", "vector", "asked")
-    order = [F.col("similarity").desc(), F.col("micros").desc(), F.col("id").desc()]
-    return first_rows(asked.mapInArrow(best_hits(limit, min_similarity), schema), ["query_id"], order, limit).select(
-        "query_id", "rank", "id", "similarity"
+    asked = beside_all(
+        rows, blocks, F.col("number"), *held_vectors(blocks), lambda a: Hits(a, limit, min_similarity, QUERY_BLOCK), schema
     )
+    order = [F.col("similarity").desc(), F.col("micros").desc(), F.col("id").desc()]
+    return first_rows(asked, ["query_id"], order, limit).select("query_id", "rank", "id", "similarity")

@@ -140,3 +140,17 @@ def test_factors_without_a_value(spark):
     assert all(r.coefficient is None for r in none.values()) and len(none) == 4
     empty = metrics.satisfaction_drivers_joint(spark.createDataFrame([], MESSAGE)).collect()
     assert len(empty) == 4 and all(r.beta is None for r in empty)
+
+
+def test_a_dealt_lexicon_is_read_as_rows(spark):
+    """No row holds a block of the lexicon: a task reads its entries one by one, whatever their number."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16b")
+        frame = spark.createDataFrame(list(enumerate(TEXTS)), "id long, message string")
+        found = lexicon_table.match_lexicon_table(frame, spark.createDataFrame(KEYWORDS, ENTRIES))
+        assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.id, r.label, r.label_order, r.keyword, r.label_size) for r in found.collect() if r.label is not None}
+        assert got == {r for r in brute(TEXTS, KEYWORDS) if r[1] is not None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -103,3 +103,33 @@ def test_queries_beyond_the_broadcast_limit_have_no_hot_key(spark, tmp_path):
         assert search(spark, tmp_path, corpus, queries, 4, 0.6, 7)[1] == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blocks_of_queries_do_not_copy_the_rows(spark, tmp_path):
+    """Dealt queries meet a row in the task that holds them: rows are shuffled once a group, however small the blocks of queries are."""
+    corpus = awkward(clustered(5, 300))
+    queries = [(i, corpus[i * 7][2]) for i in range(30)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16b")
+        frame, asked = spark.createDataFrame(corpus, CORPUS).repartition(12), spark.createDataFrame(queries, QUERIES)
+        found = similarity.similar_ids(frame, asked, 4, 0.6, 1)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.query_id, r.rank, r.id, round(r.similarity, 6)) for r in found.collect()} == brute(corpus, queries, 4, 0.6)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_task_emits_its_best_rows_only(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "HELD_HITS", 5)
+    asked = pa.array([{"query_id": q, "vector": [1.0, float(q)], "number": q % 2} for q in range(4)])
+    hits = similarity.Hits(asked, 3, 0.1, 1)
+    out = []
+    for n in range(20):  # copies: the newest, then the highest id
+        block = {"id": [2 * n, 2 * n + 1], "micros": [n // 2, None], "vector": [[1.0, 0.5]] * 2, "numbers": [1]}
+        out += hits.meet({c: pa.scalar(v, pa.list_(pa.list_(pa.float64()) if c == "vector" else pa.int64())) for c, v in block.items()})
+    out += hits.end()
+    rows = [r for batch in out for r in batch.to_pylist()]
+    assert [(r["query_id"], r["id"]) for r in rows] == [(q, i) for q in (1, 3) for i in (38, 36, 34)]
