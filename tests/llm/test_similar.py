@@ -274,6 +274,28 @@ def test_groups_that_no_star_closes(spark, monkeypatch):
         assert {(r.doc_id, r.text) for r in found} == {(doc, want[doc, line]) for doc, line in pairs}
 
 
+def test_a_pair_of_many_common_bands_is_made_once(spark):
+    from pyspark.sql import functions as F
+
+    base = tables.prose(2, 60).replace("\n", " ")
+    lines = [tables.changed(base, i, 1 + i % 5) for i in range(40)] + [tables.prose(70 + i, 20).replace("\n", " ") for i in range(10)]
+    frame = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "l1 long, l2 long, line string")
+    texts = frame.withColumn("node", line_dedup.node_of())
+    number = {r.node: r.l1 for r in texts.collect()}
+    marks = line_dedup.marked(texts, 12)
+    root = F.when(F.col("l1") < 4, F.lit(0)).otherwise(F.col("node")).cast("decimal(38,0)")  # four of one component, the largest
+    few = texts.select(
+        F.explode(F.array(*[F.lit(i).cast("long") for i in range(8)])).alias("band"), "node", root.alias("root"),
+        F.lit(0).cast("decimal(38,0)").alias("major"),
+    )
+    found = Counter((number[r.a], number[r.b]) for r in line_dedup.direct_pairs(few, marks, 0.8).collect())
+    sets = [shingle_set(x) for x in lines]
+    similar = {
+        (i, j) for i in range(len(lines)) for j in range(i) if i >= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    }
+    assert len(similar) > 50 and similar <= set(found) and max(found.values()) == 1
+
+
 def test_prefixes_leave_no_similar_pair_out(spark):
     base = tables.prose(2, 60).replace("\n", " ")
     lines = [tables.changed(base, i, 1 + i % 5) for i in range(60)] + [base[:200] + tables.prose(70 + i, 20) for i in range(20)] + ["short", "shorts"]
