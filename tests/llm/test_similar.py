@@ -179,6 +179,17 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(frame.limit(0)).count() == 0
 
 
+def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
+    from parley.llm import common
+
+    kept, labels = common.written, []
+    monkeypatch.setattr(common, "written", lambda frame, label, *rest: (labels.append(label), kept(frame, label, *rest))[1])
+    stars = spark.createDataFrame([(5, 1), (1, 6), (9, 8)], "a long, b long")
+    assert {tuple(r) for r in common.components(stars, "stars").collect()} == {(1, 1), (5, 1), (6, 1), (8, 8), (9, 8)}
+    assert common.components(stars.where("a = 77"), "none").count() == 0
+    assert labels == ["stars", "stars", "none"]
+
+
 def test_signature_sees_every_part_of_a_long_line(spark):
     long = tables.prose(5, 4000).replace("\n", " ")
     near = tables.changed(long, 1, 5)
