@@ -307,6 +307,24 @@ def test_a_pair_of_many_common_bands_is_made_once(spark):
     assert len(similar) > 50 and similar <= set(found) and max(found.values()) == 1
 
 
+def test_verified_counts_no_set_again(spark):
+    lines = ["short", "short", "x" * 30, "x" * 40, "a line of some words", "a line of some words!", "", "€🙂 più di dodici segni", "0123456789ab"]
+    frame = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "l1 long, l2 long, line string")
+    texts = frame.withColumn("node", line_dedup.node_of())
+    number = {r.node: r.l1 for r in texts.collect()}
+    got = {r.l1: set(r.s) for r in texts.select("l1", line_dedup.shingles(texts["line"], 12).alias("s")).collect()}
+    assert [len(got[i]) for i in range(len(lines))] == [len(shingle_set(x)) for x in lines]
+    nodes = sorted(number)
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes if a > b], "a decimal(38,0), b decimal(38,0)")
+    met = line_dedup.may_meet(pairs, line_dedup.marked(texts, 12), 0.5)
+    found = line_dedup.verified(spark.createDataFrame(met.collect(), met.schema), texts, 12, 0.5)
+    assert "array_distinct" not in found._jdf.queryExecution().optimizedPlan().toString()  # sizes come with the sketches
+    sets = {n: shingle_set(lines[number[n]]) for n in nodes}
+    assert {(r.a, r.b) for r in found.collect()} == {
+        (a, b) for a in nodes for b in nodes if a > b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])
+    }
+
+
 def test_prefixes_leave_no_similar_pair_out(spark):
     base = tables.prose(2, 60).replace("\n", " ")
     lines = [tables.changed(base, i, 1 + i % 5) for i in range(60)] + [base[:200] + tables.prose(70 + i, 20) for i in range(20)] + ["short", "shorts"]
