@@ -28,8 +28,7 @@ def written(frame: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; none for a NULL."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return F.filter(parts, lambda word: word != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def packed_row(frame: DataFrame) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, packed_row, unpacked, words, written
+from .common import packed_row, unpacked, words, written
 
 #: The counts of a text, in the order of ``text_counts``.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -67,18 +67,19 @@ def text_counts(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     word = words(text)
-    of_words = bound(word, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
+    of_words = bound(word, lambda w: F.struct(
+        F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeated_words(w).alias("r")
+    ))
     of_lines = bound(lines, lambda a: F.struct(
         F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("d")
     ))
     counted = documents.withColumns({
         "of_words": of_words,
         "of_lines": of_lines,
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
     })
     return counted.withColumns({
-        "n_words": F.col("of_words.n"), "n_repeat_words": F.col("of_words.r"),
+        "n_words": F.col("of_words.n"), "word_chars": F.col("of_words.c"), "n_repeat_words": F.col("of_words.r"),
         "n_lines": F.col("of_lines.n"), "n_dup_lines": F.col("of_lines.d"),
     }).drop("of_words", "of_lines")
 

@@ -79,6 +79,15 @@ def test_robust_distances_agree_with_numpy(spark):
     assert not any(found[1000 + i].kept for i in range(30)) and sum(found[i].kept for i in range(300)) > 290
 
 
+def test_words_are_counted_without_a_second_pass_over_the_text(spark):
+    texts = [None, "", " ", "one", " \x0b one\ttwo\r\n three ", "a\x1cb \u3000 c\x85", "€🙂 più " * 3, "a b c d e " * 4]
+    counted = rules.text_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "regexp_replace" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    for r in counted.collect():
+        parts = [w for w in re.split("[ \t\n\x0b\x0c\r]+", r.text or "") if w]
+        assert (r.n_words, r.word_chars) == (len(parts), sum(map(len, parts)))
+
+
 def test_cells_pool_small_groups(spark):
     rows = [("en", "a")] * 10 + [("en", "b")] * 3 + [("en", None)] * 4 + [("de", "a")] * 2 + [(None, "a")] * 2
     frame = spark.createDataFrame(rows, "lang string, source string")
