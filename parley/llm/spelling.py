@@ -55,9 +55,12 @@ def count_batches(least_length: int, modulus: int):
                         if len(run) < least_length:
                             continue
                     held[run] = held.get(run, 0) + n
-                if len(held) >= HELD:
+                if len(held) >= 2 * HELD:  # not even the rest of the batch is waited for
                     yield out(held)
                     held = {}
+            if len(held) >= HELD:
+                yield out(held)
+                held = {}
         if held:
             yield out(held)
 
